@@ -415,7 +415,8 @@ def read_back(parts: DataFrame) -> DataFrame:
             rows = []
             for conv, part, text, marked in zip(*[batch.column(n).to_pylist() for n in ("conv_id", "part", "text", "marked")], strict=True):
                 if reader is None or part == 0:
-                    rows += [reader.row()] * (reader is not None)
+                    if reader is not None:
+                        rows.append(reader.row())
                     reader = _Reader(conv)
                 reader.feed(text, marked)
             if rows:
