@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import quality
 from .byte_bpe import op6_byte_bpe
 from .chat import op9_chat_format
+from .mixing import op8_source_mix
 from .token_shards import op7_token_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality_rules": quality.op2_quality_rules,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_token_shards": op7_token_shards,
+    "op8_source_mix": op8_source_mix,
     "op9_chat_format": op9_chat_format,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality.ORACLE_SQL}
