@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 WORD = r"[^\x20\x09-\x0D]+"
 U64 = np.uint64
 BLOCK_BYTES = 1 << 19
-ARROW_ROWS = 512
+ARROW_ROWS, ARROW_BYTES = 512, 4 << 20
 
 _own_dir: list[str] = []
 
@@ -36,6 +36,9 @@ def small_batches(spark: SparkSession) -> None:
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > ARROW_ROWS:
         spark.conf.set(key, str(ARROW_ROWS))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key, "67108864").rstrip("b")) > ARROW_BYTES:
+        spark.conf.set(key, str(ARROW_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -126,12 +129,12 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """data: the bytes of texts end to end; offsets: where each begins, and the end.
-    Returns the hash of every word in order and the number of words of each text."""
+    Returns where every word begins and ends, and the number of words of each text."""
     n = len(data)
     if n == 0:
-        return np.empty(0, dtype=U64), np.zeros(len(offsets) - 1, dtype=np.int64)
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.zeros(len(offsets) - 1, dtype=np.int64)
     solid = ~_SPACE[data]
     begins = solid.copy()
     begins[1:] &= ~solid[:-1]
@@ -142,12 +145,17 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tup
     begins[cuts] = solid[cuts]
     ends[cuts - 1] = solid[cuts - 1]
     s, e = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    return s, e, np.diff(np.searchsorted(s, offsets))
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every word in order, and the number of words of each text."""
+    s, e, counts = word_spans(data, offsets)
+    n = len(data)
     sums = np.empty(n + 1, dtype=U64)
     sums[0] = 0
     np.cumsum((_FOLD if fold else _BYTE)[data] * powers(_BASE, n), out=sums[1:])
-    h = (sums[e] - sums[s]) * powers(_BASE_INV, n)[s]
-    counts = np.diff(np.searchsorted(s, offsets))
-    return mix(h), counts
+    return mix((sums[e] - sums[s]) * powers(_BASE_INV, n + 1)[s]), counts
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:

@@ -10,6 +10,7 @@ from . import quality
 from .byte_bpe import op6_byte_bpe
 from .chat import op9_chat_format
 from .mixing import op8_source_mix
+from .passages import op10_suffix_dedup
 from .shingle_join import op4_ngram_join
 from .token_shards import op7_token_shards
 
@@ -20,5 +21,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_shards": op7_token_shards,
     "op8_source_mix": op8_source_mix,
     "op9_chat_format": op9_chat_format,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality.ORACLE_SQL}
