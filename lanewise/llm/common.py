@@ -63,6 +63,7 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lanewise_path = path
+    spark._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files that the write needed
     return out
 
 
@@ -151,11 +152,16 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """The hash of every word in order, and the number of words of each text."""
     s, e, counts = word_spans(data, offsets)
+    return span_hashes(data, s, e, fold), counts
+
+
+def span_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
+    """The hash of each span of bytes."""
     n = len(data)
     sums = np.empty(n + 1, dtype=U64)
     sums[0] = 0
     np.cumsum((_FOLD if fold else _BYTE)[data] * powers(_BASE, n), out=sums[1:])
-    return mix((sums[e] - sums[s]) * powers(_BASE_INV, n + 1)[s]), counts
+    return mix((sums[ends] - sums[begins]) * powers(_BASE_INV, n + 1)[begins])
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:

@@ -11,12 +11,14 @@ from .byte_bpe import op6_byte_bpe
 from .chat import op9_chat_format
 from .mixing import op8_source_mix
 from .passages import op10_suffix_dedup
+from .pitman_yor import op5_lm_scores
 from .shingle_join import op4_ngram_join
 from .token_shards import op7_token_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": quality.op2_quality_rules,
     "op4_ngram_join": op4_ngram_join,
+    "op5_lm_scores": op5_lm_scores,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_token_shards": op7_token_shards,
     "op8_source_mix": op8_source_mix,
