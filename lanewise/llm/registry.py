@@ -13,9 +13,11 @@ from .mixing import op8_source_mix
 from .passages import op10_suffix_dedup
 from .pitman_yor import op5_lm_scores
 from .shingle_join import op4_ngram_join
+from .spotsigs import op1_spotsigs
 from .token_shards import op7_token_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_spotsigs": op1_spotsigs,
     "op2_quality_rules": quality.op2_quality_rules,
     "op4_ngram_join": op4_ngram_join,
     "op5_lm_scores": op5_lm_scores,
