@@ -1,0 +1 @@
+"""Exact integer arithmetic over text and tables, as DataFrame expressions."""
