@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from . import common
 
-CACHE_UNITS = 300_000
+CACHE_UNITS, CACHE_PIECES = 250_000, 1_000_000
 NONE = 1 << 62
 
 
@@ -87,7 +87,7 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Codec:
-    """Encodes and decodes with one vocabulary. Units that recur are kept packed, as many as CACHE_UNITS."""
+    """Encodes and decodes with one vocabulary. Units that recur are kept packed, as many as CACHE_UNITS and CACHE_PIECES."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.find = ranks, regex.compile(pattern).findall
@@ -109,7 +109,7 @@ class Codec:
         if got is None:
             got = np.array(merge_piece(piece.encode(), self.ranks), dtype="<u4").tobytes()
             if len(piece) <= 64:
-                if len(self.pieces) >= CACHE_UNITS:
+                if len(self.pieces) >= CACHE_PIECES:
                     self.pieces.clear()
                 self.pieces[piece] = got
         return got

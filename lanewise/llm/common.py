@@ -60,7 +60,7 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends there, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lanewise_path = path
     spark._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files that the write needed
@@ -164,6 +164,42 @@ def span_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, fold: bo
     return mix((sums[ends] - sums[begins]) * powers(_BASE_INV, n + 1)[begins])
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest needs, after a byte that tells how many."""
+    width = 1 if (most := int(x.max(initial=0))) < 1 << 8 else 2 if most < 1 << 16 else 4 if most < 1 << 32 else 8
+    return bytes([width]) + x.astype(f"<u{width}").tobytes()
+
+
+def unpacked(x: bytes) -> np.ndarray:
+    return np.frombuffer(x, dtype=f"<u{x[0]}", offset=1).astype(np.int64)
+
+
+def by_bucket(hashes: np.ndarray, buckets: int) -> list[np.ndarray]:
+    """Places of the hashes of each bucket, in order."""
+    bucket = (mix(hashes + U64(0x42)) % U64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    return [order[cuts[b] : cuts[b + 1]] for b in range(buckets)]
+
+
+def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        yield from batch.to_pylist()
+
+
+def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[dict]]]:
+    """Rows of each key, which stand together."""
+    now, held = None, []
+    for row in rows(batches):
+        if held and row[key] != now:
+            yield now, held
+            held = []
+        now = row[key]
+        held.append(row)
+    if held:
+        yield now, held
+
+
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """Hashes of the k-word windows of a sequence of word hashes; windows over a border of texts are the caller's to leave out."""
     if len(words) < k:

@@ -59,8 +59,8 @@ def _key(level: int) -> F.Column:
     return F.shiftrightunsigned(F.col("hash"), 64 - BITS * (level + 1))
 
 
-def taken(sizes: DataFrame) -> DataFrame:
-    """sizes(doc_id, source, size) -> the same with source_size, target, copies."""
+def mix_plan(sizes: DataFrame) -> DataFrame:
+    """sizes(doc_id, source, size) -> a row for each source: source_size, target, whole copies, and the hash key below which there is one more."""
     plan = targets(sizes).withColumn("ratio", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     plan = plan.withColumn("whole", F.floor("ratio")).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size"))
     plan = plan.withColumn("below", F.lit(0.0)).withColumn("prefix", F.lit(0).cast("long"))
@@ -82,13 +82,29 @@ def taken(sizes: DataFrame) -> DataFrame:
         plan = common.staged(plan, "mix-level")
     # the last bucket, usually one document, is taken if that comes nearer to the budget
     last = F.when((F.col("next").isNotNull()) & (F.col("next") - F.coalesce("added", F.lit(0)) < 2 * (F.col("budget") - F.col("below"))), 1).otherwise(0)
-    plan = plan.select(F.col("source").alias("__s"), "source_size", "target", "whole", (F.col("prefix") + last).alias("__limit"), F.col("budget").alias("__budget"))
-    out = docs.join(plan, F.col("source").eqNullSafe(F.col("__s")), "left")
-    extra = F.when(F.col("__budget") > 0, F.coalesce((_key(LEVELS - 1) < F.col("__limit")).cast("long"), F.lit(1))).otherwise(0)
-    copies = F.least(F.lit(REPEATS).cast("long"), F.col("whole").cast("long") + extra)
-    return out.withColumn("copies", copies).drop("__s", "__limit", "__budget", "whole", "hash")
+    return plan.select("source", "source_size", "target", F.col("whole").cast("long").alias("whole"), (F.col("prefix") + last).alias("limit"), "budget")
+
+
+def with_copies(docs: DataFrame, plan: DataFrame) -> DataFrame:
+    """docs(doc_id, source, ..) with source_size, target and copies, how often the mix takes each; all other columns stay."""
+    own = {c: f"__{c}" for c in plan.columns}
+    rows = docs.join(plan.withColumnsRenamed(own), F.col("source").eqNullSafe(F.col("__source")), "left")
+    under = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - BITS * LEVELS) < F.col("__limit")
+    extra = F.when(F.col("__budget") > 0, F.coalesce(under.cast("long"), F.lit(1))).otherwise(0)
+    copies = F.least(F.lit(REPEATS).cast("long"), F.col("__whole") + extra)
+    return rows.withColumns({"source_size": F.col("__source_size"), "target": F.col("__target"), "copies": copies}).drop(*own.values())
+
+
+def sizes_of(docs: DataFrame) -> DataFrame:
+    return common.staged(docs.select("doc_id", "source", _size().alias("size")), "sizes")
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """The documents of the mix, each as often as it is taken, in their own columns."""
+    rows = with_copies(docs, mix_plan(sizes_of(docs))).where("copies > 0")
+    return rows.withColumn("__row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*docs.columns)
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = common.staged(common.documents(spark, sf_dir).select("doc_id", "source", _size().alias("size")), "sizes")
-    return taken(sizes).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    sizes = sizes_of(common.documents(spark, sf_dir))
+    return with_copies(sizes, mix_plan(sizes)).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))

@@ -15,10 +15,15 @@ but such repeats.  The first occurrence by (doc_id, position) is the one to stay
 span of which an earlier occurrence exists are `later`.  Words are `[^\\x20\\x09-\\x0D]+`, compared
 as they are, by 64-bit hashes.
 
+Hashes are posted by chunks of documents to buckets, each distinct one once with its first
+place in the chunk, and answered in the order of the post; so a passage in a third of all
+documents is one entry for each chunk, and no task holds all places of it.
+
 Null and empty texts and texts of fewer than LENGTH words have no spans.  Rows of one doc_id
-are one document, told apart by position only; a null doc_id counts as the largest.  Groups
-are counted by partial aggregates and joined back by hash, so that a passage in a third of all
-documents is dealt out like any other.  Other columns pass through `without_repeats`.
+and text are copies; as they are the same place, what is first in one is first in all.  Rows of
+one doc_id with different texts take part each for itself, but `without_repeats` cuts the spans
+of both from both.  A null doc_id counts as the largest.  Other columns pass through
+`without_repeats`.
 """
 
 from __future__ import annotations
@@ -27,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,6 +41,7 @@ from . import common
 
 PREFIX, STARTS = 26, 25
 LENGTH = PREFIX + STARTS - 1
+CHUNK_PLACES = 1_000_000
 NULL_ID = (1 << 63) - 1
 
 
@@ -68,28 +75,72 @@ def _documents(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
         row += len(counts)
 
 
-def _long_rows(parts: list[tuple], names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*parts, strict=True)], names=names)
+CHUNK = "chunk long, bucket int, ids binary, counts binary, at binary, hashes binary, answer binary"
+POST = "bucket int, chunk long, hashes binary, places binary, first_ids binary, first_at binary"
+
+
+class _Chunks:
+    """Gathers places of documents and their hashes into rows of about CHUNK_PLACES, bucket -1."""
+
+    def __init__(self):
+        self.base, self.made, self.held, self.size = TaskContext.get().partitionId() << 32, 0, [], 0
+
+    def add(self, doc: int, at: np.ndarray, hashes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held.append((doc, at, hashes))
+        self.size += len(at) + 1
+        if self.size >= CHUNK_PLACES:
+            yield self.row()
+
+    def row(self) -> pa.RecordBatch:
+        ids, at, hashes = zip(*self.held, strict=True)
+        row = (self.base + self.made, -1, np.array(ids, dtype=np.int64).tobytes(), common.packed(np.array([len(x) for x in at])), common.packed(np.concatenate(at)), np.concatenate(hashes).tobytes(), None)
+        self.held, self.size, self.made = [], 0, self.made + 1
+        return _chunk_row(row)
+
+
+def _chunk_row(row: tuple) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 5]
+    return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=["chunk", "bucket", "ids", "counts", "at", "hashes", "answer"])
+
+
+class _Places:
+    """A chunk read back: each place's document, position and number of its hash among the chunk's distinct ones."""
+
+    def __init__(self, row: dict):
+        self.chunk = row["chunk"]
+        self.ids, counts, self.at = np.frombuffer(row["ids"], dtype=np.int64), common.unpacked(row["counts"]), common.unpacked(row["at"])
+        self.doc = np.repeat(np.arange(len(self.ids)), counts)
+        self.ends = np.cumsum(counts)
+        self.hashes, self.number, self.times = np.unique(np.frombuffer(row["hashes"], dtype=common.U64), return_inverse=True, return_counts=True)
+
+    def firsts(self) -> tuple[np.ndarray, np.ndarray]:
+        """The first place, by id and position, of each hash."""
+        order = np.lexsort((self.at, self.ids[self.doc]))
+        first = np.empty(len(self.hashes), dtype=np.int64)
+        first[self.number[order[::-1]]] = order[::-1]
+        return self.ids[self.doc[first]], self.at[first]
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    chunks = _Chunks()
     for batch in batches:
-        ids, parts = batch.column("id").to_numpy(), []
+        ids = batch.column("id").to_numpy()
         for row, words in _documents(batch):
             prefix, _, kept = _document(words)
             at = np.flatnonzero(kept)
-            parts.append((prefix[at].view(np.int64), np.full(len(at), ids[row]), at))
-        if parts:
-            yield _long_rows(parts, ["hash", "id", "at"])
+            yield from chunks.add(int(ids[row]), at, prefix[at])
+    if chunks.held:
+        yield chunks.row()
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The windows over matched suffixes, each with its hash."""
+    chunks = _Chunks()
     for batch in batches:
-        ids, matched, parts = batch.column("id").to_numpy(), batch.column("matched"), []
+        ids, matched = batch.column("id").to_numpy(), batch.column("matched")
         for row, words in _documents(batch):
             prefix, least, _ = _document(words)
-            at = np.unique(np.array(matched[row].as_py(), dtype=np.int64))
+            at = np.unique(np.concatenate([common.unpacked(x) for x in matched[row].as_py()]))
             at = at[at < len(prefix)]
             starts = (at[:, None] - np.arange(STARTS)[None, :]).ravel()
             owner = np.repeat(at, STARTS)
@@ -97,40 +148,108 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             starts, owner = starts[fits], owner[fits]
             starts = np.unique(starts[least[starts] == prefix[owner]])
             if len(starts):
-                # a window's hash from prefix sums of its words
-                hashes = common.shingle_hashes(words, LENGTH)[starts]
-                parts.append((hashes.view(np.int64), np.full(len(starts), ids[row]), starts))
-        if parts:
-            yield _long_rows(parts, ["hash", "id", "at"])
-
-
-def _repeated(rows: DataFrame) -> DataFrame:
-    """rows(hash, id, at) whose hash is also at another place, and whether they are the first."""
-    place = F.struct("id", "at")
-    twice = rows.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("hash", "first")
-    return rows.join(twice, "hash").select("hash", "id", "at", (place == F.col("first")).alias("is_first"))
-
-
-def _spans(starts: list[int], merge: int = LENGTH) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for a in sorted(starts):
-        if out and a <= out[-1][1]:
-            out[-1][1] = a + merge
-        else:
-            out.append([a, a + merge])
-    return [(a, b) for a, b in out]
+                yield from chunks.add(int(ids[row]), starts, common.shingle_hashes(words, LENGTH)[starts])
+    if chunks.held:
+        yield chunks.row()
+
+
+def _posts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """A chunk's distinct hashes by bucket, whether it has each more than once, and each one's first place in it."""
+    for row in common.rows(batches):
+        chunk = _Places(row)
+        ids, at = chunk.firsts()
+        docs = np.searchsorted(np.sort(chunk.ids), ids)
+        known = np.sort(chunk.ids)
+        for b, own in enumerate(common.by_bucket(chunk.hashes, buckets)):
+            if len(own):
+                # the first document is sent as its number among those that this row names
+                named, number = np.unique(docs[own], return_inverse=True)
+                places = (chunk.times[own] > 1).astype(np.uint8)
+                out = (b, chunk.chunk, chunk.hashes[own].tobytes(), places.tobytes(), known[named].tobytes(), common.packed(number) + b"|" + common.packed(at[own]))
+                kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 4]
+                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(out, kinds, strict=True)], names=["bucket", "chunk", "hashes", "places", "first_ids", "first_at"])
+
+
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ordered by hash, equal neighbours match. For each hash of a post: 0 it stands alone, 1 its first place of all is the post's, 2 it is elsewhere."""
+    for bucket, rows in common.grouped(batches, "bucket"):
+        hashes = [np.frombuffer(r["hashes"], dtype=common.U64) for r in rows]
+        sizes = np.array([len(x) for x in hashes])
+        ids, at = [], []
+        for r, n in zip(rows, sizes.tolist(), strict=True):
+            width = r["first_at"][0]
+            ids.append(np.frombuffer(r["first_ids"], dtype=np.int64)[common.unpacked(r["first_at"][: 1 + width * n])])
+            at.append(common.unpacked(r["first_at"][2 + width * n :]))
+        ids, at, hashes = np.concatenate(ids), np.concatenate(at), np.concatenate(hashes)
+        several = np.concatenate([np.frombuffer(r["places"], dtype=np.uint8) for r in rows]).astype(bool)
+        order = np.lexsort((at, ids, hashes))
+        ranked = hashes[order]
+        begins = np.ones(len(ranked), dtype=bool)
+        begins[1:] = ranked[1:] != ranked[:-1]
+        group = np.cumsum(begins) - 1
+        twice = np.bincount(group, weights=1 + several[order]) > 1
+        head = order[begins][group]
+        first = (ids[order] == ids[head]) & (at[order] == at[head])
+        answer = np.empty(len(ranked), dtype=np.uint8)
+        answer[order] = np.where(twice[group], np.where(first, 1, 2), 0)
+        ends = np.cumsum(sizes)
+        for r, a, b in zip(rows, (ends - sizes).tolist(), ends.tolist(), strict=True):
+            yield _chunk_row((r["chunk"], bucket, None, None, None, None, answer[a:b].tobytes()))
+
+
+def _answered(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[tuple[_Places, np.ndarray]]:
+    """Rows stand by chunk, its own first: each chunk with the answer for each of its places."""
+    for _, rows in common.grouped(batches, "chunk"):
+        chunk = _Places(rows[0])
+        answer = np.zeros(len(chunk.hashes), dtype=np.uint8)
+        parts = common.by_bucket(chunk.hashes, buckets)
+        for r in rows[1:]:
+            answer[parts[r["bucket"]]] = np.frombuffer(r["answer"], dtype=np.uint8)
+        yield chunk, answer
+
+
+def _matched(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    for chunk, answer in _answered(batches, buckets):
+        hit = np.flatnonzero(answer[chunk.number] > 0)
+        docs, begins = np.unique(chunk.doc[hit], return_index=True)
+        ends = np.append(begins[1:], len(hit))
+        if len(docs):
+            yield pa.RecordBatch.from_arrays([pa.array(chunk.ids[docs], pa.int64()), pa.array([common.packed(chunk.at[hit[a:b]]) for a, b in zip(begins, ends, strict=True)], pa.binary())], names=["id", "places"])
+
+
+def _spans(starts: np.ndarray) -> list[dict]:
+    """Ordered starts of windows -> their unions."""
+    if not len(starts):
+        return []
+    cut = np.flatnonzero(np.diff(starts) > LENGTH)
+    return [{"start": a, "end": b + LENGTH} for a, b in zip(starts[np.append(0, cut + 1)].tolist(), starts[np.append(cut, len(starts) - 1)].tolist(), strict=True)]
 
 
 _SPAN = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+FOUND = T.StructType([T.StructField("id", T.LongType()), T.StructField("spans", _SPAN), T.StructField("later", _SPAN)])
 
 
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _found(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    made = lambda rows: pa.array([[{"start": a, "end": b} for a, b in x] for x in rows], kind)
-    for batch in batches:
-        firsts, others = batch.column("firsts").to_pylist(), batch.column("others").to_pylist()
-        later = [_spans(y) for y in others]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), made([_spans(x + y) for x, y in zip(firsts, others, strict=True)]), made(later)], names=["id", "spans", "later"])
+    for chunk, answer in _answered(batches, buckets):
+        ids, at = chunk.firsts()
+        own = answer[chunk.number]
+        first = (own == 1) & (chunk.ids[chunk.doc] == ids[chunk.number]) & (chunk.at == at[chunk.number])
+        rows: list[tuple] = []
+        for i, (a, b) in enumerate(zip(np.append(0, chunk.ends[:-1]).tolist(), chunk.ends.tolist(), strict=True)):
+            hit = own[a:b] > 0
+            if hit.any():
+                rows.append((int(chunk.ids[i]), _spans(chunk.at[a:b][hit]), _spans(chunk.at[a:b][hit & ~first[a:b]])))
+        if rows:
+            ids, spans, later = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(spans, kind), pa.array(later, kind)], names=["id", "spans", "later"])
+
+
+def _with_answers(chunks: DataFrame, buckets: int) -> DataFrame:
+    """The chunks and what all others together say of their hashes, by chunk."""
+    posts = chunks.mapInArrow(lambda b: _posts(b, buckets), POST).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    both = chunks.unionByName(posts.mapInArrow(_answers, CHUNK))
+    return both.repartition(buckets, "chunk").sortWithinPartitions("chunk", "bucket")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -140,17 +259,27 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> id, spans, later: in words, half open; a row for each document with a repeated passage."""
     common.small_batches(docs.sparkSession)
+    buckets = common.n_buckets(docs.sparkSession)
     rows = _keyed(docs)
-    suffixes = common.staged(rows.mapInArrow(_suffixes, "hash long, id long, at long"), "suffixes")
-    matched = _repeated(suffixes).groupBy("id").agg(F.collect_list("at").alias("matched"))
-    windows = common.staged(rows.join(matched, "id").mapInArrow(_windows, "hash long, id long, at long"), "windows")
+    suffixes = common.staged(rows.mapInArrow(_suffixes, CHUNK), "suffixes")
+    matched = _with_answers(suffixes, buckets).mapInArrow(lambda b: _matched(b, buckets), "id long, places binary").groupBy("id").agg(F.collect_list("places").alias("matched"))
+    windows = common.staged(rows.join(matched, "id").mapInArrow(_windows, CHUNK), "windows")
     common.unstage(suffixes)
-    kept = _repeated(windows).groupBy("id").agg(F.collect_list(F.when(F.col("is_first"), F.col("at"))).alias("firsts"), F.collect_list(F.when(~F.col("is_first"), F.col("at"))).alias("others"))
-    found = common.staged(kept.mapInArrow(_merged, T.StructType([T.StructField("id", T.LongType()), T.StructField("spans", _SPAN), T.StructField("later", _SPAN)])), "spans")
+    found = common.staged(_with_answers(windows, buckets).mapInArrow(lambda b: _found(b, buckets), FOUND), "spans")
     common.unstage(windows)
     return found
 
 
+def _united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def cut_words(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     """The text without the words of the spans and the white space after them."""
     data = np.frombuffer(text, dtype=np.uint8)
@@ -158,6 +287,8 @@ def cut_words(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     begins = np.append(begins, len(data))
     out, at = [], 0
     for a, b in spans:
+        if a >= len(begins) - 1:
+            break
         out.append(text[at : begins[a]])
         at = int(begins[min(b, len(begins) - 1)])
     out.append(text[at:])
@@ -173,13 +304,13 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             texts = batch.column("text").to_pylist()
             for i, spans in enumerate(batch.column("__later").to_pylist()):
                 if spans and texts[i] is not None:
-                    texts[i] = cut_words(texts[i].encode(), [(s["start"], s["end"]) for s in spans]).decode()
+                    texts[i] = cut_words(texts[i].encode(), _united([(s["start"], s["end"]) for s in spans])).decode()
             columns = {n: batch.column(n) for n in names} | {"text": pa.array(texts, pa.string())}
             if "n_chars" in columns:
                 columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts], columns["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=names)
 
-    later = repeats(docs.select("doc_id", "text")).where(F.size("later") > 0).select(F.col("id").alias("__id"), F.col("later").alias("__later"))
+    later = repeats(docs.select("doc_id", "text")).where(F.size("later") > 0).groupBy(F.col("id").alias("__id")).agg(F.flatten(F.collect_list("later")).alias("__later"))
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
     return docs.withColumn("__id", key).join(later, "__id", "left").drop("__id").mapInArrow(run, schema)
 

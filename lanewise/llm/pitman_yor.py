@@ -121,11 +121,6 @@ class Chunk:
         return keys, which, hot, np.bincount(which[trains], minlength=len(keys))
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    for batch in batches:
-        yield from batch.to_pylist()
-
-
 def _batch(row: dict, kinds: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({k: pa.array([row[k]], kind) for k, kind in kinds.items()})
 
@@ -134,7 +129,7 @@ def _batch(row: dict, kinds: dict) -> pa.RecordBatch:
 
 
 def _word_posts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    for row in _rows(batches):
+    for row in common.rows(batches):
         words, seen = np.frombuffer(row["words"], dtype=U64), np.frombuffer(row["seen"], dtype="<u4")
         words, seen = words[seen > 0], seen[seen > 0]
         bucket = (mix(words + U64(0x42)) % U64(buckets)).astype(np.int64)
@@ -145,22 +140,9 @@ def _word_posts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(full, pa.int32()), "words": pa.array([words[p].tobytes() for p in parts], pa.binary()), "seen": pa.array([seen[p].tobytes() for p in parts], pa.binary())})
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[dict]]]:
-    """Rows of a key, which stand together."""
-    now, held = None, []
-    for row in _rows(batches):
-        if held and row[key] != now:
-            yield now, held
-            held = []
-        now = row[key]
-        held.append(row)
-    if held:
-        yield now, held
-
-
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """By bucket: known words, training tokens, words seen once and twice, and the words that may open a restaurant."""
-    for _, rows in _grouped(batches, "bucket"):
+    for _, rows in common.grouped(batches, "bucket"):
         words = np.concatenate([np.frombuffer(r["words"], dtype=U64) for r in rows])
         seen = np.concatenate([np.frombuffer(r["seen"], dtype="<u4") for r in rows])
         words, at = np.unique(words, return_inverse=True)
@@ -179,7 +161,7 @@ POSTS = {"bucket": pa.int32(), "chunk": pa.int64(), "words": pa.binary(), "seen"
 
 def _posts(batches: Iterator[pa.RecordBatch], buckets: int, contexts: np.ndarray) -> Iterator[pa.RecordBatch]:
     """What a chunk asks of a bucket: its words with their training counts, and its pairs as number of the word in that list, context, training count."""
-    for row in _rows(batches):
+    for row in common.rows(batches):
         chunk = Chunk(row, buckets)
         keys, _, _, counts = chunk.pairs(contexts)
         context, word = np.divmod(keys, len(chunk.words))
@@ -201,7 +183,7 @@ SUMS = {"bucket": pa.int32(), "words": pa.binary(), "counts": pa.binary(), "pair
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A bucket's words and pairs with their counts over all chunks, and where each post's are among them."""
-    for bucket, rows in _grouped(batches, "bucket"):
+    for bucket, rows in common.grouped(batches, "bucket"):
         words = [np.frombuffer(r["words"], dtype=U64) for r in rows]
         sizes = np.array([len(x) for x in words])
         unique, word_at = np.unique(np.concatenate(words), return_inverse=True)
@@ -277,7 +259,7 @@ class Bucket:
 
 def _sweep_sums(batches: Iterator[pa.RecordBatch], model: Model, numbers: list[int]) -> Iterator[pa.RecordBatch]:
     """Tables by restaurant; -1 the parent's customers, -2 its tables."""
-    for row in _rows(batches):
+    for row in common.rows(batches):
         bucket = Bucket(row)
         for k in numbers:
             tables, customers, parent = bucket.sweep(model, k)
@@ -293,7 +275,7 @@ ANSWERS = {"chunk": pa.int64(), "bucket": pa.int32(), "seen": pa.binary(), "sing
 
 def _answers(batches: Iterator[pa.RecordBatch], given: Model, models: dict[int, Model]) -> Iterator[pa.RecordBatch]:
     """For each post: the words' training counts and log10 P(w), the pairs' log10 P(w | u)."""
-    for row in _rows(batches):
+    for row in common.rows(batches):
         bucket = Bucket(row)
         single, pair = np.zeros(len(bucket.words)), np.zeros(len(bucket.pair_word))
         for k, model in models.items():
@@ -316,7 +298,7 @@ RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 def _scores(batches: Iterator[pa.RecordBatch], buckets: int, contexts: np.ndarray, n: int, v: int) -> Iterator[pa.RecordBatch]:
     """Rows stand by chunk, the chunk itself first (bucket -1), then the buckets' answers."""
-    for _, rows in _grouped(batches, "chunk"):
+    for _, rows in common.grouped(batches, "chunk"):
         chunk = Chunk(rows[0], buckets)
         keys, which, hot, _ = chunk.pairs(contexts)
         word = keys % len(chunk.words)

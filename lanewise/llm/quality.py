@@ -104,6 +104,11 @@ def judged(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -
     return measured(df, text).withColumn("base_failed", F.expr(f"NOT ({compiled(BASE)})")).withColumn("kept", F.expr(f"NOT base_failed AND {compiled(rules)}"))
 
 
+def accepted(df: DataFrame, text: str = "text") -> DataFrame:
+    """The rows that the rules keep, in their own columns. Rows are picked by a generator: a filter would be moved below the counts and repeat their expressions many times over."""
+    return judged(df, text).withColumn("__row", F.expr("explode(if(kept, array(1), cast(array() as array<int>)))")).select(*df.columns)
+
+
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_shouted", "n_stop_words", "n_lines"]
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import licenses, quality
 from .byte_bpe import op6_byte_bpe
 from .chat import op9_chat_format
 from .mixing import op8_source_mix
@@ -19,6 +19,7 @@ from .token_shards import op7_token_shards
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_spotsigs": op1_spotsigs,
     "op2_quality_rules": quality.op2_quality_rules,
+    "op3_license_scan": licenses.op3_license_scan,
     "op4_ngram_join": op4_ngram_join,
     "op5_lm_scores": op5_lm_scores,
     "op6_byte_bpe": op6_byte_bpe,
@@ -27,4 +28,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat_format": op9_chat_format,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
-ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality.ORACLE_SQL, "op3_license_scan": licenses.ORACLE_SQL}

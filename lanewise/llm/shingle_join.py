@@ -6,7 +6,9 @@ link at 100 * intersection >= 80 * union; the result is the components of that g
 1. Filter.  A linked document misses at most e = n - ceil(0.8 n) of its n shingles.  Of the
    shingles below a fixed fraction of the hash range (a prefix in hash order) those that no
    other document has are counted; a document with more than e of them links with nothing.
-2. Equal sets become one class, so copies cost one member.
+2. Equal sets become one class, so copies cost one member.  Over the sets that are left all
+   shingles are counted so.  A pair can share no more than either has in common with others,
+   which leaves few pairs to compare even in a large group of texts that are nearly alike.
 3. Prefixes.  Of each remaining class the e + 1 + G smallest shingles are posted.  A shingle on
    up to FREQUENT postings is a signature alone.  Frequent ones are dealt into G subclasses by
    hash, and pairs of them within a subclass are signatures: of e + 1 + G shingles a linked
@@ -17,7 +19,10 @@ link at 100 * intersection >= 80 * union; the result is the components of that g
 4. Verification.  In each signature's group every class is first compared with the group's
    leader, the class with the fewest shingles of its own; components are formed from the links
    found, and then only classes outside a group's largest component are compared with the rest
-   of the group.  Pairs inside a component need no comparison, and none across is left out.
+   of the group, and only where counts leave room: two classes share at most what the lesser
+   shares with the leader and what neither has to itself; then parity sketches bound what
+   they share, and only pairs that pass have their sets compared.  Pairs inside a component need no
+   comparison, and none across that could link is left out.
 
 Null and empty texts have the empty set and link with nothing; fewer than five words make one
 shingle of the whole sequence.  Repeated rows are copies; rows of one doc_id with different
@@ -31,7 +36,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -90,76 +96,126 @@ def set_keys(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out[0], out[1]
 
 
-def _dealt(batches: Iterator[pa.RecordBatch], buckets: int, k: int) -> Iterator[pa.RecordBatch]:
-    """Sampled hashes by bucket with the documents they are of, and the documents' sizes and set keys."""
-    held: list[tuple] = []
-    n_held = 0
-
-    def flush() -> pa.RecordBatch:
-        ids = np.concatenate([x[0] for x in held])
-        hashes = np.concatenate([x[1] for x in held])
-        sizes = np.concatenate([x[2] for x in held])
-        keys = [np.concatenate([x[i] for x in held]) for i in (3, 4)]
-        owner = np.repeat(np.arange(len(ids)), np.concatenate([x[5] for x in held]))
-        bucket = (hashes % U64(buckets)).astype(np.int32)
+DEALT = "bucket int, chunk long, docs binary, counts binary, hashes binary"
+
+
+class _Dealer:
+    """Gathers sets and deals their hashes out by bucket: for each chunk of sets a row for each bucket, and one with the sets' ids, sizes and keys."""
+
+    def __init__(self, buckets: int):
+        self.buckets, self.held, self.size, self.made = buckets, [], 0, 0
+        self.base = TaskContext.get().partitionId() << 32
+
+    def add(self, ids: np.ndarray, hashes: np.ndarray, each: np.ndarray, sizes: np.ndarray, keys: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """`each`: how many of the hashes are of each set; `sizes`: how many it has altogether."""
+        self.held.append((ids, hashes, each, sizes, *keys))
+        self.size += len(hashes) + len(ids)
+        if self.size >= CHUNK_HASHES:
+            yield self.rows()
+
+    def rows(self) -> pa.RecordBatch:
+        ids, hashes, each, sizes, first, second = [np.concatenate(x) for x in zip(*self.held, strict=True)]
+        chunk = self.base + self.made
+        self.held, self.size, self.made = [], 0, self.made + 1
+        owner = np.repeat(np.arange(len(ids)), each)
+        bucket = (hashes % U64(self.buckets)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
         hashes, owner, bucket = hashes[order], owner[order], bucket[order]
-        cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-        rows = {"bucket": [buckets + int(ids[0] & 0x7FFF) % buckets], "ids": [ids.tobytes()], "counts": [sizes.astype("<u4").tobytes()], "hashes": [keys[0].tobytes() + keys[1].tobytes()]}
-        for b in range(buckets):
+        cuts = np.searchsorted(bucket, np.arange(self.buckets + 1))
+        rows: list[tuple] = [(self.buckets + chunk % self.buckets, ids.tobytes(), sizes.astype("<u4").tobytes(), first.tobytes() + second.tobytes())]
+        for b in range(self.buckets):
             own = slice(cuts[b], cuts[b + 1])
             docs, counts = np.unique(owner[own], return_counts=True)
             if len(docs):
-                for name, value in (("bucket", b), ("ids", ids[docs].tobytes()), ("counts", counts.astype("<u4").tobytes()), ("hashes", hashes[own].tobytes())):
-                    rows[name].append(value)
-        return pa.RecordBatch.from_pydict({"bucket": pa.array(rows["bucket"], pa.int32()), **{n: pa.array(rows[n], pa.binary()) for n in ("ids", "counts", "hashes")}})
+                rows.append((b, common.packed(np.diff(docs, prepend=0)), common.packed(counts), hashes[own].tobytes()))
+        bucket, *rest = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array([chunk] * len(rows), pa.int64()), *[pa.array(x, pa.binary()) for x in rest]], names=["bucket", "chunk", "docs", "counts", "hashes"])
+
 
-    limit = U64(int(SAMPLE * 2**64))
+def _dealt(batches: Iterator[pa.RecordBatch], buckets: int, k: int) -> Iterator[pa.RecordBatch]:
+    """Sampled hashes of the documents' sets."""
+    dealer, limit = _Dealer(buckets), U64(int(SAMPLE * 2**64))
     for batch in batches:
         for ids, data, offsets in common.text_blocks(batch.column(0).to_pylist(), batch.column(1)):
             hashes, sizes = block_sets(data, offsets, k)
-            first, second = set_keys(hashes, sizes)
             kept = hashes < limit
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            held.append((np.array(ids, dtype=np.int64), hashes[kept], sizes, first, second, np.bincount(owner[kept], minlength=len(sizes))))
-            n_held += int(kept.sum()) + len(ids)
-            if n_held >= CHUNK_HASHES:
-                yield flush()
-                held.clear()
-                n_held = 0
-    if held:
-        yield flush()
+            each = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[kept], minlength=len(sizes))
+            yield from dealer.add(np.array(ids, dtype=np.int64), hashes[kept], each, sizes, set_keys(hashes, sizes))
+    if dealer.held:
+        yield dealer.rows()
+
+
+def _dealt_sets(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """All hashes of the sets that are left."""
+    dealer = _Dealer(buckets)
+    for batch in batches:
+        for node, hashes in zip(batch.column("node").to_pylist(), batch.column("hashes").to_pylist(), strict=True):
+            hashes, node = np.frombuffer(hashes, dtype=U64), np.array([node], dtype=np.int64)
+            size = np.array([len(hashes)])
+            yield from dealer.add(node, hashes, size, size, (node.view(U64), node.view(U64)))
+    if dealer.held:
+        yield dealer.rows()
+
+
+OWN = "chunk long, bucket int, docs binary, counts binary, keys binary"
 
 
 def _own_counts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """How many hashes each document has to itself, by bucket; sizes and keys pass through."""
-    held: dict[int, list] = {}
+    """To each chunk, how many hashes of a bucket its sets have to themselves; the chunks' own rows pass through as bucket -1."""
 
-    def made(ids, own, n, first, second) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(own, pa.int64()), pa.array(n, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64())], names=["id", "own", "n", "first", "second"])
+    def made(chunk: int, bucket: int, docs: bytes, counts: bytes, keys: bytes | None) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([bucket], pa.int32()), *[pa.array([x], pa.binary()) for x in (docs, counts, keys)]], names=["chunk", "bucket", "docs", "counts", "keys"])
 
+    held: dict[int, list] = {}
     for batch in batches:
-        for b, ids, counts, hashes in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
-            ids, counts = np.frombuffer(ids, dtype=np.int64), np.frombuffer(counts, dtype="<u4")
-            hashes = np.frombuffer(hashes, dtype=U64)
+        for b, chunk, docs, counts, hashes in zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True):
             if b >= buckets:
-                yield made(ids, pa.nulls(len(ids), pa.int64()), counts.astype(np.int64), hashes[: len(ids)].view(np.int64), hashes[len(ids) :].view(np.int64))
+                yield made(chunk, -1, docs, counts, hashes)
             else:
-                held.setdefault(b, []).append((ids, counts, hashes))
+                held.setdefault(b, []).append((chunk, docs, common.unpacked(counts), np.frombuffer(hashes, dtype=U64)))
     for b in list(held):
         parts = held.pop(b)
-        ids, counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        hashes = np.concatenate([p[2] for p in parts])
+        hashes = np.concatenate([p[3] for p in parts])
         order = np.argsort(hashes)
         ranked = hashes[order]
         same = ranked[1:] == ranked[:-1]
         alone = np.ones(len(ranked), dtype=bool)
         alone[1:] &= ~same
         alone[:-1] &= ~same
-        own = np.bincount(np.repeat(np.arange(len(ids)), counts)[order[alone]], minlength=len(ids))
-        some = own > 0
-        none = pa.nulls(int(some.sum()), pa.int64())
-        yield made(ids[some], own[some], none, none, none)
+        flag = np.zeros(len(ranked), dtype=np.int64)
+        flag[order] = alone
+        at = 0
+        for chunk, docs, counts, _ in parts:
+            begins = np.cumsum(counts) - counts
+            own = np.add.reduceat(flag[at : at + int(counts.sum())], begins)
+            at += int(counts.sum())
+            yield made(chunk, b, docs, common.packed(own), None)
+
+
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows stand by chunk, its own first: id, own, n, first, second of each set."""
+
+    def made() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, own, sizes, keys[: len(ids)], keys[len(ids) :])], names=["id", "own", "n", "first", "second"])
+
+    ids = own = sizes = keys = None
+    for batch in batches:
+        for bucket, docs, counts, own_keys in zip(*[batch.column(c).to_pylist() for c in ("bucket", "docs", "counts", "keys")], strict=True):
+            if bucket < 0:
+                if ids is not None:
+                    yield made()
+                ids, sizes, keys = np.frombuffer(docs, dtype=np.int64), np.frombuffer(counts, dtype="<u4").astype(np.int64), np.frombuffer(own_keys, dtype=np.int64)
+                own = np.zeros(len(ids), dtype=np.int64)
+            else:
+                own[np.cumsum(common.unpacked(docs))] += common.unpacked(counts)
+    if ids is not None:
+        yield made()
+
+
+def _counted(dealt: DataFrame, buckets: int) -> DataFrame:
+    """Of each set: id, own (how many of the hashes dealt no other set has), n, first, second."""
+    own = dealt.repartition(buckets, "bucket").mapInArrow(lambda b: _own_counts(b, buckets), OWN)
+    return own.repartition(buckets, "chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(_totals, "id long, own long, n long, first long, second long")
 
 
 def _levels(n: int) -> list[int]:
@@ -172,6 +228,12 @@ def _subclasses(level: int) -> int:
     return 1 << max(0, level - 5)
 
 
+def _sketch(hashes: np.ndarray) -> bytes:
+    """Parities of the hashes over four bits for each of the next lower power of two; two sets differ in as many hashes as bits, at least."""
+    bits = 4 << (len(hashes).bit_length() - 1) if len(hashes) > 1 else 8
+    return np.packbits((np.bincount((hashes >> U64(20)) & U64(bits - 1), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """The sets of the documents that stand for their classes."""
     for batch in batches:
@@ -184,7 +246,7 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
             keep = np.flatnonzero(first.view(np.int64) == want[at : at + len(ids)]).tolist()
             at += len(ids)
             if keep:
-                yield pa.RecordBatch.from_pydict({"node": pa.array(first.view(np.int64)[keep], pa.int64()), "n": pa.array(sizes[keep], pa.int64()), "hashes": pa.array([hashes[ends[i] - sizes[i] : ends[i]].tobytes() for i in keep], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"node": pa.array(first.view(np.int64)[keep], pa.int64()), "n": pa.array(sizes[keep], pa.int64()), "hashes": pa.array([hashes[ends[i] - sizes[i] : ends[i]].tobytes() for i in keep], pa.binary()), "bits": pa.array([_sketch(hashes[ends[i] - sizes[i] : ends[i]]) for i in keep], pa.binary())})
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,32 +283,57 @@ def _combinations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     yield pa.RecordBatch.from_arrays([pa.array(sigs.view(np.int64), pa.int64()), pa.array(np.full(len(sigs), node), pa.int64())], names=["sig", "node"])
 
 
-def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows stand by u, the set of u itself first (v null); of the others those are kept whose set links with u's."""
-    now, left = None, np.empty(0, dtype=U64)
+def _shared(left: np.ndarray, right: np.ndarray) -> int:
+    """Size of the intersection of two ordered sets."""
+    if not len(left):
+        return 0
+    at = np.searchsorted(left, right)
+    at[at == len(left)] = 0
+    return int((left[at] == right).sum())
+
+
+def _differing(left: np.ndarray, right: np.ndarray) -> int:
+    """Bits in which two sketches differ, the longer folded to the other's length."""
+    while len(left) > len(right):
+        left = left[: len(left) // 2] ^ left[len(left) // 2 :]
+    while len(right) > len(left):
+        right = right[: len(right) // 2] ^ right[len(right) // 2 :]
+    return int(np.bitwise_count(left ^ right).sum())
+
+
+def _compared(batches: Iterator[pa.RecordBatch], exact: bool) -> Iterator[pa.RecordBatch]:
+    """Rows stand by u, the set of u itself first (v null)."""
+    now, left, n_left = None, np.empty(0, dtype=U64), 0
     for batch in batches:
-        us, vs = [], []
-        for u, v, hashes in zip(*[batch.column(c).to_pylist() for c in ("u", "v", "hashes")], strict=True):
-            right = np.frombuffer(hashes, dtype=U64)
+        rows = []
+        for u, v, n, data in zip(*[batch.column(c).to_pylist() for c in ("u", "v", "n", "data")], strict=True):
+            right = np.frombuffer(data, dtype=U64 if exact else np.uint8)
             if v is None:
-                now, left = u, right
+                now, left, n_left = u, right, n
             elif u == now:
-                at = np.searchsorted(left, right)
-                at[at == len(left)] = 0
-                both = int((left[at] == right).sum()) if len(left) else 0
-                if 100 * both >= percent * (len(left) + len(right) - both):
-                    us.append(u)
-                    vs.append(v)
-        if us:
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
-
-
-def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """pairs(u, v) whose sets link. A set travels once for each u that it is compared with."""
-    members = pairs.join(sets.select(F.col("node").alias("v"), "hashes"), "v").select("u", "v", "hashes")
-    own = sets.join(pairs.select(F.col("u").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("u"), F.lit(None).cast("long").alias("v"), "hashes")
+                both = _shared(left, right) if exact else (n_left + n - _differing(left, right)) // 2
+                rows.append((u, v, both, n_left + n))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["u", "v", "both", "sizes"])
+
+
+def overlaps(pairs: DataFrame, sets: DataFrame, exact: bool = True) -> DataFrame:
+    """pairs(u, v) with `both`, how many shingles they share (at most, by sketches, if not exact), and `sizes`, how many they have.
+    A set or sketch travels once for each u that it is compared with."""
+    data = sets.select("node", "n", F.col("hashes" if exact else "bits").alias("data"))
+    members = pairs.join(data.withColumnRenamed("node", "v"), "v").select("u", "v", "n", "data")
+    own = data.join(pairs.select(F.col("u").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("u"), F.lit(None).cast("long").alias("v"), "n", "data")
     rows = own.unionByName(members).repartition(common.n_buckets(pairs.sparkSession), "u").sortWithinPartitions("u", F.col("v").asc_nulls_first())
-    return rows.mapInArrow(lambda batches: _verified(batches, percent), "u long, v long")
+    return rows.mapInArrow(lambda batches: _compared(batches, exact), "u long, v long, both long, sizes long")
+
+
+LINKED = f"100 * both >= {PERCENT} * (sizes - both)"
+
+
+def _may_link(n: str, own: str, m: str, m_own: str) -> F.Column:
+    """Whether sizes and the shingles that each has to itself leave room for a link."""
+    shared = F.least(F.col(n) - F.col(own), F.col(m) - F.col(m_own))
+    return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & ((100 + PERCENT) * shared >= PERCENT * (F.col(n) + F.col(m)))
 
 
 def _links(nodes: DataFrame, sets: DataFrame) -> DataFrame:
@@ -261,26 +348,38 @@ def _links(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     signed = common.staged(signed.join(nodes, "node"), "signatures")  # sig, node, n, own
 
     # the leader of a group has the smallest share of shingles to itself
-    rank = F.struct((F.col("own") / F.col("n")).alias("share"), F.col("node").alias("leader"), F.col("n").alias("leader_n"))
+    rank = F.struct((F.col("own") / F.col("n")).alias("share"), F.col("node").alias("leader"))
     groups = signed.groupBy("sig").agg(F.min(rank).alias("first"), F.count("*").alias("size")).where("size > 1")
-    close = (100 * F.least("n", "leader_n") >= PERCENT * F.greatest("n", "leader_n"))
-    stars = signed.join(groups.select("sig", "first.leader", "first.leader_n"), "sig").where(F.col("node") != F.col("leader")).where(close)
-    pairs = common.staged(stars.select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct(), "pairs")
-    edges = common.staged(verify(pairs, sets), "edges")
+    groups = groups.select("sig", "first.leader")
+    led = common.staged(signed.join(groups.select("sig", "leader"), "sig"), "led")
+    pairs = led.where(F.col("node") != F.col("leader")).select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct()
+    stars = common.staged(overlaps(pairs, sets), "stars")
+    edges = stars.where(LINKED).select("u", "v")
     labels = common.staged(components(edges), "labels")
 
-    # what is left: groups that hold several components
-    labelled = signed.join(labels.withColumnRenamed("u", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    parts = labelled.groupBy("sig", "component").agg(F.count("*").alias("size"))
-    tops = parts.groupBy("sig").agg(F.max(F.struct("size", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("sig", F.col("top.component").alias("top"))
-    open_ = common.staged(labelled.join(tops, "sig").select("sig", "node", "n", "component", "top"), "open")
-    outside = open_.where(F.col("component") != F.col("top")).select("sig", F.col("node").alias("u"), F.col("n").alias("un"), F.col("component").alias("uc"))
-    other = open_.select("sig", F.col("node").alias("v"), F.col("n").alias("vn"), F.col("component").alias("vc"), "top")
-    fits = (F.col("uc") != F.col("vc")) & (100 * F.least("un", "vn") >= PERCENT * F.greatest("un", "vn")) & ((F.col("vc") == F.col("top")) | (F.col("u") < F.col("v")))
-    crossed = outside.join(other, (outside["sig"] == other["sig"]) & fits).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    tried = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    # what is left: leaders whose groups hold several components
+    led = led.groupBy("leader", "node", "n", "own").agg(F.collect_list("sig").alias("sigs"))
+    led = led.join(labels.withColumnRenamed("u", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    parts = led.groupBy("leader", "component").agg(F.count("*").alias("size"))
+    tops = parts.groupBy("leader").agg(F.max(F.struct("size", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("leader", F.col("top.component").alias("top"))
+    with_leader = stars.select(F.col("u").alias("leader"), F.col("v").alias("node"), F.col("both").alias("with_leader"))
+    open_ = led.join(tops, "leader").join(with_leader, ["leader", "node"], "left").withColumn("with_leader", F.when(F.col("node") == F.col("leader"), F.col("n")).otherwise(F.col("with_leader")))
+    open_ = common.staged(open_, "open")
+    common.unstage(signed)
+    side = lambda x: [F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("n", "own", "with_leader", "component", "sigs")]]
+    outside = open_.where(F.col("component") != F.col("top")).select("leader", *side("u"))
+    other = open_.select("leader", "top", *side("v"))
+    # shared shingles are the leader's, or else neither's own
+    beyond = F.least(F.col("u_n") - F.col("u_own") - F.col("u_with_leader"), F.col("v_n") - F.col("v_own") - F.col("v_with_leader"))
+    most = F.least("u_with_leader", "v_with_leader") + beyond
+    fits = (F.col("u_component") != F.col("v_component")) & ((F.col("v_component") == F.col("top")) | (F.col("u") < F.col("v")))
+    fits &= _may_link("u_n", "u_own", "v_n", "v_own") & ((100 + PERCENT) * most >= PERCENT * (F.col("u_n") + F.col("v_n")))
+    fits &= F.arrays_overlap("u_sigs", "v_sigs")
+    crossed = outside.join(other, (outside["leader"] == other["leader"]) & fits).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    tried = stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     rest = common.staged(crossed.join(tried, ["u", "v"], "left_anti"), "rest")
-    late = common.staged(verify(rest, sets), "edges")
+    near = common.staged(overlaps(rest, sets, exact=False).where(LINKED).select("u", "v"), "near")
+    late = common.staged(overlaps(near, sets).where(LINKED).select("u", "v"), "edges")
     if late.isEmpty():
         return labels
     return components(labels.select("u", F.col("component").alias("v")).unionByName(late))
@@ -292,25 +391,21 @@ def joined(docs: DataFrame, k: int = K) -> DataFrame:
     common.small_batches(spark)
     buckets = common.n_buckets(spark)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.col("text").cast("binary").alias("text"))
-    dealt = rows.mapInArrow(lambda b: _dealt(b, buckets, k), "bucket int, ids binary, counts binary, hashes binary").repartition(buckets, "bucket")
-    counted = dealt.mapInArrow(lambda b: _own_counts(b, buckets), "id long, own long, n long, first long, second long")
-    # a row for each set of a doc_id, with how many rows have it, and one for the shingles it has to itself
-    counted = counted.groupBy("id", "first", "second", "n").agg(F.sum("own").alias("own"), F.count("*").alias("rows"))
-    counted = common.staged(counted, "sizes")
-    own = counted.where("first is null").select("id", "own")
-    sized = counted.where("first is not null").drop("own").join(own, "id", "left").fillna(0, ["own"])
+    sized = common.staged(_counted(rows.mapInArrow(lambda b: _dealt(b, buckets, k), DEALT), buckets), "sizes")
     classes = sized.where("n > 0").groupBy("first", "second", "n").agg(F.min("id").alias("id"), F.min("own").alias("own"))
     misses = F.col("n") - F.ceil(F.col("n") * PERCENT / 100).cast("long")
     alive = common.staged(classes.where(F.col("own") <= misses).dropDuplicates(["first"]).select("id", F.col("first").alias("node"), "n", "own"), "alive")
-    sets = rows.join(alive.select("id", "node"), "id").select("id", "text", "node").mapInArrow(lambda b: _sets(b, k), "node long, n long, hashes binary").dropDuplicates(["node"])
+    sets = rows.join(alive.select("id", "node"), "id").select("id", "text", "node").mapInArrow(lambda b: _sets(b, k), "node long, n long, hashes binary, bits binary").dropDuplicates(["node"])
     sets = common.staged(sets, "sets")
-    links = _links(alive.select("node", "n", "own"), sets)
+    again = _counted(sets.mapInArrow(lambda b: _dealt_sets(b, buckets), DEALT), buckets).select(F.col("id").alias("node"), "own")
+    nodes = alive.select("node", "n").join(again, "node", "left").fillna(0, ["own"]).where(F.col("own") <= misses)
+    nodes = common.staged(nodes, "nodes")
+    links = _links(nodes, sets.join(nodes.select("node"), "node", "left_semi"))
     linked = common.staged(links.select(F.col("u").alias("first"), "component"), "links")
 
     whole = sized.join(linked, "first", "left").withColumn("component", F.when(F.col("n") > 0, F.coalesce("component", "first")))
     least = whole.where("n > 0").groupBy("component").agg(F.min("id").alias("component_id"))
     out = whole.join(least, "component", "left").withColumn("component_id", F.coalesce("component_id", "id"))
-    out = out.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), "rows")))
     named = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     return out.select(named("id").alias("doc_id"), F.col("n").alias("n_shingles"), named("component_id").alias("component_id"))
 

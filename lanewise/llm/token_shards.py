@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import json
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -41,46 +42,131 @@ from .common import mix_int
 MAGIC, VERSION = b"LWTOKENS", 1
 TRAILER = struct.Struct("<8sIIQQQ24x")
 GOLD = 0x9E3779B97F4A7C15
-CACHE_WORDS = 400_000
-PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+CACHE_WORDS, BLOCK_BYTES = 1_500_000, 3 << 20
+PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 # --- encoding ------------------------------------------------------------------------
 
 
-class WordEncoder(dict):
-    """Word (bytes without ASCII whitespace) -> packed ids.
+def _whole(stem: str) -> bool:
+    """Whether lower-casing and composing keep these letters letters."""
+    return unicodedata.normalize("NFC", stem).lower().isalpha()
 
-    The tokenizer drops white space and no id spans it, so a text's ids are its words' ids
-    in order.  An ASCII word that is letters and then punctuation is put together from
-    both parts, which the tokenizer's own pattern parts there too."""
+
+class WordEncoder:
+    """Packed ids of texts, put together from the ids of their words.
+
+    The tokenizer lower-cases, drops white space and lets no id span it, so a text's ids are
+    its words' ids in order.  Texts are cut into words, and words into what ends with an ASCII
+    letter or digit and the ASCII punctuation after it, which the tokenizer's own pattern parts
+    there too; both by numpy over many texts at once.  New words go to the tokenizer, runs of
+    letters many in a call, cut where word-end ids stand; known ones are found by hash.  A text
+    that may spell a special token goes to the tokenizer whole."""
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.width = 2 if max(self.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1) <= 1 << 16 else 4
+        size = max(self.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1)
+        self.width = 2 if size <= 1 << 16 else 4
         self.dtype = f"<u{self.width}"
-        self.end = np.array([end_id], dtype=self.dtype).tobytes()
-
-    def __missing__(self, word: bytes) -> bytes:
-        text, got = word.decode(), None
-        if text.isascii():
-            low = text.lower()
-            stem = low.rstrip(PUNCTUATION)
-            if stem != text and (stem.isalpha() or not stem and low != text):
-                got = self[stem.encode()] + (self[low[len(stem) :].encode()] if len(stem) < len(low) else b"")
-        if got is None:
-            got = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
-        if len(word) <= 64:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[word] = got
-        return got
-
-    def document(self, text: bytes | None) -> bytes:
-        return b"".join(map(self.__getitem__, (text or b"").split())) + self.end
+        self.end = self.pack([end_id])
+        self.ends_word = np.zeros(size, dtype=bool)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.ends_word[i] = token.endswith("</w>")
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.known: dict[int, bytes] = {}
+        self.is_punctuation, self.is_alnum = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+        self.is_punctuation[list(PUNCTUATION)] = True
+        self.is_alnum[[i for i in range(128) if chr(i).isalnum()]] = True
+
+    def pack(self, ids: list[int]) -> bytes:
+        return np.array(ids, dtype=self.dtype).tobytes()
+
+    def alone(self, text: str) -> bytes:
+        return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def together(self, stems: list[bytes]) -> list[bytes]:
+        """Ids of runs of letters."""
+        ids = self.tokenizer.encode_batch_fast([b" ".join(stems).decode()], add_special_tokens=False)[0].ids
+        ids = np.array(ids, dtype=self.dtype)
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(ends) != len(stems) or len(ids) and ends[-1] != len(ids):
+            return [self.alone(x.decode()) for x in stems]
+        packed = ids.tobytes()
+        at = [0, *(ends * self.width).tolist()]
+        return [packed[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+    def learn(self, hashes: list[int], words: list[bytes]) -> None:
+        letters = [w.isalpha() or not w.isascii() and _whole(w.decode()) for w in words]
+        runs = [i for i, ok in enumerate(letters) if ok]
+        for a in range(0, len(runs), 2_000):
+            part = runs[a : a + 2_000]
+            self.known.update(zip([hashes[i] for i in part], self.together([words[i] for i in part]), strict=True))
+        for i, ok in enumerate(letters):
+            if not ok:
+                self.known[hashes[i]] = self.alone(words[i].decode())
+
+    def _units(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where units begin and end, and how many each text has."""
+        s, e, counts = common.word_spans(data, offsets)
+        solid = np.where(self.is_punctuation[data], -1, np.arange(len(data)))
+        t = np.maximum.accumulate(solid)[e - 1] + 1
+        cut = (t > s) & (t < e) & self.is_alnum[data[np.maximum(t, 1) - 1]]
+        each = 1 + cut
+        second = np.cumsum(each)[cut] - 1
+        begins, ends = np.repeat(s, each), np.repeat(e, each)
+        begins[second] = t[cut]
+        ends[second - 1] = t[cut]
+        before = np.concatenate([[0], np.cumsum(each)])
+        return begins, ends, np.diff(before[np.concatenate([[0], np.cumsum(counts)])])
+
+    def _block(self, texts: list[bytes]) -> Iterator[bytes]:
+        raw = b"".join(texts).lower()
+        data = np.frombuffer(raw, dtype=np.uint8)
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64)
+        if not len(data):
+            yield from (self.end for _ in texts)
+            return
+        begins, ends, counts = self._units(data, offsets)
+        unique, first, at = np.unique(common.span_hashes(data, begins, ends), return_index=True, return_inverse=True)
+        hashes = unique.tolist()
+        known = self.known
+        new = [i for i, h in enumerate(hashes) if h not in known]
+        if len(known) + len(new) > CACHE_WORDS and known:
+            known.clear()
+            new = list(range(len(hashes)))
+        spans = zip(begins[first[new]].tolist(), ends[first[new]].tolist(), strict=True)
+        self.learn([hashes[i] for i in new], [raw[a:b] for a, b in spans])
+        values = [known[h] for h in hashes]
+        flat = np.frombuffer(b"".join(values), dtype=self.dtype)
+        sizes = np.fromiter(map(len, values), dtype=np.int64, count=len(values)) // self.width
+        starts = np.cumsum(sizes) - sizes
+        own = sizes[at]
+        total = np.concatenate([[0], np.cumsum(own)])
+        out = flat[np.repeat(starts[at] - total[:-1], own) + np.arange(total[-1])].tobytes()
+        cuts = (total[np.concatenate([[0], np.cumsum(counts)])] * self.width).tolist()
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield out[a:b] + self.end
+
+    def documents(self, texts: list[bytes | None]) -> Iterator[bytes]:
+        """Ids of each text with the end id."""
+        held: list[bytes] = []
+        size = 0
+        for text in texts:
+            text = text or b""
+            if any(x in text for x in self.special):
+                yield from self._block(held)
+                held, size = [], 0
+                yield self.alone(text.decode()) + self.end
+                continue
+            held.append(text)
+            size += len(text)
+            if size >= BLOCK_BYTES:
+                yield from self._block(held)
+                held, size = [], 0
+        yield from self._block(held)
 
 
 @cache
@@ -205,8 +291,7 @@ def write_shards(df: DataFrame, folder: str, path: str, end_id: int, shards: int
             if out is None and ids:
                 fs.create_dir(base, recursive=True)
                 out = fs.open_output_stream(part)
-            for key, text in zip(ids, texts, strict=True):
-                got = enc.document(text)
+            for key, got in zip(ids, enc.documents(texts), strict=True):
                 out.write(got)
                 keys.append(key)
                 starts.append(starts[-1] + len(got) // enc.width)
