@@ -215,13 +215,13 @@ def first_two_operands(spark, sf_dir):
 
 # --- splits and problems -------------------------------------------------------------
 
-_OP = F.element_at(F.array(*map(F.lit, calc.OPS)), (F.col("l_linenumber") % 3 + 1).cast("int"))
 _OP_SQL = "['add', 'sub', 'mul'][l_linenumber % 3 + 1]"
 _SPLIT_SQL = f"SELECT l_orderkey, l_linenumber, {_OP_SQL} AS op, CASE WHEN h < 80 THEN 'train' WHEN h < 90 THEN 'val' ELSE 'test' END AS split FROM (SELECT *, (('0x' || md5(concat_ws(':', {_OP_SQL}, l_orderkey, l_partkey))[1:8])::BIGINT) % 100 AS h FROM lineitem)"
 
 
 def _split(spark, sf_dir):
-    rows = lineitem(spark, sf_dir).withColumn("op", _OP)
+    op = F.element_at(F.array(*map(F.lit, calc.OPS)), (F.col("l_linenumber") % 3 + 1).cast("int"))
+    rows = lineitem(spark, sf_dir).withColumn("op", op)
     return rows.withColumn("split", corpus.split_of(F.col("op"), F.col("l_orderkey"), F.col("l_partkey")))
 
 
