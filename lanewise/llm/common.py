@@ -9,6 +9,7 @@ made for a word.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -67,6 +68,25 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+@contextlib.contextmanager
+def prefiltered_joins(spark: SparkSession) -> Iterator[None]:
+    """While it holds, Spark puts a Bloom filter of a join's filtered side (of a fixed size, 8 MB at most) before the
+    other side's shuffle, whatever the sizes. Beyond what the filter can tell apart it only lets more rows through."""
+    prefix = "spark.sql.optimizer.runtime.bloomFilter."
+    own = {"enabled": "true", "applicationSideScanSizeThreshold": "0", "creationSideThreshold": "10g"}
+    before = {k: spark.conf.get(prefix + k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(prefix + k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(prefix + k)
+            else:
+                spark.conf.set(prefix + k, v)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

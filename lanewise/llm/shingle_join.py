@@ -395,8 +395,9 @@ def joined(docs: DataFrame, k: int = K) -> DataFrame:
     classes = sized.where("n > 0").groupBy("first", "second", "n").agg(F.min("id").alias("id"), F.min("own").alias("own"))
     misses = F.col("n") - F.ceil(F.col("n") * PERCENT / 100).cast("long")
     alive = common.staged(classes.where(F.col("own") <= misses).dropDuplicates(["first"]).select("id", F.col("first").alias("node"), "n", "own"), "alive")
-    sets = rows.join(alive.select("id", "node"), "id").select("id", "text", "node").mapInArrow(lambda b: _sets(b, k), "node long, n long, hashes binary, bits binary").dropDuplicates(["node"])
-    sets = common.staged(sets, "sets")
+    with common.prefiltered_joins(spark):  # most texts need not travel
+        sets = rows.join(alive.where("n > 0").select("id", "node"), "id").select("id", "text", "node")
+        sets = common.staged(sets.mapInArrow(lambda b: _sets(b, k), "node long, n long, hashes binary, bits binary").dropDuplicates(["node"]), "sets")
     again = _counted(sets.mapInArrow(lambda b: _dealt_sets(b, buckets), DEALT), buckets).select(F.col("id").alias("node"), "own")
     nodes = alive.select("node", "n").join(again, "node", "left").fillna(0, ["own"]).where(F.col("own") <= misses)
     nodes = common.staged(nodes, "nodes")
