@@ -25,6 +25,7 @@ BLOCK_BYTES = 1 << 19
 ARROW_ROWS, ARROW_BYTES = 512, 4 << 20
 
 _own_dir: list[str] = []
+_scratch: list[list[str]] = []
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,17 +58,31 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends there, and a lost executor loses nothing."""
+def staged(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+    """Writes df to the shared folder and reads it back: lineage ends there, and a lost executor loses nothing.
+    Within scratch() the table goes when that ends, unless it is to be kept."""
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
+    if _scratch and not keep:
+        _scratch[-1].append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lanewise_path = path
     spark._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files that the write needed
     return out
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables staged while it holds are deleted when it ends; nothing that is returned may read them."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            drop_path(spark, path)
+
+
 @contextlib.contextmanager
 def prefiltered_joins(spark: SparkSession) -> Iterator[None]:
     """While it holds, Spark puts a Bloom filter of a join's filtered side (of a fixed size, 8 MB at most) before the
@@ -101,6 +116,11 @@ def n_buckets(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def n_tasks(spark: SparkSession) -> int:
+    """Tasks for a step whose result is written and whose rows are worked off one after another: fewer, and so fewer files."""
+    return -(-n_buckets(spark) // 3)
+
+
 # --- hashing -------------------------------------------------------------------------
 
 

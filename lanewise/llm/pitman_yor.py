@@ -327,10 +327,14 @@ def _discount(n1: int, n2: int) -> float:
 
 def scored(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> a row for each, scored by a model of those that are not held out."""
+    with common.scratch(docs.sparkSession):
+        return common.staged(_scored(docs), "scores", keep=True)
+
+
+def _scored(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     common.small_batches(spark)
-    parts = common.n_buckets(spark)
-    buckets = 2 * parts
+    parts, buckets = common.n_tasks(spark), 2 * common.n_buckets(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     chunks = common.staged(rows.mapInArrow(_chunks, CHUNKS), "chunks")
 
