@@ -87,12 +87,13 @@ def scanned(files: DataFrame, path: str = "path", text: str = "text") -> DataFra
     key = F.xxhash64(path, text).alias("__key")
     words = F.size(_terms(F.coalesce(text, F.lit(""))))
     # lines with notices only; the texts themselves are not shuffled for them
-    found = common.staged(notices(files.select(key, F.col(path).alias("path"), words.alias("words"), F.col(text).alias("text")), ["__key", "path", "words"], "text").dropDuplicates(["__key", "path", "number"]), "notices")
-    kinds = common.staged(classified(found), "kinds")
-    own = found.join(kinds, "line").withColumn("most", 2 * F.size(_terms(F.col("line"))) >= F.col("words"))
-    rank = F.max(F.struct("score", (-F.col("number")).alias("back"), "license", "most")).alias("best")
-    own = own.groupBy("__key", "path").agg(rank).select("__key", "path", F.col("best.license").alias("own_license"), F.col("best.score").alias("own_score"), F.col("best.most").alias("is_license_file"))
-    own = common.staged(own, "own")
+    with common.scratch(files.sparkSession):
+        found = common.staged(notices(files.select(key, F.col(path).alias("path"), words.alias("words"), F.col(text).alias("text")), ["__key", "path", "words"], "text").dropDuplicates(["__key", "path", "number"]), "notices")
+        kinds = common.staged(classified(found), "kinds")
+        own = found.join(kinds, "line").withColumn("most", 2 * F.size(_terms(F.col("line"))) >= F.col("words"))
+        rank = F.max(F.struct("score", (-F.col("number")).alias("back"), "license", "most")).alias("best")
+        own = own.groupBy("__key", "path").agg(rank).select("__key", "path", F.col("best.license").alias("own_license"), F.col("best.score").alias("own_score"), F.col("best.most").alias("is_license_file"))
+        own = common.staged(own, "own", keep=True)
 
     folder = lambda c: F.regexp_replace(c, "/?[^/]*$", "")
     speaks = own.where("is_license_file AND path IS NOT NULL").withColumn("folder", folder(F.col("path")))

@@ -61,6 +61,11 @@ def _key(level: int) -> F.Column:
 
 def mix_plan(sizes: DataFrame) -> DataFrame:
     """sizes(doc_id, source, size) -> a row for each source: source_size, target, whole copies, and the hash key below which there is one more."""
+    with common.scratch(sizes.sparkSession):
+        return common.staged(_mix_plan(sizes), "mix-plan", keep=True)
+
+
+def _mix_plan(sizes: DataFrame) -> DataFrame:
     plan = targets(sizes).withColumn("ratio", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     plan = plan.withColumn("whole", F.floor("ratio")).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size"))
     plan = plan.withColumn("below", F.lit(0.0)).withColumn("prefix", F.lit(0).cast("long"))

@@ -249,7 +249,7 @@ def _with_answers(chunks: DataFrame, buckets: int) -> DataFrame:
     """The chunks and what all others together say of their hashes, by chunk."""
     posts = chunks.mapInArrow(lambda b: _posts(b, buckets), POST).repartition(buckets, "bucket").sortWithinPartitions("bucket")
     both = chunks.unionByName(posts.mapInArrow(_answers, CHUNK))
-    return both.repartition(buckets, "chunk").sortWithinPartitions("chunk", "bucket")
+    return both.repartition(common.n_tasks(chunks.sparkSession), "chunk").sortWithinPartitions("chunk", "bucket")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -261,13 +261,11 @@ def repeats(docs: DataFrame) -> DataFrame:
     common.small_batches(docs.sparkSession)
     buckets = common.n_buckets(docs.sparkSession)
     rows = _keyed(docs)
-    suffixes = common.staged(rows.mapInArrow(_suffixes, CHUNK), "suffixes")
-    matched = _with_answers(suffixes, buckets).mapInArrow(lambda b: _matched(b, buckets), "id long, places binary").groupBy("id").agg(F.collect_list("places").alias("matched"))
-    windows = common.staged(rows.join(matched, "id").mapInArrow(_windows, CHUNK), "windows")
-    common.unstage(suffixes)
-    found = common.staged(_with_answers(windows, buckets).mapInArrow(lambda b: _found(b, buckets), FOUND), "spans")
-    common.unstage(windows)
-    return found
+    with common.scratch(docs.sparkSession):
+        suffixes = common.staged(rows.mapInArrow(_suffixes, CHUNK), "suffixes")
+        matched = _with_answers(suffixes, buckets).mapInArrow(lambda b: _matched(b, buckets), "id long, places binary").groupBy("id").agg(F.collect_list("places").alias("matched"))
+        windows = common.staged(rows.join(matched, "id").mapInArrow(_windows, CHUNK), "windows")
+        return common.staged(_with_answers(windows, buckets).mapInArrow(lambda b: _found(b, buckets), FOUND), "spans", keep=True)
 
 
 def _united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
