@@ -102,9 +102,11 @@ def near_pairs(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     return pairs.select("a", "b", likeness("a_sigs", "b_sigs", threshold).alias("likeness")).where(F.col("likeness") >= threshold)
 
 
-def op1_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of all documents and of their edited texts, and their likeness to those and to the next document's."""
-    rows = with_next(common.documents(spark, sf_dir).select("doc_id", "text"))
+def fingerprinted(docs: DataFrame) -> DataFrame:
+    """Fingerprints of docs(doc_id, text) and of their edited texts, and their likeness to those and to the next document's.
+
+    An edited text has the start of the next document's in place of its last third."""
+    rows = with_next(docs.select("doc_id", "text"))
     rows = rows.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("cut", F.floor(F.col("n_chars") / 3).cast("int"))
     rows = rows.withColumn("edited", F.expr("concat(left(text, cast(n_chars as int) - cut), left(next_text, cut))"))
     rows = with_signatures(rows.select("doc_id", "n_chars", "sigs", "next_sigs", "edited"), "edited", "edited_sigs")
@@ -113,3 +115,7 @@ def op1_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
         fingerprint("sigs").alias("fingerprint"), fingerprint("edited_sigs").alias("edited_fingerprint"),
         likeness("sigs", "edited_sigs").alias("near_edited"), likeness("sigs", "next_sigs").alias("near_next"),
     )
+
+
+def op1_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprinted(common.documents(spark, sf_dir))

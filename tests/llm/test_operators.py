@@ -69,6 +69,19 @@ def test_spotsigs_pairs(spark, sample):
     assert got == {frozenset((a, b)) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
 
 
+def test_spotsigs_edges(spark, edge, nothing):
+    rows = spotsigs.fingerprinted(edge).collect()
+    assert len(rows) == edge.count() and spotsigs.fingerprinted(nothing).count() == 0
+    got = collections.defaultdict(list)
+    for r in rows:
+        got[r.doc_id].append(r)
+    assert len({r.fingerprint for r in got[1]}) == 1 and got[2][0].fingerprint == got[3][0].fingerprint == got[4][0].fingerprint
+    assert got[2][0].n_chars == 0 and got[2][0].edited_sha256 == hashlib.sha256(b"").hexdigest() and got[2][0].near_edited == 1.0
+    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in rows)
+    alone = spotsigs.fingerprinted(spark.createDataFrame([(5, "the cat sat on the mat")], "doc_id long, text string")).collect()
+    assert len(alone) == 1 and alone[0].near_next == 1.0
+
+
 # --- 2, 3
 
 
