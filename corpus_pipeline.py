@@ -56,6 +56,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
-    for name, stage in STAGES:
-        docs = common.staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for i, (name, stage) in enumerate(STAGES):
+        kept = common.staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if i:
+            common.unstage(docs)
+        docs = kept
     return docs
