@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import calc, corpus, lanes, locate, vectors
-from ..operators import batches, joined_calc, problems, reports, spans
+from ..operators import batches, heads, joined_calc, problems, reports, spans
 from ..sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -499,6 +499,93 @@ def unit_vectors(spark, sf_dir):
     return tables.parquet(spark, sf_dir, "embeddings").select("vec_id", F.round(own * 1e6).cast("bigint").alias("total"))
 
 
+_SEQ_SQL = f"SELECT *, vec_id // 10 AS seq, CAST(vec_id % 10 AS INTEGER) AS pos FROM ({_LOGITS_SQL}) JOIN (SELECT vec_id, embedding FROM embeddings) USING (vec_id)"
+
+
+def _sequences(spark, sf_dir):
+    """Vectors in sequences of ten."""
+    return _logits(spark, sf_dir).withColumn("seq", F.floor(F.col("vec_id") / 10)).withColumn("pos", (F.col("vec_id") % 10).cast("int"))
+
+
+@query(f"""
+SELECT seq, i, CAST(round(sum(w * x) / sum(w) * 1e6) AS BIGINT) AS pooled FROM (
+  SELECT seq, exp(score - max(score) OVER (PARTITION BY seq)) AS w, unnest(range(3)) AS i, unnest(embedding[1:3]) AS x
+  FROM (SELECT *, logits[1] / sqrt(64) AS score FROM ({_SEQ_SQL}) WHERE pos <= 6)) GROUP BY seq, i""")
+def masked_pool(spark, sf_dir):
+    rows = heads.pooled(_sequences(spark, sf_dir), "seq", "pos", "embedding", WEIGHTS[0], F.lit(6))
+    return rows.select("seq", F.posexplode(F.slice("pooled", 1, 3)).alias("i", "x")).select("seq", F.col("i").cast("bigint").alias("i"), F.round(F.col("x") * 1e6).cast("bigint").alias("pooled"))
+
+
+@query(f"SELECT vec_id, CAST(round((1 + logits[2]) * 1e6) AS BIGINT) AS gain FROM ({_LOGITS_SQL})")
+def gate_gain(spark, sf_dir):
+    return _logits(spark, sf_dir).select("vec_id", F.round(heads.gain(F.col("embedding"), WEIGHTS[1]) * 1e6).cast("bigint").alias("gain"))
+
+
+@query(f"""
+SELECT vec_id, CAST(list_position(logits[1:3], list_max(logits[1:3])) - 1 AS INTEGER) AS op_index,
+       CAST(list_position(logits[1:4], list_max(logits[1:4])) <= 3 AND vec_id % 5 <> 0 AND vec_id % 7 <> 0 AS INTEGER) AS mass
+FROM ({_LOGITS_SQL})""")
+def route_mass(spark, sf_dir):
+    own = heads.routed(F.slice("logits", 1, 4), 3, F.col("vec_id") % 5 == 0, F.col("vec_id") % 7 == 0)
+    return _logits(spark, sf_dir).withColumn("r", own).select("vec_id", "r.op_index", "r.mass")
+
+
+@query(f"""
+SELECT s.seq, CAST(l.place AS INTEGER) AS place, CASE WHEN l.lane < 0 THEN 0 ELSE CAST(list_position(v.logits, list_max(v.logits)) - 1 AS INTEGER) END AS digit
+FROM (SELECT DISTINCT seq FROM ({_SEQ_SQL})) s, (VALUES (0, 7), (1, 3), (2, 0), (3, -1)) AS l(place, lane) LEFT JOIN ({_SEQ_SQL}) v ON v.seq = s.seq AND v.pos = l.lane""")
+def operand_digits(spark, sf_dir):
+    rows = _sequences(spark, sf_dir)
+    lanes_ = rows.select("seq").distinct().withColumn("lane", F.array(*map(F.lit, (7, 3, 0, -1))))
+    return heads.read_operand(rows, lanes_, "seq", "pos", "logits", "lane")
+
+
+@query("""
+SELECT s.seq, s.pos, coalesce(sum(d.label), 0)::BIGINT AS sum FROM (SELECT vec_id // 10 AS seq, CAST(vec_id % 10 AS INTEGER) AS pos FROM embeddings) s
+LEFT JOIN (SELECT vec_id // 10 AS seq, CASE WHEN vec_id % 4 = 0 THEN -1 ELSE CAST(vec_id * 3 % 10 % 5 AS INTEGER) END AS target, label FROM embeddings) d ON d.seq = s.seq AND d.target = s.pos
+GROUP BY s.seq, s.pos""")
+def scatter_add(spark, sf_dir):
+    rows = _sequences(spark, sf_dir).select("seq", "pos", "vec_id", F.col("label").cast("bigint").alias("label"))
+    target = F.when(F.col("vec_id") % 4 == 0, -1).otherwise((F.col("vec_id") * 3 % 10 % 5).cast("int"))
+    return heads.scattered(rows.withColumn("target", target), rows.select("seq", "pos"), "seq", "pos", "target", "label")
+
+
+@query(f"""
+SELECT CAST(round(lm * 1e6) AS BIGINT) AS lm, CAST(round(span * 1e6) AS BIGINT) AS span, CAST(round((lm + 0.5 * span) * 1e6) AS BIGINT) AS loss FROM (
+  SELECT coalesce(avg(-ln(p[label + 1])) FILTER (vec_id % 7 <> 0), 0) AS lm, coalesce(avg(-ln(p[label + 1])) FILTER (vec_id < 0), 0) AS span FROM ({_SOFTMAX_SQL}))""")
+def weighted_losses(spark, sf_dir):
+    rows = _logits(spark, sf_dir).withColumn("p", F.get(vectors.softmax(F.col("logits")), F.col("label")))
+    masked = lambda keep: F.when(keep, F.col("label")).otherwise(-100)
+    losses = {"lm": (vectors.cross_entropy(F.col("p"), masked(F.col("vec_id") % 7 != 0)), 1.0), "span": (vectors.cross_entropy(F.col("p"), masked(F.col("vec_id") < 0)), 0.5)}
+    return rows.agg(*heads.total_loss(losses)).select(*[F.round(F.col(c) * 1e6).cast("bigint").alias(c) for c in ("lm", "span", "loss")])
+
+
+@query("""
+SELECT o_orderkey, result = CAST(o_orderkey + o_custkey AS VARCHAR) AS "right" FROM (
+  SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_orderkey + o_custkey + CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS VARCHAR) ELSE '' END AS result FROM orders)""")
+def gold_and_predicted(spark, sf_dir):
+    orders = tables.parquet(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    gold = orders.select("o_orderkey", calc.calculate_native(F.col("o_orderkey"), F.col("o_custkey"), "add")["result"].alias("result"))
+    off = F.when(F.col("o_orderkey") % 5 == 0, 1).otherwise(0)
+    predicted = orders.where("o_orderkey % 3 <> 0").select("o_orderkey", (F.col("o_orderkey") + F.col("o_custkey") + off).cast("string").alias("result"))
+    return heads.compared(gold, predicted, "o_orderkey", "result").select("o_orderkey", "right")
+
+
+@query("""
+SELECT (SELECT count(*) FROM lineitem) AS n, (SELECT count(*) FROM lineitem WHERE l_orderkey < l_partkey) AS refused,
+       (SELECT CAST(sum(l_orderkey - l_partkey) AS VARCHAR) FROM lineitem WHERE l_orderkey >= l_partkey) AS total""")
+def calc_rollup(spark, sf_dir):
+    rows = _calculated(lineitem(spark, sf_dir), "l_orderkey", "l_partkey", "sub", native=True)
+    return rows.agg(F.count("*").alias("n"), F.count_if("refused").alias("refused"), F.sum(F.col("result").cast("decimal(28,0)")).cast("string").alias("total"))
+
+
+@query(_UNION_SQL)
+def corpus_round_trip(spark, sf_dir):
+    """Problems written as JSON lines and read back."""
+    path = tables.scratch_path(spark, "problems")
+    tables.write_problems(_problems(spark), path)
+    return _texts(tables.read_problems(spark, path))
+
+
 @query()
 def linear_fit(spark, sf_dir):
     """A multinomial head fitted to the labels: its weights, a row for each class."""

@@ -2,12 +2,31 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+from functools import cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PROBLEM = "seq bigint, op string, a decimal(38,0), b decimal(38,0), ans decimal(38,0), prompt string, completion string, roles array<string>, cell string, tmpl int"
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder that the session names, or in a folder of this process where it names none."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{(named or 'file://' + _own_folder()).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+@cache
+def _own_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="lanewise-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def parquet(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
