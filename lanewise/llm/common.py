@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -102,6 +104,25 @@ def prefiltered_joins(spark: SparkSession) -> Iterator[None]:
                 spark.conf.set(prefix + k, v)
 
 
+def map_arrow(df: DataFrame, f, schema) -> DataFrame:
+    """df.mapInArrow(f, schema); a worker gives memory that a task no longer needs back before it waits for the next."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            release_memory()
+
+    return df.mapInArrow(run, schema)
+
+
+def release_memory() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

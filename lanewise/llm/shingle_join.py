@@ -47,7 +47,7 @@ from .components import components
 K, PERCENT = 5, 80
 SAMPLE = 3 / 8
 FREQUENT = 64
-CHUNK_HASHES = 1_500_000
+CHUNK_HASHES = 800_000
 NULL_ID = (1 << 63) - 1
 
 
@@ -214,8 +214,8 @@ def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _counted(dealt: DataFrame, buckets: int) -> DataFrame:
     """Of each set: id, own (how many of the hashes dealt no other set has), n, first, second."""
-    own = dealt.repartition(buckets, "bucket").mapInArrow(lambda b: _own_counts(b, buckets), OWN)
-    return own.repartition(buckets, "chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(_totals, "id long, own long, n long, first long, second long")
+    own = common.map_arrow(dealt.repartition(buckets, "bucket"), lambda b: _own_counts(b, buckets), OWN)
+    return common.map_arrow(own.repartition("chunk").sortWithinPartitions("chunk", "bucket"), _totals, "id long, own long, n long, first long, second long")
 
 
 def _levels(n: int) -> list[int]:
@@ -323,8 +323,8 @@ def overlaps(pairs: DataFrame, sets: DataFrame, exact: bool = True) -> DataFrame
     data = sets.select("node", "n", F.col("hashes" if exact else "bits").alias("data"))
     members = pairs.join(data.withColumnRenamed("node", "v"), "v").select("u", "v", "n", "data")
     own = data.join(pairs.select(F.col("u").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("u"), F.lit(None).cast("long").alias("v"), "n", "data")
-    rows = own.unionByName(members).repartition(common.n_buckets(pairs.sparkSession), "u").sortWithinPartitions("u", F.col("v").asc_nulls_first())
-    return rows.mapInArrow(lambda batches: _compared(batches, exact), "u long, v long, both long, sizes long")
+    rows = own.unionByName(members).repartition("u").sortWithinPartitions("u", F.col("v").asc_nulls_first())
+    return common.map_arrow(rows, lambda batches: _compared(batches, exact), "u long, v long, both long, sizes long")
 
 
 LINKED = f"100 * both >= {PERCENT} * (sizes - both)"
@@ -339,12 +339,12 @@ def _may_link(n: str, own: str, m: str, m_own: str) -> F.Column:
 def _links(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     """nodes(node, n, own), sets(node, n, hashes) -> (node, component) of those classes that link."""
     spark = nodes.sparkSession
-    postings = common.staged(sets.mapInArrow(_postings, "token long, node long"), "postings")
+    postings = common.staged(common.map_arrow(sets, _postings, "token long, node long"), "postings")
     tokens = postings.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     shared = postings.join(tokens, "token")
     rare = shared.where(F.col("df") <= FREQUENT).select(F.col("token").alias("sig"), "node")
     often = shared.where(F.col("df") > FREQUENT).groupBy("node").agg(F.collect_list("token").alias("tokens")).join(nodes.select("node", "n"), "node")
-    signed = rare.unionByName(often.mapInArrow(_combinations, "sig long, node long"))
+    signed = rare.unionByName(common.map_arrow(often, _combinations, "sig long, node long"))
     signed = common.staged(signed.join(nodes, "node"), "signatures")  # sig, node, n, own
 
     # the leader of a group has the smallest share of shingles to itself
@@ -365,7 +365,6 @@ def _links(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     with_leader = stars.select(F.col("u").alias("leader"), F.col("v").alias("node"), F.col("both").alias("with_leader"))
     open_ = led.join(tops, "leader").join(with_leader, ["leader", "node"], "left").withColumn("with_leader", F.when(F.col("node") == F.col("leader"), F.col("n")).otherwise(F.col("with_leader")))
     open_ = common.staged(open_, "open")
-    common.unstage(signed)
     side = lambda x: [F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("n", "own", "with_leader", "component", "sigs")]]
     outside = open_.where(F.col("component") != F.col("top")).select("leader", *side("u"))
     other = open_.select("leader", "top", *side("v"))
@@ -391,18 +390,19 @@ def joined(docs: DataFrame, k: int = K) -> DataFrame:
     common.small_batches(spark)
     buckets = common.n_buckets(spark)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.col("text").cast("binary").alias("text"))
-    sized = common.staged(_counted(rows.mapInArrow(lambda b: _dealt(b, buckets, k), DEALT), buckets), "sizes")
+    sized = common.staged(_counted(common.map_arrow(rows, lambda b: _dealt(b, buckets, k), DEALT), buckets), "sizes")
     classes = sized.where("n > 0").groupBy("first", "second", "n").agg(F.min("id").alias("id"), F.min("own").alias("own"))
     misses = F.col("n") - F.ceil(F.col("n") * PERCENT / 100).cast("long")
-    alive = common.staged(classes.where(F.col("own") <= misses).dropDuplicates(["first"]).select("id", F.col("first").alias("node"), "n", "own"), "alive")
-    with common.prefiltered_joins(spark):  # most texts need not travel
-        sets = rows.join(alive.where("n > 0").select("id", "node"), "id").select("id", "text", "node")
-        sets = common.staged(sets.mapInArrow(lambda b: _sets(b, k), "node long, n long, hashes binary, bits binary").dropDuplicates(["node"]), "sets")
-    again = _counted(sets.mapInArrow(lambda b: _dealt_sets(b, buckets), DEALT), buckets).select(F.col("id").alias("node"), "own")
-    nodes = alive.select("node", "n").join(again, "node", "left").fillna(0, ["own"]).where(F.col("own") <= misses)
-    nodes = common.staged(nodes, "nodes")
-    links = _links(nodes, sets.join(nodes.select("node"), "node", "left_semi"))
-    linked = common.staged(links.select(F.col("u").alias("first"), "component"), "links")
+    with common.scratch(spark):
+        alive = common.staged(classes.where(F.col("own") <= misses).dropDuplicates(["first"]).select("id", F.col("first").alias("node"), "n", "own"), "alive")
+        with common.prefiltered_joins(spark):  # most texts need not travel
+            sets = rows.join(alive.where("n > 0").select("id", "node"), "id").select("id", "text", "node")
+            sets = common.staged(common.map_arrow(sets, lambda b: _sets(b, k), "node long, n long, hashes binary, bits binary").dropDuplicates(["node"]), "sets")
+        again = _counted(common.map_arrow(sets, lambda b: _dealt_sets(b, buckets), DEALT), buckets).select(F.col("id").alias("node"), "own")
+        nodes = alive.select("node", "n").join(again, "node", "left").fillna(0, ["own"]).where(F.col("own") <= misses)
+        nodes = common.staged(nodes, "nodes")
+        links = _links(nodes, sets.join(nodes.select("node"), "node", "left_semi"))
+        linked = common.staged(links.select(F.col("u").alias("first"), "component"), "links", keep=True)
 
     whole = sized.join(linked, "first", "left").withColumn("component", F.when(F.col("n") > 0, F.coalesce("component", "first")))
     least = whole.where("n > 0").groupBy("component").agg(F.min("id").alias("component_id"))
