@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from . import common
 
-CACHE_UNITS, CACHE_PIECES = 250_000, 1_000_000
+CACHE_UNITS, CACHE_PIECES = 200_000, 700_000
 NONE = 1 << 62
 
 
@@ -154,7 +154,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
 
     common.small_batches(df.sparkSession)
     fields = [f for f in df.schema.fields if f.name != text]
-    return df.mapInArrow(_each(path, pattern, text, make), T.StructType([*fields, T.StructField(out, T.BinaryType())]))
+    return common.map_arrow(df, _each(path, pattern, text, make), T.StructType([*fields, T.StructField(out, T.BinaryType())]))
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -165,25 +165,28 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str =
         for batch in batches:
             yield batch.append_column(out, pa.array([c.decode_packed(x or b"") for x in batch.column(ids).to_pylist()], pa.binary()))
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.BinaryType())]))
-
-
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def sha(column: str, batch: pa.RecordBatch) -> pa.Array:
-        return pa.array([hashlib.sha256(x).hexdigest() for x in batch.column(column).to_pylist()], pa.string())
-
-    for batch in batches:
-        n = pa.array([len(x) // 4 for x in batch.column("ids").to_pylist()], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n, sha("ids", batch), sha("decoded", batch)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    return common.map_arrow(df, run, T.StructType([*df.schema.fields, T.StructField(out, T.BinaryType())]))
 
 
 def encoded_documents(docs: DataFrame) -> DataFrame:
-    """Documents with their ids and decoded text as digests; one row per document."""
+    """Documents with their ids and decoded text as digests; one row per document. Encoding, decoding and digests share a task's worker."""
     import public_tokenizers as P
 
-    path = P.path("byte_bpe_multi_50k.tiktoken")
-    ids = encode(docs.select("doc_id", "text"), path, P.PATTERN)
-    return decode(ids, path, P.PATTERN).mapInArrow(_digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    path, pattern = P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(path, pattern)
+        sha = lambda x: hashlib.sha256(x).hexdigest()
+        for batch in batches:
+            rows = []
+            for text in batch.column("text").to_pylist():
+                ids = c.encode_packed(text or "")
+                rows.append((len(ids) // 4, sha(ids), sha(c.decode_packed(ids))))
+            n, ids_sha, decoded_sha = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    common.small_batches(docs.sparkSession)
+    return common.map_arrow(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
