@@ -362,7 +362,7 @@ def format_conversations(df: DataFrame, source: str = TEMPLATE) -> DataFrame:
         if out:
             yield _batch(out)
 
-    return rows.mapInArrow(run, "conv_id long, part long, text string, marked boolean")
+    return common.map_arrow(rows, run, "conv_id long, part long, text string, marked boolean")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -424,7 +424,7 @@ def read_back(parts: DataFrame) -> DataFrame:
         if reader is not None:
             yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(reader.row(), kinds, strict=True)], names=names)
 
-    return parts.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return common.map_arrow(parts, run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -247,8 +247,8 @@ def _found(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
 
 def _with_answers(chunks: DataFrame, buckets: int) -> DataFrame:
     """The chunks and what all others together say of their hashes, by chunk."""
-    posts = chunks.mapInArrow(lambda b: _posts(b, buckets), POST).repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    both = chunks.unionByName(posts.mapInArrow(_answers, CHUNK))
+    posts = common.map_arrow(chunks, lambda b: _posts(b, buckets), POST).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    both = chunks.unionByName(common.map_arrow(posts, _answers, CHUNK))
     return both.repartition(common.n_tasks(chunks.sparkSession), "chunk").sortWithinPartitions("chunk", "bucket")
 
 
@@ -262,10 +262,10 @@ def repeats(docs: DataFrame) -> DataFrame:
     buckets = common.n_buckets(docs.sparkSession)
     rows = _keyed(docs)
     with common.scratch(docs.sparkSession):
-        suffixes = common.staged(rows.mapInArrow(_suffixes, CHUNK), "suffixes")
-        matched = _with_answers(suffixes, buckets).mapInArrow(lambda b: _matched(b, buckets), "id long, places binary").groupBy("id").agg(F.collect_list("places").alias("matched"))
-        windows = common.staged(rows.join(matched, "id").mapInArrow(_windows, CHUNK), "windows")
-        return common.staged(_with_answers(windows, buckets).mapInArrow(lambda b: _found(b, buckets), FOUND), "spans", keep=True)
+        suffixes = common.staged(common.map_arrow(rows, _suffixes, CHUNK), "suffixes")
+        matched = common.map_arrow(_with_answers(suffixes, buckets), lambda b: _matched(b, buckets), "id long, places binary").groupBy("id").agg(F.collect_list("places").alias("matched"))
+        windows = common.staged(common.map_arrow(rows.join(matched, "id"), _windows, CHUNK), "windows")
+        return common.staged(common.map_arrow(_with_answers(windows, buckets), lambda b: _found(b, buckets), FOUND), "spans", keep=True)
 
 
 def _united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -310,7 +310,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     later = repeats(docs.select("doc_id", "text")).where(F.size("later") > 0).groupBy(F.col("id").alias("__id")).agg(F.flatten(F.collect_list("later")).alias("__later"))
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
-    return docs.withColumn("__id", key).join(later, "__id", "left").drop("__id").mapInArrow(run, schema)
+    return common.map_arrow(docs.withColumn("__id", key).join(later, "__id", "left").drop("__id"), run, schema)
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -336,10 +336,10 @@ def _scored(docs: DataFrame) -> DataFrame:
     common.small_batches(spark)
     parts, buckets = common.n_tasks(spark), 2 * common.n_buckets(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    chunks = common.staged(rows.mapInArrow(_chunks, CHUNKS), "chunks")
+    chunks = common.staged(common.map_arrow(rows, _chunks, CHUNKS), "chunks")
 
-    dealt = chunks.select("words", "seen").mapInArrow(lambda b: _word_posts(b, buckets), "bucket int, words binary, seen binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
-    words = common.staged(dealt.mapInArrow(_word_counts, "v long, n long, n1 long, n2 long, words array<long>, counts array<long>"), "words")
+    dealt = common.map_arrow(chunks.select("words", "seen"), lambda b: _word_posts(b, buckets), "bucket int, words binary, seen binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
+    words = common.staged(common.map_arrow(dealt, _word_counts, "v long, n long, n1 long, n2 long, words array<long>, counts array<long>"), "words")
     v, n, n1, n2 = (int(x or 0) for x in words.agg(F.sum("v"), F.sum("n"), F.sum("n1"), F.sum("n2")).first())
     # at most 1 / CONTEXT_SHARE words
     often = words.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).select("x.*").where(F.col("counts") >= 1 + CONTEXT_SHARE * n).collect()
@@ -347,9 +347,9 @@ def _scored(docs: DataFrame) -> DataFrame:
     order = np.argsort(hashes)
     contexts, context_counts = hashes[order], context_counts[order]
 
-    posts = chunks.mapInArrow(lambda b: _posts(b, buckets, contexts), "bucket int, chunk long, words binary, seen binary, pair_word binary, pair_context binary, pair_count binary")
+    posts = common.map_arrow(chunks, lambda b: _posts(b, buckets, contexts), "bucket int, chunk long, words binary, seen binary, pair_word binary, pair_context binary, pair_count binary")
     posts = posts.repartition(parts, "bucket").sortWithinPartitions("bucket", "chunk")
-    sums = common.staged(posts.mapInArrow(_summed, "bucket int, words binary, counts binary, pair_word binary, pair_context binary, pair_count binary, n1 long, n2 long, chunks binary, word_sizes binary, pair_sizes binary, word_at binary, pair_at binary"), "restaurants")
+    sums = common.staged(common.map_arrow(posts, _summed, "bucket int, words binary, counts binary, pair_word binary, pair_context binary, pair_count binary, n1 long, n2 long, chunks binary, word_sizes binary, pair_sizes binary, word_at binary, pair_at binary"), "restaurants")
     m1, m2 = (int(x or 0) for x in sums.agg(F.sum("n1"), F.sum("n2")).first())
 
     discounts = (_discount(n1, n2), _discount(m1, m2))
@@ -359,7 +359,7 @@ def _scored(docs: DataFrame) -> DataFrame:
     def swept(given: Model, numbers: list[int]) -> dict[int, Model]:
         out = {k: Model(v, discounts, context_counts, np.zeros(len(contexts)), 0.0, 0.0) for k in numbers}
         # a row for each restaurant and sweep
-        for r in table.mapInArrow(lambda b: _sweep_sums(b, given, numbers), "sweep long, place long, value double").groupBy("sweep", "place").agg(F.sum("value").alias("value")).collect():
+        for r in common.map_arrow(table, lambda b: _sweep_sums(b, given, numbers), "sweep long, place long, value double").groupBy("sweep", "place").agg(F.sum("value").alias("value")).collect():
             if r.place == -1:
                 out[r.sweep].customers = r.value
             elif r.place == -2:
@@ -372,10 +372,10 @@ def _scored(docs: DataFrame) -> DataFrame:
         model = swept(model, [k])[k]
     given, models = model, swept(model, list(range(BURN_IN, BURN_IN + SAMPLES)))
 
-    answers = sums.mapInArrow(lambda b: _answers(b, given, models), "chunk long, bucket int, seen binary, single binary, pair binary")
+    answers = common.map_arrow(sums, lambda b: _answers(b, given, models), "chunk long, bucket int, seen binary, single binary, pair binary")
     both = chunks.withColumn("bucket", F.lit(-1)).unionByName(answers, allowMissingColumns=True)
     both = both.repartition(parts, "chunk").sortWithinPartitions("chunk", "bucket")
-    return both.mapInArrow(lambda b: _scores(b, buckets, contexts, n, v), RESULT)
+    return common.map_arrow(both, lambda b: _scores(b, buckets, contexts, n, v), RESULT)
 
 
 def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -309,7 +309,7 @@ def write_shards(df: DataFrame, folder: str, path: str, end_id: int, shards: int
 
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     rows = rows.repartitionByRange(shards or common.n_buckets(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    done = rows.mapInArrow(run, "shard int, name string, first_key long, n_docs long, n_ids long").collect()
+    done = common.map_arrow(rows, run, "shard int, name string, first_key long, n_docs long, n_ids long").collect()
     lines, before = [], 0
     for r in sorted(done, key=lambda r: r.shard):
         lines.append(r.asDict() | {"start": before})
@@ -346,7 +346,7 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
     shards = spark.createDataFrame(lines, "name string, start long")
     if lines:
         shards = shards.repartition(min(len(lines), 4 * common.n_buckets(spark)), "name")
-    return shards.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return common.map_arrow(shards, run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
