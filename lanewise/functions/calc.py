@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .lanes import WIDEST, as_digits, decode_places, let, padded
+from .lanes import WIDEST, as_digits, let, padded
 
 OPS = ("add", "sub", "mul")
 
@@ -21,28 +21,39 @@ def place_columns(a: Column, b: Column, op: str, dmax: int) -> Column:
         return F.concat(both, F.array_repeat(F.lit(0).cast("bigint"), dmax))
     if op != "mul":
         raise ValueError(f"unknown operation {op!r}; there are {', '.join(OPS)}")
-    zero = F.lit(0).cast("bigint")
 
-    def place(k: Column) -> Column:
-        # digit i of a meets digit k - i of b
-        low = F.greatest(F.lit(0), k - F.size(b) + 1)
-        return F.aggregate(F.slice(a, low + 1, F.greatest(F.least(k, F.size(a) - 1) - low + 1, F.lit(0))), F.struct(zero.alias("sum"), low.alias("i")), lambda z, x: F.struct((z["sum"] + x * F.coalesce(F.get(b, k - z["i"]), zero)).alias("sum"), (z["i"] + 1).alias("i")), lambda z: z["sum"])
+    def product(d: Column) -> Column:
+        a, b = d["a"], d["b"]  # b the other way round
 
-    return padded(F.transform(F.sequence(F.lit(0), F.size(a) + F.size(b) - 2), place), 2 * dmax)
+        def place(k: Column) -> Column:
+            # digit i of a meets digit k - i of b
+            low = F.greatest(F.lit(0), k - F.size(b) + 1)
+            n = F.least(k, F.size(a) - 1) - low + 1
+            meet = F.zip_with(F.slice(a, low + 1, n), F.slice(b, F.size(b) - k + low, n), lambda x, y: x * y)
+            return F.aggregate(meet, F.lit(0).cast("bigint"), lambda z, x: z + x)
 
+        return F.transform(F.sequence(F.lit(0), F.size(a) + F.size(b) - 2), place)
 
-def resolve_carry(columns: Column) -> Column:
-    """Sums by place -> struct(digits, carry). Division rounds down, so negative sums borrow; the carry left over is returned."""
-    start = F.expr("named_struct('digits', cast(array() as array<bigint>), 'carry', 0L)")
+    return padded(let(F.struct(a.alias("a"), F.reverse(b).alias("b")), product), 2 * dmax)
+
+
+def _carried(columns: Column) -> Column:
+    """Sums by place -> struct(text, carry), text the digits as they are written."""
+    start = F.expr("named_struct('text', '', 'carry', 0L)")
 
     def step(state: Column, s: Column) -> Column:
         t = s + state["carry"]
         digit = F.pmod(t, F.lit(10).cast("bigint"))
-        return F.struct(F.concat(state["digits"], F.array(digit)).alias("digits"), ((t - digit) / 10).cast("bigint").alias("carry"))
+        return F.struct(F.concat(digit.cast("string"), state["text"]).alias("text"), F.floor((t - digit) / 10).alias("carry"))
 
     return F.aggregate(columns, start, step)
 
 
+def resolve_carry(columns: Column) -> Column:
+    """Sums by place -> struct(digits, carry). Division rounds down, so negative sums borrow; the carry left over is returned."""
+    return let(_carried(columns), lambda s: F.struct(_places(s["text"]).alias("digits"), s["carry"].alias("carry")))
+
+
 def exact_answer(a: Column, b: Column, op: str) -> Column:
     """The result as a native decimal; for operands and results of up to 38 digits."""
     a, b = a.cast(WIDEST), b.cast(WIDEST)
@@ -57,8 +68,8 @@ def calculate(a: Column, b: Column, op: str, dmax: int = 16) -> Column:
     """Two integers -> struct(result string, digits, refused, reason), by place."""
 
     def finished(t: Column) -> Column:
-        digits = F.when(t["reason"].isNull(), t["state"]["digits"])
-        return F.struct(decode_places(digits).alias("result"), digits.alias("digits"), t["reason"].isNotNull().alias("refused"), t["reason"].alias("reason"))
+        text = F.when(t["reason"].isNull(), t["state"]["text"])
+        return F.struct(F.regexp_replace(text, "^0+(?=.)", "").alias("result"), _places(text).alias("digits"), t["reason"].isNotNull().alias("refused"), t["reason"].alias("reason"))
 
     def reasoned(t: Column) -> Column:
         reason = F.coalesce(t["reason"], F.when(t["state"]["carry"] < 0, "negative").when(t["state"]["carry"] > 0, "too wide"))
@@ -66,7 +77,7 @@ def calculate(a: Column, b: Column, op: str, dmax: int = 16) -> Column:
 
     def computed(s: Column) -> Column:
         reason = F.when(s["a"].isNull() | s["b"].isNull(), "no operand").when((F.length(s["a"]) > dmax) | (F.length(s["b"]) > dmax), "operand too wide")
-        state = let(F.struct(_places(s["a"]).alias("a"), _places(s["b"]).alias("b")), lambda d: resolve_carry(place_columns(d["a"], d["b"], op, dmax)))
+        state = let(F.struct(_places(s["a"]).alias("a"), _places(s["b"]).alias("b")), lambda d: _carried(place_columns(d["a"], d["b"], op, dmax)))
         return F.struct(F.when(reason.isNull(), state).alias("state"), reason.alias("reason"))
 
     return let(let(let(F.struct(as_digits(a).alias("a"), as_digits(b).alias("b")), computed), reasoned), finished)
