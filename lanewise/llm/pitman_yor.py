@@ -1,10 +1,9 @@
 """Language-model scores by a hierarchical Pitman-Yor model of word pairs.
 
 Words `[^\\x20\\x09-\\x0D]+`, A-Z folded, and an end after each text, are the tokens.  The word
-before opens a restaurant if it makes up at least CONTEXT_SHARE of the training tokens (so
-there are at most 1 / CONTEXT_SHARE restaurants, however large the corpus); all restaurants
-share one parent, the restaurant of single words, where tokens after other words sit as well;
-its parent is the uniform distribution over the V known words and one unknown.
+before has a restaurant of its own, however rare it is; all restaurants share one parent, the
+restaurant of single words; its parent is the uniform distribution over the V known words and
+one unknown.
 
     P(w | u) = (c_uw - d t_uw + (strength + d t_u) P(w)) / (strength + c_u),   P(w) alike from P0 = 1 / (V + 1)
 
@@ -18,8 +17,10 @@ Discounts are n1 / (n1 + 2 n2) of the counts.
 How it is laid out: texts are cut into chunks of some megabytes, written once as numbers of a
 chunk's own dictionary.  Each chunk posts its words and pairs to buckets of words; a bucket
 sums them over all chunks, seats them, and answers each chunk with probabilities in the order
-of its post.  What moves grows with distinct words and pairs of chunks; only sums by
-restaurant reach the driver.  A common word's pairs are one row for each chunk and restaurant.
+of its post.  The sums of a restaurant are kept by home, a bucket of contexts: each bucket of
+words posts the tables of its contexts to their homes and is told the totals in the order of its
+post; the buckets themselves stay where they were written.  What moves grows with distinct words
+and pairs of chunks; the driver has totals over all restaurants only.
 
 Null and empty texts have the end alone; an empty table gives no rows.  Repeated rows are texts
 of their own.  A null doc_id counts as the empty string for the held-out rule.  Other columns
@@ -28,26 +29,27 @@ are not read.
 
 from __future__ import annotations
 
+import functools
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 from .common import U64, mix
 
-CONTEXT_SHARE = 1e-4
 BURN_IN, SAMPLES = 1, 2
 STRENGTH = 1.0
 EXACT = 32
 CHUNK_BYTES = 8 << 20
 FOLDS, HELD_OUT = 7, 2
 END = 0x454E44
-COLD = 0xFFFF
+COUNTS = -1
 
 CHUNKS = "chunk long, ids binary, nulls binary, held binary, counts binary, tokens binary, words binary, seen binary"
 
@@ -105,20 +107,25 @@ class Chunk:
         self.words, self.seen = read("words", U64), read("seen", "<u4")
         self.bucket = (mix(self.words + U64(0x42)) % U64(buckets)).astype(np.int64)
 
-    def pairs(self, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct (context, word) keys, ordered; which each token after a context is; where those tokens are; and the tokens' keys' training counts."""
-        place = np.searchsorted(contexts, self.words)
-        place[place == len(contexts)] = 0
-        context = np.where(contexts[place] == self.words, place, COLD) if len(contexts) else np.full(len(self.words), COLD)
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct keys of (word, word before), ordered; which of them each token has; and the keys' training counts."""
         end = int(np.searchsorted(self.words, U64(END)))
         before = np.empty(len(self.tokens), dtype=np.int64)
         before[1:] = self.tokens[:-1]
         before[np.cumsum(self.counts) - self.counts] = end
-        context = context[before]
-        hot = np.flatnonzero(context != COLD)
-        keys, which = np.unique(context[hot] * len(self.words) + self.tokens[hot], return_inverse=True)
-        trains = np.repeat(~self.held, self.counts)[hot]
-        return keys, which, hot, np.bincount(which[trains], minlength=len(keys))
+        keys, which = np.unique(self.tokens * len(self.words) + before, return_inverse=True)
+        return keys, which, np.bincount(which[np.repeat(~self.held, self.counts)], minlength=len(keys))
+
+
+def _rising(parts: list[np.ndarray]) -> bytes:
+    """Ordered numbers, list after list, as packed differences."""
+    return common.packed(np.concatenate([np.diff(x, prepend=0) for x in parts]) if parts else np.empty(0, dtype=np.int64))
+
+
+def _risen(x: bytes, sizes: np.ndarray) -> np.ndarray:
+    """The lists of _rising, end to end."""
+    sums = np.concatenate([[0], np.cumsum(common.unpacked(x))])
+    return sums[1:] - np.repeat(sums[np.cumsum(sizes) - sizes], sizes)
 
 
 def _batch(row: dict, kinds: dict) -> pa.RecordBatch:
@@ -141,30 +148,29 @@ def _word_posts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """By bucket: known words, training tokens, words seen once and twice, and the words that may open a restaurant."""
+    """By bucket: known words, training tokens, words seen once and twice."""
     for _, rows in common.grouped(batches, "bucket"):
         words = np.concatenate([np.frombuffer(r["words"], dtype=U64) for r in rows])
         seen = np.concatenate([np.frombuffer(r["seen"], dtype="<u4") for r in rows])
         words, at = np.unique(words, return_inverse=True)
         counts = np.bincount(at, weights=seen).astype(np.int64)
-        often = counts >= 1 + CONTEXT_SHARE * counts.sum()
         yield pa.RecordBatch.from_pydict({
             "v": pa.array([len(words)], pa.int64()), "n": pa.array([int(counts.sum())], pa.int64()), "n1": pa.array([int((counts == 1).sum())], pa.int64()), "n2": pa.array([int((counts == 2).sum())], pa.int64()),
-            "words": pa.array([words[often].view(np.int64).tolist()], pa.list_(pa.int64())), "counts": pa.array([counts[often].tolist()], pa.list_(pa.int64())),
         })
 
 
 # --- restaurants ---------------------------------------------------------------------
 
-POSTS = {"bucket": pa.int32(), "chunk": pa.int64(), "words": pa.binary(), "seen": pa.binary(), "pair_word": pa.binary(), "pair_context": pa.binary(), "pair_count": pa.binary()}
+POSTS = {"bucket": pa.int32(), "chunk": pa.int64(), "words": pa.binary(), "seen": pa.binary(), "contexts": pa.binary(), "pair_word": pa.binary(), "pair_context": pa.binary(), "pair_count": pa.binary()}
+POSTED = "bucket int, chunk long, words binary, seen binary, contexts binary, pair_word binary, pair_context binary, pair_count binary"
 
 
-def _posts(batches: Iterator[pa.RecordBatch], buckets: int, contexts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """What a chunk asks of a bucket: its words with their training counts, and its pairs as number of the word in that list, context, training count."""
+def _posts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """What a chunk asks of a bucket: its words with their training counts, the words before them, and pairs as numbers in those two lists, with training counts."""
     for row in common.rows(batches):
         chunk = Chunk(row, buckets)
-        keys, _, _, counts = chunk.pairs(contexts)
-        context, word = np.divmod(keys, len(chunk.words))
+        keys, _, counts = chunk.pairs()
+        word, context = np.divmod(keys, len(chunk.words))
         order = np.argsort(chunk.bucket, kind="stable")
         cuts = np.searchsorted(chunk.bucket[order], np.arange(buckets + 1))
         number = np.empty(len(order), dtype=np.int64)
@@ -175,34 +181,88 @@ def _posts(batches: Iterator[pa.RecordBatch], buckets: int, contexts: np.ndarray
         for b in range(buckets):
             w, p = order[cuts[b] : cuts[b + 1]], pair_order[pair_cuts[b] : pair_cuts[b + 1]]
             if len(w):
-                yield _batch({"bucket": b, "chunk": chunk.id, "words": chunk.words[w].tobytes(), "seen": chunk.seen[w].tobytes(), "pair_word": number[word[p]].astype("<u4").tobytes(), "pair_context": context[p].astype("<u2").tobytes(), "pair_count": counts[p].astype("<u4").tobytes()}, POSTS)
+                before, at = np.unique(context[p], return_inverse=True)
+                yield _batch({"bucket": b, "chunk": chunk.id, "words": chunk.words[w].tobytes(), "seen": common.packed(chunk.seen[w]), "contexts": chunk.words[before].tobytes(), "pair_word": _rising([number[word[p]]]), "pair_context": common.packed(at), "pair_count": common.packed(counts[p])}, POSTS)
 
 
-SUMS = {"bucket": pa.int32(), "words": pa.binary(), "counts": pa.binary(), "pair_word": pa.binary(), "pair_context": pa.binary(), "pair_count": pa.binary(), "n1": pa.int64(), "n2": pa.int64(), "chunks": pa.binary(), "word_sizes": pa.binary(), "pair_sizes": pa.binary(), "word_at": pa.binary(), "pair_at": pa.binary()}
+SUMS = {"bucket": pa.int32(), "words": pa.binary(), "counts": pa.binary(), "contexts": pa.binary(), "pairs": pa.binary(), "pair_count": pa.binary(), "n1": pa.int64(), "n2": pa.int64(), "chunks": pa.binary(), "word_sizes": pa.binary(), "pair_sizes": pa.binary(), "word_at": pa.binary(), "pair_at": pa.binary()}
+SUMMED = "bucket int, words binary, counts binary, contexts binary, pairs binary, pair_count binary, n1 long, n2 long, chunks binary, word_sizes binary, pair_sizes binary, word_at binary, pair_at binary"
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A bucket's words and pairs with their counts over all chunks, and where each post's are among them."""
     for bucket, rows in common.grouped(batches, "bucket"):
-        words = [np.frombuffer(r["words"], dtype=U64) for r in rows]
-        sizes = np.array([len(x) for x in words])
+        words, before = ([np.frombuffer(r[k], dtype=U64) for r in rows] for k in ("words", "contexts"))
+        sizes, before_sizes = np.array([len(x) for x in words]), np.array([len(x) for x in before])
         unique, word_at = np.unique(np.concatenate(words), return_inverse=True)
-        counts = np.bincount(word_at, weights=np.concatenate([np.frombuffer(r["seen"], dtype="<u4") for r in rows]), minlength=len(unique))
-        pair_words = [np.frombuffer(r["pair_word"], dtype="<u4").astype(np.int64) for r in rows]
-        pair_sizes = np.array([len(x) for x in pair_words])
-        word = word_at[np.concatenate(pair_words) + np.repeat(np.cumsum(sizes) - sizes, pair_sizes)]
-        context = np.concatenate([np.frombuffer(r["pair_context"], dtype="<u2") for r in rows]).astype(np.int64)
-        keys, pair_at = np.unique(word * 65536 + context, return_inverse=True)
-        pair_counts = np.bincount(pair_at, weights=np.concatenate([np.frombuffer(r["pair_count"], dtype="<u4") for r in rows]), minlength=len(keys))
+        contexts, context_at = np.unique(np.concatenate(before), return_inverse=True)
+        counts = np.bincount(word_at, weights=np.concatenate([common.unpacked(r["seen"]) for r in rows]), minlength=len(unique))
+        pair_contexts = [common.unpacked(r["pair_context"]) for r in rows]
+        pair_sizes = np.array([len(x) for x in pair_contexts])
+        pair_words = np.concatenate([_risen(r["pair_word"], np.array([n])) for r, n in zip(rows, pair_sizes, strict=True)])
+        word = word_at[pair_words + np.repeat(np.cumsum(sizes) - sizes, pair_sizes)]
+        context = context_at[np.concatenate(pair_contexts) + np.repeat(np.cumsum(before_sizes) - before_sizes, pair_sizes)]
+        keys, pair_at = np.unique(word * len(contexts) + context, return_inverse=True)
+        pair_counts = np.bincount(pair_at, weights=np.concatenate([common.unpacked(r["pair_count"]) for r in rows]), minlength=len(keys))
         yield _batch({
-            "bucket": bucket, "words": unique.tobytes(), "counts": counts.astype("<u8").tobytes(),
-            "pair_word": (keys >> 16).astype("<u4").tobytes(), "pair_context": (keys & 0xFFFF).astype("<u2").tobytes(), "pair_count": pair_counts.astype("<u8").tobytes(),
-            "n1": int((pair_counts == 1).sum()), "n2": int((pair_counts == 2).sum()),
+            "bucket": bucket, "words": unique.tobytes(), "counts": common.packed(counts), "contexts": contexts.tobytes(),
+            "pairs": _rising([keys]), "pair_count": common.packed(pair_counts), "n1": int((pair_counts == 1).sum()), "n2": int((pair_counts == 2).sum()),
             "chunks": np.array([r["chunk"] for r in rows], dtype=np.int64).tobytes(), "word_sizes": sizes.astype("<u4").tobytes(), "pair_sizes": pair_sizes.astype("<u4").tobytes(),
-            "word_at": word_at.astype("<u4").tobytes(), "pair_at": pair_at.astype("<u4").tobytes(),
+            "word_at": _rising(np.split(word_at, np.cumsum(sizes)[:-1])), "pair_at": _rising(np.split(pair_at, np.cumsum(pair_sizes)[:-1])),
         }, SUMS)
 
 
+# --- sums by restaurant --------------------------------------------------------------
+
+TOLD = {"home": pa.int32(), "bucket": pa.int32(), "sweep": pa.int32(), "values": pa.binary()}
+TELLS = "home int, bucket int, sweep int, values binary"
+
+
+def _by_home(contexts: np.ndarray, homes: int) -> tuple[np.ndarray, np.ndarray]:
+    """A bucket's contexts in the order of their homes, and where each home's begin in that order."""
+    home = (mix(contexts + U64(0x43)) % U64(homes)).astype(np.int64)
+    order = np.argsort(home, kind="stable")
+    return order, np.searchsorted(home[order], np.arange(homes + 1))
+
+
+def _to_homes(bucket: int, contexts: np.ndarray, homes: int, sweep: int, values: np.ndarray) -> Iterator[dict]:
+    order, cuts = _by_home(contexts, homes)
+    for h in range(homes):
+        at = order[cuts[h] : cuts[h + 1]]
+        if len(at):
+            yield {"home": h, "bucket": bucket, "sweep": sweep, "values": common.packed(values[at]), "contexts": contexts[at].tobytes()}
+
+
+def _asks(batches: Iterator[pa.RecordBatch], homes: int) -> Iterator[pa.RecordBatch]:
+    """What a bucket asks of a home: its contexts there, with the customers that the bucket has of each."""
+    for row in common.rows(batches):
+        bucket = Bucket(_raw(row))
+        values = np.bincount(bucket.pair_context, weights=bucket.pair_count, minlength=len(bucket.contexts))
+        for out in _to_homes(row["bucket"], bucket.contexts, homes, COUNTS, values):
+            yield _batch(out, TOLD | {"contexts": pa.binary()})
+
+
+def _homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A home's places of each asking bucket's contexts, and those buckets' numbers of contexts."""
+    for home, rows in common.grouped(batches, "home"):
+        asked = [np.frombuffer(r["contexts"], dtype=U64) for r in rows]
+        sizes = np.array([len(x) for x in asked])
+        _, at = np.unique(np.concatenate(asked), return_inverse=True)
+        yield _batch({"home": home, "bucket": -1, "sweep": COUNTS, "values": _rising(np.split(at, np.cumsum(sizes)[:-1])), "sizes": sizes.astype("<u4").tobytes()}, TOLD | {"sizes": pa.binary()})
+
+
+def _tells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows stand by home, the home itself first (bucket -1), then what buckets posted: tells each bucket the sums over all."""
+    for home, rows in common.grouped(batches, "home"):
+        sizes = np.frombuffer(rows[0]["sizes"], dtype="<u4").astype(np.int64)
+        at = _risen(rows[0]["values"], sizes)
+        for sweep in sorted({r["sweep"] for r in rows[1:]}):
+            own = [r for r in rows[1:] if r["sweep"] == sweep]
+            sums = np.bincount(at, weights=np.concatenate([common.unpacked(r["values"]) for r in own]))
+            for r, part in zip(own, np.split(sums[at], np.cumsum(sizes)[:-1]), strict=True):
+                yield _batch({"home": home, "bucket": r["bucket"], "sweep": sweep, "values": common.packed(part)}, TOLD)
+
+
 def seated(customers: np.ndarray, open_weight: np.ndarray, discount: float, key: np.ndarray, sweep: int) -> np.ndarray:
     """Tables that `customers` of a dish end up at, the first always at a new one."""
     tables = np.minimum(customers, 1).astype(np.float64)
@@ -219,7 +279,7 @@ def seated(customers: np.ndarray, open_weight: np.ndarray, discount: float, key:
 
 
 class Model:
-    """The sums over all restaurants that a sweep is given."""
+    """The sums over all restaurants that a sweep is given: those of single restaurants for the contexts of one bucket."""
 
     def __init__(self, v: int, discounts: tuple[float, float], context_counts: np.ndarray, tables: np.ndarray, customers: float, parent_tables: float):
         self.v, self.discounts, self.context_counts = v, discounts, context_counts
@@ -240,8 +300,11 @@ class Bucket:
     def __init__(self, row: dict):
         read = lambda name, kind: np.frombuffer(row[name], dtype=kind)
         self.words, self.counts = read("words", U64), read("counts", "<u8").astype(np.int64)
-        self.pair_word, self.pair_context = read("pair_word", "<u4").astype(np.int64), read("pair_context", "<u2").astype(np.int64)
-        self.pair_count = read("pair_count", "<u8").astype(np.int64)
+        self.pair_word, self.pair_count = read("pair_word", "<u4").astype(np.int64), read("pair_count", "<u8").astype(np.int64)
+        # numbers of contexts, which a list may name
+        width = len(row["pair_context"]) // max(len(self.pair_word), 1) or 4
+        self.pair_context = read("pair_context", f"<u{width}").astype(np.int64)
+        self.contexts = read("contexts", U64) if "contexts" in row else np.arange(self.pair_context.max(initial=-1) + 1).astype(U64)
         inside = np.bincount(self.pair_word, weights=self.pair_count, minlength=len(self.words)).astype(np.int64)
         self.direct = self.counts - inside
 
@@ -252,63 +315,93 @@ class Bucket:
         customers = self.direct + np.bincount(self.pair_word, weights=np.minimum(self.pair_count, 1), minlength=len(self.words)).astype(np.int64)
         single = model.single(customers, seated(customers, parent, d0, self.words, 2 * number))
         opens = (STRENGTH + d1 * model.tables[self.pair_context]) * single[self.pair_word]
-        tables = seated(self.pair_count, opens, d1, mix(self.words[self.pair_word] + mix(self.pair_context.astype(U64))), 2 * number)
+        tables = seated(self.pair_count, opens, d1, mix(self.words[self.pair_word] + mix(self.contexts)[self.pair_context]), 2 * number)
         customers = self.direct + np.bincount(self.pair_word, weights=tables, minlength=len(self.words)).astype(np.int64)
         return tables, customers, seated(customers, parent, d0, self.words, 2 * number + 1)
 
 
-def _sweep_sums(batches: Iterator[pa.RecordBatch], model: Model, numbers: list[int]) -> Iterator[pa.RecordBatch]:
-    """Tables by restaurant; -1 the parent's customers, -2 its tables."""
+def _raw(row: dict) -> dict:
+    """A row of sums as Bucket reads it."""
+    contexts = np.frombuffer(row["contexts"], dtype=U64)
+    count = common.unpacked(row["pair_count"])
+    word, context = np.divmod(_risen(row["pairs"], np.array([len(count)])), max(len(contexts), 1))
+    return {"words": row["words"], "contexts": row["contexts"], "counts": common.unpacked(row["counts"]).astype("<u8").tobytes(), "pair_word": word.astype("<u4").tobytes(), "pair_context": context.astype("<u4").tobytes(), "pair_count": count.astype("<u8").tobytes()}
+
+
+class Totals:
+    """What holds for all restaurants together."""
+
+    def __init__(self, v: int, discounts: tuple[float, float], customers: float, parent_tables: float, sweep: int | None = None):
+        self.v, self.discounts, self.customers, self.parent_tables, self.sweep = v, discounts, customers, parent_tables, sweep
+
+    def model(self, told: dict[int, np.ndarray]) -> Model:
+        """With the sums by context that a bucket was told; before the first sweep, a guess."""
+        counts = told[COUNTS]
+        return Model(self.v, self.discounts, counts, 0.5 * counts if self.sweep is None else told[self.sweep], self.customers, self.parent_tables)
+
+
+def _told(row: dict, bucket: Bucket, homes: int) -> dict[int, np.ndarray]:
+    order, _ = _by_home(bucket.contexts, homes)
+    out = {}
+    for sweep in {r["sweep"] for r in row["told"]}:
+        own = sorted((r for r in row["told"] if r["sweep"] == sweep), key=lambda r: r["home"])
+        out[sweep] = np.empty(len(order))
+        out[sweep][order] = np.concatenate([common.unpacked(r["values"]) for r in own])
+    return out
+
+
+SWEPT = TOLD | {"customers": pa.float64(), "parent": pa.float64()}
+
+
+def _sweeps(batches: Iterator[pa.RecordBatch], homes: int, given: Totals, numbers: list[int]) -> Iterator[pa.RecordBatch]:
+    """Tables by restaurant for its home, and the parent's customers and tables in one row of each bucket."""
     for row in common.rows(batches):
-        bucket = Bucket(row)
+        bucket = Bucket(_raw(row))
+        model = given.model(_told(row, bucket, homes))
         for k in numbers:
             tables, customers, parent = bucket.sweep(model, k)
-            by = np.bincount(bucket.pair_context, weights=tables, minlength=1)
-            some = np.flatnonzero(by)
-            place = np.concatenate([some, [-1, -2]])
-            value = np.concatenate([by[some], [customers.sum(), parent.sum()]])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(place), k), pa.int64()), pa.array(place, pa.int64()), pa.array(value, pa.float64())], names=["sweep", "place", "value"])
+            sums = [float(customers.sum()), float(parent.sum())]
+            for out in _to_homes(row["bucket"], bucket.contexts, homes, k, np.bincount(bucket.pair_context, weights=tables, minlength=len(bucket.contexts))):
+                yield _batch(out | {"customers": sums[0], "parent": sums[1]}, SWEPT)
+                sums = [0.0, 0.0]
 
 
-ANSWERS = {"chunk": pa.int64(), "bucket": pa.int32(), "seen": pa.binary(), "single": pa.binary(), "pair": pa.binary()}
+ANSWERS = {"chunk": pa.int64(), "bucket": pa.int32(), "seen": pa.binary(), "pair": pa.binary()}
 
 
-def _answers(batches: Iterator[pa.RecordBatch], given: Model, models: dict[int, Model]) -> Iterator[pa.RecordBatch]:
-    """For each post: the words' training counts and log10 P(w), the pairs' log10 P(w | u)."""
+def _answers(batches: Iterator[pa.RecordBatch], homes: int, given: Totals, samples: list[Totals]) -> Iterator[pa.RecordBatch]:
+    """For each post: the words' training counts, the pairs' log10 P(w | u)."""
     for row in common.rows(batches):
-        bucket = Bucket(row)
-        single, pair = np.zeros(len(bucket.words)), np.zeros(len(bucket.pair_word))
-        for k, model in models.items():
-            tables, customers, parent = bucket.sweep(given, k)
+        bucket = Bucket(_raw(row))
+        told = _told(row, bucket, homes)
+        pair = np.zeros(len(bucket.pair_word))
+        for sample in samples:
+            tables, customers, parent = bucket.sweep(given.model(told), sample.sweep)
+            model = sample.model(told)
             p = model.single(customers, parent)
-            single += p / len(models)
-            pair += model.after(bucket.pair_context, bucket.pair_count, tables, p[bucket.pair_word]) / len(models)
-        single, pair = np.log10(single).astype("<f4"), np.log10(pair).astype("<f4")
-        read = lambda name, kind: np.frombuffer(row[name], dtype=kind)  # noqa: B023, E731
-        word_at, pair_at = read("word_at", "<u4"), read("pair_at", "<u4")
-        w = p_ = 0
-        for chunk, n, m in zip(read("chunks", np.int64).tolist(), read("word_sizes", "<u4").tolist(), read("pair_sizes", "<u4").tolist(), strict=True):
-            at, pairs = word_at[w : w + n], pair_at[p_ : p_ + m]
-            w, p_ = w + n, p_ + m
-            yield _batch({"chunk": chunk, "bucket": row["bucket"], "seen": bucket.counts[at].astype("<u4").tobytes() if bucket.counts.max(initial=0) < 1 << 32 else np.minimum(bucket.counts[at], 0xFFFFFFFF).astype("<u4").tobytes(), "single": single[at].tobytes(), "pair": pair[pairs].tobytes()}, ANSWERS)
+            pair += model.after(bucket.pair_context, bucket.pair_count, tables, p[bucket.pair_word]) / len(samples)
+        pair = np.log10(pair).astype("<f4")
+        read = lambda name, kind: np.frombuffer(row[name], dtype=kind).astype(np.int64)  # noqa: B023, E731
+        word_sizes, pair_sizes = read("word_sizes", "<u4"), read("pair_sizes", "<u4")
+        word_at, pair_at = np.split(_risen(row["word_at"], word_sizes), np.cumsum(word_sizes)[:-1]), np.split(_risen(row["pair_at"], pair_sizes), np.cumsum(pair_sizes)[:-1])
+        for chunk, at, pairs in zip(read("chunks", np.int64).tolist(), word_at, pair_at, strict=True):
+            yield _batch({"chunk": chunk, "bucket": row["bucket"], "seen": common.packed(bucket.counts[at]), "pair": pair[pairs].tobytes()}, ANSWERS)
 
 
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
 
 
-def _scores(batches: Iterator[pa.RecordBatch], buckets: int, contexts: np.ndarray, n: int, v: int) -> Iterator[pa.RecordBatch]:
+def _scores(batches: Iterator[pa.RecordBatch], buckets: int, n: int, v: int) -> Iterator[pa.RecordBatch]:
     """Rows stand by chunk, the chunk itself first (bucket -1), then the buckets' answers."""
     for _, rows in common.grouped(batches, "chunk"):
         chunk = Chunk(rows[0], buckets)
-        keys, which, hot, _ = chunk.pairs(contexts)
-        word = keys % len(chunk.words)
+        keys, which, _ = chunk.pairs()
+        word = keys // len(chunk.words)
         order, pair_order = np.argsort(chunk.bucket, kind="stable"), np.argsort(chunk.bucket[word], kind="stable")
-        counts, single, pair = np.zeros(len(order), dtype=np.int64), np.zeros(len(order)), np.zeros(len(keys))
-        counts[order] = np.concatenate([np.frombuffer(r["seen"], dtype="<u4") for r in rows[1:]])
-        single[order] = np.concatenate([np.frombuffer(r["single"], dtype="<f4") for r in rows[1:]])
+        counts, pair = np.zeros(len(order), dtype=np.int64), np.zeros(len(keys))
+        counts[order] = np.concatenate([common.unpacked(r["seen"]) for r in rows[1:]])
         pair[pair_order] = np.concatenate([np.frombuffer(r["pair"], dtype="<f4") for r in rows[1:]])
-        token = single[chunk.tokens]
-        token[hot] = pair[which]
+        token = pair[which]
         begins = np.cumsum(chunk.counts) - chunk.counts
         total = lambda x: np.add.reduceat(x, begins)  # noqa: E731, B023
         score = total(token)
@@ -339,43 +432,58 @@ def _scored(docs: DataFrame) -> DataFrame:
     chunks = common.staged(common.map_arrow(rows, _chunks, CHUNKS), "chunks")
 
     dealt = common.map_arrow(chunks.select("words", "seen"), lambda b: _word_posts(b, buckets), "bucket int, words binary, seen binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
-    words = common.staged(common.map_arrow(dealt, _word_counts, "v long, n long, n1 long, n2 long, words array<long>, counts array<long>"), "words")
+    words = common.staged(common.map_arrow(dealt, _word_counts, "v long, n long, n1 long, n2 long"), "words")
     v, n, n1, n2 = (int(x or 0) for x in words.agg(F.sum("v"), F.sum("n"), F.sum("n1"), F.sum("n2")).first())
-    # at most 1 / CONTEXT_SHARE words
-    often = words.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).select("x.*").where(F.col("counts") >= 1 + CONTEXT_SHARE * n).collect()
-    hashes, context_counts = np.array([r[0] for r in often], dtype=np.int64).view(U64), np.array([r[1] for r in often], dtype=np.float64)
-    order = np.argsort(hashes)
-    contexts, context_counts = hashes[order], context_counts[order]
-
-    posts = common.map_arrow(chunks, lambda b: _posts(b, buckets, contexts), "bucket int, chunk long, words binary, seen binary, pair_word binary, pair_context binary, pair_count binary")
-    posts = posts.repartition(parts, "bucket").sortWithinPartitions("bucket", "chunk")
-    sums = common.staged(common.map_arrow(posts, _summed, "bucket int, words binary, counts binary, pair_word binary, pair_context binary, pair_count binary, n1 long, n2 long, chunks binary, word_sizes binary, pair_sizes binary, word_at binary, pair_at binary"), "restaurants")
-    m1, m2 = (int(x or 0) for x in sums.agg(F.sum("n1"), F.sum("n2")).first())
-
-    discounts = (_discount(n1, n2), _discount(m1, m2))
-    model = Model(v, discounts, context_counts, 0.5 * context_counts, 0.6 * n, float(v))
-    table = sums.select("bucket", "words", "counts", "pair_word", "pair_context", "pair_count")
-
-    def swept(given: Model, numbers: list[int]) -> dict[int, Model]:
-        out = {k: Model(v, discounts, context_counts, np.zeros(len(contexts)), 0.0, 0.0) for k in numbers}
-        # a row for each restaurant and sweep
-        for r in common.map_arrow(table, lambda b: _sweep_sums(b, given, numbers), "sweep long, place long, value double").groupBy("sweep", "place").agg(F.sum("value").alias("value")).collect():
-            if r.place == -1:
-                out[r.sweep].customers = r.value
-            elif r.place == -2:
-                out[r.sweep].parent_tables = r.value
-            else:
-                out[r.sweep].tables[r.place] = r.value
-        return out
 
+    posts = common.map_arrow(chunks, lambda b: _posts(b, buckets), POSTED).repartition(parts, "bucket").sortWithinPartitions("bucket", "chunk")
+    sums = _dealt(common.map_arrow(posts, _summed, SUMMED), parts)
+    m1, m2 = (int(x or 0) for x in sums.agg(F.sum("n1"), F.sum("n2")).first())
+    table = sums.select("bucket", "words", "counts", "contexts", "pairs", "pair_count")
+
+    # restaurants by home: as many homes as tasks
+    asks = common.map_arrow(table, lambda b: _asks(b, parts), TELLS + ", contexts binary")
+    dealt = asks.select("home", "bucket", "contexts").repartition(parts, "home").sortWithinPartitions("home", "bucket")
+    homes = common.staged(common.map_arrow(dealt, _homes, TELLS + ", sizes binary"), "homes")
+
+    def told(posted: DataFrame) -> DataFrame:
+        both = homes.unionByName(posted.select("home", "bucket", "sweep", "values"), allowMissingColumns=True)
+        return common.staged(common.map_arrow(both.repartition(parts, "home").sortWithinPartitions("home", "bucket"), _tells, TELLS), "told")
+
+    def with_told(buckets: DataFrame, tables: list[DataFrame]) -> DataFrame:
+        """Each bucket with what it was told, which comes to where the bucket was written."""
+        every = functools.reduce(DataFrame.unionByName, tables).repartition(parts, "bucket")
+        return buckets.join(every.groupBy("bucket").agg(F.collect_list(F.struct("home", "sweep", "values")).alias("told")).hint("merge"), "bucket")
+
+    def swept(given: Totals, tables: list[DataFrame], numbers: list[int]) -> tuple[list[Totals], DataFrame]:
+        new = common.staged(common.map_arrow(with_told(table, tables), lambda b: _sweeps(b, parts, given, numbers), TELLS + ", customers double, parent double"), "tables")
+        # a row for each sweep
+        totals = {r.sweep: r for r in new.groupBy("sweep").agg(F.sum("customers").alias("customers"), F.sum("parent").alias("parent")).collect()}
+        zero = Row(customers=0.0, parent=0.0)
+        return [Totals(v, given.discounts, totals.get(k, zero).customers, totals.get(k, zero).parent, k) for k in numbers], told(new)
+
+    given, tables = Totals(v, (_discount(n1, n2), _discount(m1, m2)), 0.6 * n, float(v)), [told(asks)]
     for k in range(BURN_IN):
-        model = swept(model, [k])[k]
-    given, models = model, swept(model, list(range(BURN_IN, BURN_IN + SAMPLES)))
-
-    answers = common.map_arrow(sums, lambda b: _answers(b, given, models), "chunk long, bucket int, seen binary, single binary, pair binary")
-    both = chunks.withColumn("bucket", F.lit(-1)).unionByName(answers, allowMissingColumns=True)
-    both = both.repartition(parts, "chunk").sortWithinPartitions("chunk", "bucket")
-    return common.map_arrow(both, lambda b: _scores(b, buckets, contexts, n, v), RESULT)
+        (given,), new = swept(given, tables, [k])
+        tables = [tables[0], new]
+    samples, new = swept(given, tables, list(range(BURN_IN, BURN_IN + SAMPLES)))
+
+    answers = common.staged(common.map_arrow(with_told(sums, [*tables, new]), lambda b: _answers(b, parts, given, samples), "chunk long, bucket int, seen binary, pair binary"), "answers")
+    common.drop_path(spark, sums._lanewise_path)
+    both = chunks.withColumn("bucket", F.lit(-1)).withColumnRenamed("seen", "own").unionByName(answers, allowMissingColumns=True)
+    both = both.withColumn("seen", F.coalesce("seen", "own")).drop("own").repartition(parts, "chunk").sortWithinPartitions("chunk", "bucket")
+    return common.map_arrow(both, lambda b: _scores(b, buckets, n, v), RESULT)
+
+
+def _dealt(df: DataFrame, parts: int) -> DataFrame:
+    """staged(), with rows by bucket kept in as many files, so that a join by bucket leaves them where they are."""
+    spark, label = df.sparkSession, f"restaurants_{uuid.uuid4().hex}"
+    path = common.new_path(spark, "restaurants")
+    df.write.bucketBy(parts, "bucket").option("path", path).option("compression", "zstd").format("parquet").saveAsTable(label)
+    common._scratch[-1].append(path)
+    out = spark.table(label)
+    out._lanewise_path = path
+    spark._jvm.System.gc()
+    return out
 
 
 def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

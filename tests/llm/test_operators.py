@@ -178,6 +178,20 @@ def test_scores_edges(edge, nothing):
     assert all(r.n_tokens == 1 for r in rows if r.doc_id in (2, 3, 4))
 
 
+def test_scores_after_rare_words(spark):
+    """A word seen five times in 60,000 tokens has its own restaurant."""
+    import random
+
+    rng = random.Random(2)
+    ids = [i for i in range(200) if not pitman_yor.is_held_out(i)][:60]
+    held = [i for i in range(200) if pitman_yor.is_held_out(i)][:2]
+    texts = [" ".join(f"f{rng.randrange(400)}" for _ in range(1000)) for _ in ids]
+    texts[:5] = [f"{t} qa zb qb zc qc" for t in texts[:5]]
+    rows = [*zip(ids, texts, strict=True), (held[0], "qa zb"), (held[1], "qa zc")]
+    got = {r.doc_id: r.score for r in pitman_yor.scored(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[held[0]] > got[held[1]] + 1
+
+
 def test_predictive_probabilities_sum_to_one():
     rng = np.random.default_rng(1)
     n_words, n_contexts = 50, 4
