@@ -3,7 +3,8 @@
 A line that names a licence, a copyright or a permission is a notice.  Its terms, and the
 templates', are weighted by tf * idf, idf = ln((1 + n) / (1 + df)) + 1 over all notices; a file's own
 licence is that of the template most alike to one of its notices, from THRESHOLD on.  A file
-most of whose words are in such a notice is a licence file and speaks for its directory.  A
+most of whose words are in such a notice, or in runs of words of its licence's whole text (FULL),
+or whose name is that of one (LICENSE, COPYING), is a licence file and speaks for its directory.  A
 file without a licence of its own has that of the nearest directory above it with a licence
 file.  Everything is in DataFrame expressions; only notices are exploded to terms.
 
@@ -16,6 +17,8 @@ aggregates; templates are a fixed table of a few hundred terms, the only thing b
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,13 +44,40 @@ TEMPLATES = (
     ("Proprietary", "Copyright. All rights reserved. No license is granted."),
 )
 
+# Whole texts, without their copyright lines.
+FULL = (("MIT", (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+    "documentation files (the 'Software'), to deal in the Software without restriction, including without "
+    "limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the "
+    "Software, and to permit persons to whom the Software is furnished to do so, subject to the following "
+    "conditions: The above copyright notice and this permission notice shall be included in all copies or "
+    "substantial portions of the Software. THE SOFTWARE IS PROVIDED 'AS IS', WITHOUT WARRANTY OF ANY KIND, EXPRESS "
+    "OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE "
+    "AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR "
+    "OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION "
+    "WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. "
+)),)
+
+LICENSE_NAME = r"(?i)(^|/)(licen[sc]e|copying)(\.lesser)?([-_][a-z0-9+_-]+(\.[0-9]+)*)?(\.(txt|md|rst))?$"
 TERMS = "[a-z0-9]+"
+RUN = 5
 
 
 def _terms(line: F.Column) -> F.Column:
     return F.regexp_extract_all(F.lower(line), F.lit(TERMS), 0)
 
 
+def _covered(text: F.Column, full: str) -> F.Column:
+    """Whether at least half of the words stand in runs of RUN words of a whole licence, however its lines are broken."""
+    words = re.findall(TERMS, full.lower())
+    runs = F.array(*[F.lit(x) for x in sorted({" ".join(words[i : i + RUN]) for i in range(len(words) - RUN + 1)})])
+    found = lambda t: F.transform(t, lambda _, i: F.array_contains(runs, F.array_join(F.slice(t, i + 1, RUN), " ")))
+    inside = lambda f: F.filter(f, lambda _, i: F.array_contains(F.slice(f, F.greatest(i - RUN + 2, F.lit(1)), F.least(i + 1, F.lit(RUN))), True))
+    # each bound to a lambda, so evaluated once a row
+    flags = F.flatten(F.transform(F.array(_terms(text)), found))
+    return F.transform(F.array(flags), lambda f: 2 * F.size(inside(f)) >= F.size(f))[0]
+
+
 def notices(files: DataFrame, key: list[str], text: str) -> DataFrame:
     """key, line, words of it: one row for each notice."""
     lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike(NOTICE))
@@ -86,11 +116,12 @@ def scanned(files: DataFrame, path: str = "path", text: str = "text") -> DataFra
     files = files.drop(*added)
     key = F.xxhash64(path, text).alias("__key")
     words = F.size(_terms(F.coalesce(text, F.lit(""))))
+    whole = F.when(F.col(text).rlike(NOTICE), F.filter(F.array(*[F.when(_covered(F.col(text), full), F.lit(name)) for name, full in FULL]), lambda x: x.isNotNull()))
     # lines with notices only; the texts themselves are not shuffled for them
     with common.scratch(files.sparkSession):
-        found = common.staged(notices(files.select(key, F.col(path).alias("path"), words.alias("words"), F.col(text).alias("text")), ["__key", "path", "words"], "text").dropDuplicates(["__key", "path", "number"]), "notices")
+        found = common.staged(notices(files.select(key, F.col(path).alias("path"), words.alias("words"), whole.alias("whole"), F.col(text).alias("text")), ["__key", "path", "words", "whole"], "text").dropDuplicates(["__key", "path", "number"]), "notices")
         kinds = common.staged(classified(found), "kinds")
-        own = found.join(kinds, "line").withColumn("most", 2 * F.size(_terms(F.col("line"))) >= F.col("words"))
+        own = found.join(kinds, "line").withColumn("most", (2 * F.size(_terms(F.col("line"))) >= F.col("words")) | F.array_contains("whole", F.col("license")) | F.coalesce(F.col("path").rlike(LICENSE_NAME), F.lit(False)))
         rank = F.max(F.struct("score", (-F.col("number")).alias("back"), "license", "most")).alias("best")
         own = own.groupBy("__key", "path").agg(rank).select("__key", "path", F.col("best.license").alias("own_license"), F.col("best.score").alias("own_score"), F.col("best.most").alias("is_license_file"))
         own = common.staged(own, "own", keep=True)

@@ -105,6 +105,19 @@ def test_license_inheritance(spark):
     ])
 
 
+def test_license_files_of_many_lines(spark):
+    import textwrap
+
+    mit = "Copyright (c) 2020 A\n\n" + textwrap.fill(licenses.FULL[0][1], 78)
+    apache = "\n".join(["Licensed under the Apache License, Version 2.0."] + ["conditions of use and so on"] * 20)
+    rows = [("a/terms", mit), ("a/x.py", "code"), ("b/LICENSE-Apache-2.0", apache), ("b/y.py", "code"), ("c/license_check.py", apache), ("c/z.py", "code"), ("d/t.py", mit + "\n" + "x = 1 " * 200), ("d/u.py", "code")]
+    got = {r.path: (r.is_license_file, r.license, r.inherited_from) for r in licenses.scanned(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got["a/terms"] == (True, "MIT", None) and got["a/x.py"] == (False, "MIT", "a/terms")
+    assert got["b/LICENSE-Apache-2.0"] == (True, "Apache-2.0", None) and got["b/y.py"] == (False, "Apache-2.0", "b/LICENSE-Apache-2.0")
+    assert got["c/license_check.py"] == (False, "Apache-2.0", None) and got["c/z.py"] == (False, None, None)
+    assert got["d/t.py"] == (False, "MIT", None) and got["d/u.py"] == (False, None, None)
+
+
 def test_license_edges(edge, nothing):
     path = lambda d: d.withColumn("path", F.concat_ws("/", "source", F.col("doc_id").cast("string"))).withColumn("license", F.lit("clash"))
     assert licenses.scanned(path(edge)).count() == edge.count() and licenses.scanned(path(nothing)).count() == 0
