@@ -1,9 +1,9 @@
 """What the training-data operators share: staged tables, Arrow batches and word hashing.
 
 Words are runs of bytes other than ASCII space and U+0009..U+000D; A-Z are folded.  Hashes
-are computed for a whole block of texts at once with numpy: a word's hash is the
-difference of two prefix sums of a polynomial over its bytes, so no Python object is
-made for a word.
+are computed for a whole block of texts at once with numpy: a word's hash chains a mixing
+function over its bytes, eight at a time, so words of one length of up to eight bytes never
+collide and no Python object is made for a word.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ import atexit
 import contextlib
 import ctypes
 import gc
+import hashlib
+import re
 import shutil
 import tempfile
 import uuid
@@ -35,21 +37,24 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds what one Arrow batch of texts holds; a smaller session setting is kept."""
+    """Lowers, for the session, what one Arrow batch of texts holds; a smaller setting is kept. Plans read it when they run, so it stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > ARROW_ROWS:
         spark.conf.set(key, str(ARROW_ROWS))
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(key, "67108864").rstrip("b")) > ARROW_BYTES:
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key, "64m"))
+    if now <= 0 or now > ARROW_BYTES:
         spark.conf.set(key, str(ARROW_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; an own one only where none is set."""
+    """The folder that the cluster names for checkpoints; where none is set, an own one, which only a local master's tasks can see."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="lanewise-"))
         atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
@@ -60,20 +65,40 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+def staged(df: DataFrame, label: str, keep: bool = False, by: str | None = None) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends there, and a lost executor loses nothing.
-    Within scratch() the table goes when that ends, unless it is to be kept."""
+    Within scratch() the table goes when that ends, unless it is to be kept. Rows of each value of `by` are in a folder of their own."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    with own_settings(spark, RELEASE):
+        df.write.partitionBy(*[by] * (by is not None)).option("compression", "zstd").parquet(path)
     if _scratch and not keep:
         _scratch[-1].append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lanewise_path = path
-    spark._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files that the write needed
     return out
 
 
+#: Spark drops an action's shuffle files when it ends.
+RELEASE = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
+@contextlib.contextmanager
+def own_settings(spark: SparkSession, own: dict[str, str]) -> Iterator[None]:
+    """Settings of the session that hold for what is planned and run meanwhile."""
+    before = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables staged while it holds are deleted when it ends; nothing that is returned may read them."""
@@ -85,23 +110,11 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             drop_path(spark, path)
 
 
-@contextlib.contextmanager
-def prefiltered_joins(spark: SparkSession) -> Iterator[None]:
+def prefiltered_joins(spark: SparkSession):
     """While it holds, Spark puts a Bloom filter of a join's filtered side (of a fixed size, 8 MB at most) before the
     other side's shuffle, whatever the sizes. Beyond what the filter can tell apart it only lets more rows through."""
     prefix = "spark.sql.optimizer.runtime.bloomFilter."
-    own = {"enabled": "true", "applicationSideScanSizeThreshold": "0", "creationSideThreshold": "10g"}
-    before = {k: spark.conf.get(prefix + k, None) for k in own}
-    for k, v in own.items():
-        spark.conf.set(prefix + k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            if v is None:
-                spark.conf.unset(prefix + k)
-            else:
-                spark.conf.set(prefix + k, v)
+    return own_settings(spark, {prefix + "enabled": "true", prefix + "applicationSideScanSizeThreshold": "0", prefix + "creationSideThreshold": "10g"})
 
 
 def map_arrow(df: DataFrame, f, schema) -> DataFrame:
@@ -165,30 +178,12 @@ def mix_int(x: int) -> int:
     return x ^ (x >> 31)
 
 
-_BASE = 0x9E3779B97F4A7C55
-_BASE_INV = pow(_BASE, -1, 1 << 64)
-_BYTE = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
-_FOLD = _BYTE.copy()
-_FOLD[65:91] = _BYTE[97:123]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_pow: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept for the next call."""
-    have = _pow.get(base)
-    if have is None or len(have) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        have = np.empty(size, dtype=U64)
-        have[0] = 1
-        k = 1
-        while k < size:
-            have[k : 2 * k] = have[:k] * U64(pow(base, k, 1 << 64))
-            k *= 2
-        if size <= 1 << 22:
-            _pow[base] = have
-    return have[:n]
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=U64)
+LONG_WORD = 512
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -217,12 +212,21 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tup
 
 
 def span_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
-    """The hash of each span of bytes."""
-    n = len(data)
-    sums = np.empty(n + 1, dtype=U64)
-    sums[0] = 0
-    np.cumsum((_FOLD if fold else _BYTE)[data] * powers(_BASE, n), out=sums[1:])
-    return mix((sums[ends] - sums[begins]) * powers(_BASE_INV, n + 1)[begins])
+    """The hash of each span of bytes: of its length, then of eight bytes after eight."""
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[: len(data)] = _LOWER[data] if fold else data
+    eight = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))  # those from each place on
+    size = ends - begins
+    out = mix(size.astype(U64) * U64(0x9E3779B97F4A7C15) + U64(0x57D))
+    out = mix(out ^ (eight[begins] & _FIRST[np.minimum(size, 8)]))
+    live, at = np.flatnonzero((size > 8) & (size <= LONG_WORD)), 8
+    while len(live):
+        out[live] = mix(out[live] ^ (eight[begins[live] + at] & _FIRST[np.minimum(size[live] - at, 8)]))
+        at += 8
+        live = live[size[live] > at]
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(padded[begins[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def packed(x: np.ndarray) -> bytes:

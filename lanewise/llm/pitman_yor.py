@@ -1,65 +1,83 @@
 """Language-model scores by a hierarchical Pitman-Yor model of word pairs.
 
 Words `[^\\x20\\x09-\\x0D]+`, A-Z folded, and an end after each text, are the tokens.  The word
-before has a restaurant of its own, however rare it is; all restaurants share one parent, the
+before has a restaurant of its own, however rare it is; all of them share one parent, the
 restaurant of single words; its parent is the uniform distribution over the V known words and
 one unknown.
 
     P(w | u) = (c_uw - d t_uw + (strength + d t_u) P(w)) / (strength + c_u),   P(w) alike from P0 = 1 / (V + 1)
 
-Seatings are sampled by blocked Gibbs sweeps: given the tables of all restaurants together, the
-customers of each dish are seated anew one after the other (beyond EXACT of them in growing
-blocks at one probability).  Sweeps begin from a guess; after BURN_IN of them SAMPLES seatings
-are drawn, and their predictive probabilities are averaged.  Random numbers are hashes of
-word, context, customer and sweep, so scores depend neither on partitions nor on reruns.
-Discounts are n1 / (n1 + 2 n2) of the counts.
+Each table of a restaurant is a customer of the parent.  Seatings are sampled by Gibbs sweeps
+(`seating.py`): customers leave their tables and are seated again given those who stay.  A pass
+has SWEEPS of them; then restaurants and parent tell each other their new sums, so within a pass
+a dish sees its own moves at once and those of others as they were when it began.  The first pass
+starts from customers seated one after the other; after BURN_IN passes the predictive
+probabilities of SAMPLES passes are averaged.  Discounts are n1 / (n1 + 2 n2) of the counts, the
+strength is STRENGTH.  Random numbers are drawn by cell and pass, whose contents depend on the
+data alone, so scores depend neither on partitions of the input nor on reruns.
 
 How it is laid out: texts are cut into chunks of some megabytes, written once as numbers of a
-chunk's own dictionary.  Each chunk posts its words and pairs to buckets of words; a bucket
-sums them over all chunks, seats them, and answers each chunk with probabilities in the order
-of its post.  The sums of a restaurant are kept by home, a bucket of contexts: each bucket of
-words posts the tables of its contexts to their homes and is told the totals in the order of its
-post; the buckets themselves stay where they were written.  What moves grows with distinct words
-and pairs of chunks; the driver has totals over all restaurants only.
+chunk's own dictionary.  Pairs are dealt to a grid of cells, rows by word before, columns by word,
+so that a frequent word is spread over a row and a column.  A chunk posts its distinct pairs to the
+cells; a cell sums them, keeps their tables, and answers each post with probabilities in its order.
+The sums of a word, as context or as dish, are kept by its home: cells post theirs and are told the
+totals.  What moves grows with the distinct words and pairs of chunks and cells; the driver has
+totals over all restaurants only.
 
 Null and empty texts have the end alone; an empty table gives no rows.  Repeated rows are texts
 of their own.  A null doc_id counts as the empty string for the held-out rule.  Other columns
-are not read.
+are not read.  Words are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import functools
-import uuid
+import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .common import U64, mix
+from .common import U64, mix, packed, unpacked
+from .seating import Seating
 
-BURN_IN, SAMPLES = 1, 2
+BURN_IN, SAMPLES, SWEEPS = 2, 2, 2
 STRENGTH = 1.0
-EXACT = 32
 CHUNK_BYTES = 8 << 20
 FOLDS, HELD_OUT = 7, 2
 END = 0x454E44
-COUNTS = -1
-
-CHUNKS = "chunk long, ids binary, nulls binary, held binary, counts binary, tokens binary, words binary, seen binary"
 
 
 def is_held_out(doc_id: int | None) -> bool:
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % FOLDS == HELD_OUT
 
 
+def _table(columns: str, rows: list[tuple]) -> pa.RecordBatch:
+    """Rows as a batch; columns as in a schema of Spark."""
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64()}
+    fields = [x.split() for x in columns.split(", ")]
+    values = zip(*rows, strict=True) if rows else [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(list(v), kinds[k]) for v, (_, k) in zip(values, fields, strict=True)], names=[n for n, _ in fields])
+
+
+def _rising(x: np.ndarray) -> bytes:
+    """Ordered numbers as packed differences."""
+    return packed(np.diff(x, prepend=0))
+
+
+def _risen(x: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(x))
+
+
 # --- chunks --------------------------------------------------------------------------
 
+CHUNKS = "chunk long, ids binary, nulls binary, held binary, counts binary, tokens binary, words binary, seen binary"
+
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each CHUNK_BYTES of texts: documents, tokens by number, the words' hashes (ordered) and how often each is in training texts."""
@@ -71,20 +89,14 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nonlocal made
         ids = [x for part in held for x in part[0]]
         counts = np.concatenate([part[2] for part in held])
-        hashes = np.concatenate([part[1] for part in held])
         # an end after each text
-        at = np.cumsum(counts)
-        hashes = np.insert(hashes, at, U64(END))
+        hashes = np.insert(np.concatenate([part[1] for part in held]), np.cumsum(counts), U64(END))
         counts = counts + 1
         out = np.array([is_held_out(x) for x in ids], dtype=bool)
         words, tokens = np.unique(hashes, return_inverse=True)
         seen = np.bincount(tokens[np.repeat(~out, counts)], minlength=len(words))
-        row = {
-            "chunk": base + made, "ids": np.array([x or 0 for x in ids], dtype=np.int64), "nulls": np.array([x is None for x in ids]), "held": out,
-            "counts": counts.astype("<u4"), "tokens": tokens.astype("<u4"), "words": words, "seen": seen.astype("<u4"),
-        }
         made += 1
-        return pa.RecordBatch.from_pydict({k: pa.array([v], pa.int64()) if k == "chunk" else pa.array([v.tobytes()], pa.binary()) for k, v in row.items()})
+        return _table(CHUNKS, [(base + made - 1, np.array([x or 0 for x in ids], dtype=np.int64).tobytes(), np.array([x is None for x in ids]).tobytes(), out.tobytes(), packed(counts), tokens.astype("<u4").tobytes(), words.tobytes(), packed(seen))])
 
     for batch in batches:
         for ids, data, offsets in common.text_blocks(batch.column(0).to_pylist(), batch.column(1)):
@@ -99,312 +111,317 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Chunk:
-    def __init__(self, row: dict, buckets: int):
+    def __init__(self, row: dict):
         self.id = row["chunk"]
         read = lambda name, kind: np.frombuffer(row[name], dtype=kind)
         self.ids, self.nulls, self.held = read("ids", np.int64), read("nulls", bool), read("held", bool)
-        self.counts, self.tokens = read("counts", "<u4").astype(np.int64), read("tokens", "<u4").astype(np.int64)
-        self.words, self.seen = read("words", U64), read("seen", "<u4")
-        self.bucket = (mix(self.words + U64(0x42)) % U64(buckets)).astype(np.int64)
+        self.counts, self.tokens, self.words = unpacked(row["counts"]), read("tokens", "<u4").astype(np.int64), read("words", U64)
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct keys of (word, word before), ordered; which of them each token has; and the keys' training counts."""
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct pairs in order of word and word before, the number that each token's pair has, and the pairs' training counts."""
         end = int(np.searchsorted(self.words, U64(END)))
         before = np.empty(len(self.tokens), dtype=np.int64)
         before[1:] = self.tokens[:-1]
         before[np.cumsum(self.counts) - self.counts] = end
         keys, which = np.unique(self.tokens * len(self.words) + before, return_inverse=True)
-        return keys, which, np.bincount(which[np.repeat(~self.held, self.counts)], minlength=len(keys))
-
+        word, context = np.divmod(keys, len(self.words))
+        return word, context, which, np.bincount(which[np.repeat(~self.held, self.counts)], minlength=len(keys))
 
-def _rising(parts: list[np.ndarray]) -> bytes:
-    """Ordered numbers, list after list, as packed differences."""
-    return common.packed(np.concatenate([np.diff(x, prepend=0) for x in parts]) if parts else np.empty(0, dtype=np.int64))
 
+class Plan:
+    """Where words and pairs belong: `homes` of words, a grid of `cells` for pairs. Homes are ranges of hashes."""
 
-def _risen(x: bytes, sizes: np.ndarray) -> np.ndarray:
-    """The lists of _rising, end to end."""
-    sums = np.concatenate([[0], np.cumsum(common.unpacked(x))])
-    return sums[1:] - np.repeat(sums[np.cumsum(sizes) - sizes], sizes)
+    def __init__(self, parts: int):
+        self.homes, self.rows = parts, max(1, math.isqrt(2 * parts))
+        self.columns = max(1, 2 * parts // self.rows)
+        self.cells = self.rows * self.columns
 
+    def cuts(self, words: np.ndarray) -> np.ndarray:
+        """Where each home's words begin among ordered ones."""
+        return np.searchsorted(words, np.array([-(-(h << 64) // self.homes) for h in range(self.homes)], dtype=U64)).tolist() + [len(words)]
 
-def _batch(row: dict, kinds: dict) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({k: pa.array([row[k]], kind) for k, kind in kinds.items()})
+    def cell(self, words: np.ndarray, word: np.ndarray, context: np.ndarray) -> np.ndarray:
+        row, column = ((mix(words + U64(salt)) % U64(n)).astype(np.int32) for salt, n in ((0x43, self.rows), (0x42, self.columns)))
+        return row[context] * self.columns + column[word]
 
 
 # --- counts of words -----------------------------------------------------------------
 
+WORD_POSTS, WORD_COUNTS = "home int, chunk long, words binary, seen binary", "chunk long, home int, seen binary, v long, n long"
 
-def _word_posts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+
+def _word_posts(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBatch]:
     for row in common.rows(batches):
-        words, seen = np.frombuffer(row["words"], dtype=U64), np.frombuffer(row["seen"], dtype="<u4")
-        words, seen = words[seen > 0], seen[seen > 0]
-        bucket = (mix(words + U64(0x42)) % U64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        full = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
-        parts = [order[cuts[b] : cuts[b + 1]] for b in full]
-        yield pa.RecordBatch.from_pydict({"bucket": pa.array(full, pa.int32()), "words": pa.array([words[p].tobytes() for p in parts], pa.binary()), "seen": pa.array([seen[p].tobytes() for p in parts], pa.binary())})
+        words, seen = np.frombuffer(row["words"], dtype=U64), unpacked(row["seen"])
+        cuts = plan.cuts(words)
+        yield _table(WORD_POSTS, [(h, row["chunk"], words[a:b].tobytes(), packed(seen[a:b])) for h, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b])
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """By bucket: known words, training tokens, words seen once and twice."""
-    for _, rows in common.grouped(batches, "bucket"):
-        words = np.concatenate([np.frombuffer(r["words"], dtype=U64) for r in rows])
-        seen = np.concatenate([np.frombuffer(r["seen"], dtype="<u4") for r in rows])
-        words, at = np.unique(words, return_inverse=True)
-        counts = np.bincount(at, weights=seen).astype(np.int64)
-        yield pa.RecordBatch.from_pydict({
-            "v": pa.array([len(words)], pa.int64()), "n": pa.array([int(counts.sum())], pa.int64()), "n1": pa.array([int((counts == 1).sum())], pa.int64()), "n2": pa.array([int((counts == 2).sum())], pa.int64()),
-        })
+    """To each post the training counts of its words over all chunks; with one of them, how many words are known and their sum."""
+    for home, rows in common.grouped(batches, "home"):
+        words = [np.frombuffer(r["words"], dtype=U64) for r in rows]
+        _, at = np.unique(np.concatenate(words), return_inverse=True)
+        counts = np.bincount(at, weights=np.concatenate([unpacked(r["seen"]) for r in rows])).astype(np.int64)
+        v, n = int((counts > 0).sum()), int(counts.sum())
+        ends = np.cumsum([len(x) for x in words])
+        yield _table(WORD_COUNTS, [(r["chunk"], home, packed(counts[at[e - len(x) : e]]), v * (i == 0), n * (i == 0)) for i, (r, x, e) in enumerate(zip(rows, words, ends.tolist(), strict=True))])
 
 
-# --- restaurants ---------------------------------------------------------------------
+# --- cells ---------------------------------------------------------------------------
 
-POSTS = {"bucket": pa.int32(), "chunk": pa.int64(), "words": pa.binary(), "seen": pa.binary(), "contexts": pa.binary(), "pair_word": pa.binary(), "pair_context": pa.binary(), "pair_count": pa.binary()}
-POSTED = "bucket int, chunk long, words binary, seen binary, contexts binary, pair_word binary, pair_context binary, pair_count binary"
+PAIR_POSTS = "cell int, chunk long, words binary, contexts binary, pair_word binary, pair_context binary, pair_count binary"
+#: kind 0: a cell's pairs and counts, and (chunk) how many words stand before one; 1: its words and contexts; 2: where the pairs of a chunk's post are among the cell's
+CELLS = "kind int, cell int, chunk long, first binary, second binary, n1 long, n2 long"
+PAIRS, NAMES, PLACES = 0, 1, 2
 
 
-def _posts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """What a chunk asks of a bucket: its words with their training counts, the words before them, and pairs as numbers in those two lists, with training counts."""
+def _pair_posts(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBatch]:
+    """What a chunk posts to a cell: the words and the words before of its pairs, pairs as numbers in those lists, training counts."""
     for row in common.rows(batches):
-        chunk = Chunk(row, buckets)
-        keys, _, counts = chunk.pairs()
-        word, context = np.divmod(keys, len(chunk.words))
-        order = np.argsort(chunk.bucket, kind="stable")
-        cuts = np.searchsorted(chunk.bucket[order], np.arange(buckets + 1))
-        number = np.empty(len(order), dtype=np.int64)
-        number[order] = np.arange(len(order)) - cuts[chunk.bucket[order]]
-        of_pair = chunk.bucket[word]
-        pair_order = np.argsort(of_pair, kind="stable")
-        pair_cuts = np.searchsorted(of_pair[pair_order], np.arange(buckets + 1))
-        for b in range(buckets):
-            w, p = order[cuts[b] : cuts[b + 1]], pair_order[pair_cuts[b] : pair_cuts[b + 1]]
-            if len(w):
-                before, at = np.unique(context[p], return_inverse=True)
-                yield _batch({"bucket": b, "chunk": chunk.id, "words": chunk.words[w].tobytes(), "seen": common.packed(chunk.seen[w]), "contexts": chunk.words[before].tobytes(), "pair_word": _rising([number[word[p]]]), "pair_context": common.packed(at), "pair_count": common.packed(counts[p])}, POSTS)
-
-
-SUMS = {"bucket": pa.int32(), "words": pa.binary(), "counts": pa.binary(), "contexts": pa.binary(), "pairs": pa.binary(), "pair_count": pa.binary(), "n1": pa.int64(), "n2": pa.int64(), "chunks": pa.binary(), "word_sizes": pa.binary(), "pair_sizes": pa.binary(), "word_at": pa.binary(), "pair_at": pa.binary()}
-SUMMED = "bucket int, words binary, counts binary, contexts binary, pairs binary, pair_count binary, n1 long, n2 long, chunks binary, word_sizes binary, pair_sizes binary, word_at binary, pair_at binary"
+        chunk = Chunk(row)
+        word, context, _, counts = chunk.pairs()
+        cell = plan.cell(chunk.words, word, context)
+        order = np.argsort(cell, kind="stable")
+        cuts = np.searchsorted(cell[order], np.arange(plan.cells + 1))
+        for c in np.flatnonzero(np.diff(cuts)).tolist():
+            own = order[cuts[c] : cuts[c + 1]]
+            words, w = np.unique(word[own], return_inverse=True)
+            contexts, u = np.unique(context[own], return_inverse=True)
+            yield _table(PAIR_POSTS, [(c, chunk.id, chunk.words[words].tobytes(), chunk.words[contexts].tobytes(), _rising(w), packed(u), packed(counts[own]))])
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A bucket's words and pairs with their counts over all chunks, and where each post's are among them."""
-    for bucket, rows in common.grouped(batches, "bucket"):
-        words, before = ([np.frombuffer(r[k], dtype=U64) for r in rows] for k in ("words", "contexts"))
-        sizes, before_sizes = np.array([len(x) for x in words]), np.array([len(x) for x in before])
-        unique, word_at = np.unique(np.concatenate(words), return_inverse=True)
-        contexts, context_at = np.unique(np.concatenate(before), return_inverse=True)
-        counts = np.bincount(word_at, weights=np.concatenate([common.unpacked(r["seen"]) for r in rows]), minlength=len(unique))
-        pair_contexts = [common.unpacked(r["pair_context"]) for r in rows]
-        pair_sizes = np.array([len(x) for x in pair_contexts])
-        pair_words = np.concatenate([_risen(r["pair_word"], np.array([n])) for r, n in zip(rows, pair_sizes, strict=True)])
-        word = word_at[pair_words + np.repeat(np.cumsum(sizes) - sizes, pair_sizes)]
-        context = context_at[np.concatenate(pair_contexts) + np.repeat(np.cumsum(before_sizes) - before_sizes, pair_sizes)]
-        keys, pair_at = np.unique(word * len(contexts) + context, return_inverse=True)
-        pair_counts = np.bincount(pair_at, weights=np.concatenate([common.unpacked(r["pair_count"]) for r in rows]), minlength=len(keys))
-        yield _batch({
-            "bucket": bucket, "words": unique.tobytes(), "counts": common.packed(counts), "contexts": contexts.tobytes(),
-            "pairs": _rising([keys]), "pair_count": common.packed(pair_counts), "n1": int((pair_counts == 1).sum()), "n2": int((pair_counts == 2).sum()),
-            "chunks": np.array([r["chunk"] for r in rows], dtype=np.int64).tobytes(), "word_sizes": sizes.astype("<u4").tobytes(), "pair_sizes": pair_sizes.astype("<u4").tobytes(),
-            "word_at": _rising(np.split(word_at, np.cumsum(sizes)[:-1])), "pair_at": _rising(np.split(pair_at, np.cumsum(pair_sizes)[:-1])),
-        }, SUMS)
-
-
-# --- sums by restaurant --------------------------------------------------------------
-
-TOLD = {"home": pa.int32(), "bucket": pa.int32(), "sweep": pa.int32(), "values": pa.binary()}
-TELLS = "home int, bucket int, sweep int, values binary"
-
-
-def _by_home(contexts: np.ndarray, homes: int) -> tuple[np.ndarray, np.ndarray]:
-    """A bucket's contexts in the order of their homes, and where each home's begin in that order."""
-    home = (mix(contexts + U64(0x43)) % U64(homes)).astype(np.int64)
-    order = np.argsort(home, kind="stable")
-    return order, np.searchsorted(home[order], np.arange(homes + 1))
-
-
-def _to_homes(bucket: int, contexts: np.ndarray, homes: int, sweep: int, values: np.ndarray) -> Iterator[dict]:
-    order, cuts = _by_home(contexts, homes)
-    for h in range(homes):
-        at = order[cuts[h] : cuts[h + 1]]
-        if len(at):
-            yield {"home": h, "bucket": bucket, "sweep": sweep, "values": common.packed(values[at]), "contexts": contexts[at].tobytes()}
-
-
-def _asks(batches: Iterator[pa.RecordBatch], homes: int) -> Iterator[pa.RecordBatch]:
-    """What a bucket asks of a home: its contexts there, with the customers that the bucket has of each."""
-    for row in common.rows(batches):
-        bucket = Bucket(_raw(row))
-        values = np.bincount(bucket.pair_context, weights=bucket.pair_count, minlength=len(bucket.contexts))
-        for out in _to_homes(row["bucket"], bucket.contexts, homes, COUNTS, values):
-            yield _batch(out, TOLD | {"contexts": pa.binary()})
+    for cell, rows in common.grouped(batches, "cell"):
+        names, numbers = [], []
+        for name, pair in (("words", "pair_word"), ("contexts", "pair_context")):
+            lists = [np.frombuffer(r[name], dtype=U64) for r in rows]
+            own, at = np.unique(np.concatenate(lists), return_inverse=True)
+            starts = np.cumsum([0, *(len(x) for x in lists)])
+            read = _risen if name == "words" else unpacked
+            numbers.append(np.concatenate([at[read(r[pair]) + a] for r, a in zip(rows, starts.tolist(), strict=False)]))
+            names.append(own)
+        keys, at = np.unique(numbers[0] * len(names[1]) + numbers[1], return_inverse=True)
+        each = [unpacked(r["pair_count"]) for r in rows]
+        counts = np.bincount(at, weights=np.concatenate(each), minlength=len(keys)).astype(np.int64)
+        yield _table(CELLS, [(PAIRS, cell, len(names[1]), _rising(keys), packed(counts), int((counts == 1).sum()), int((counts == 2).sum())), (NAMES, cell, 0, names[0].tobytes(), names[1].tobytes(), 0, 0)])
+        end = 0
+        for r, x in zip(rows, each, strict=True):
+            yield _table(CELLS, [(PLACES, cell, r["chunk"], _rising(at[end : end + len(x)]), None, 0, 0)])
+            end += len(x)
+
+
+class Cell:
+    """A cell's pairs: numbers of word and word before, training counts; `many` are those with a seating to sample, as a single customer sits alone."""
 
+    def __init__(self, row: dict):
+        self.word, self.context = np.divmod(_risen(row["first"]), max(row["chunk"], 1))
+        self.count = unpacked(row["second"])
+        self.many = np.flatnonzero(self.count > 1)
 
-def _homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A home's places of each asking bucket's contexts, and those buckets' numbers of contexts."""
-    for home, rows in common.grouped(batches, "home"):
-        asked = [np.frombuffer(r["contexts"], dtype=U64) for r in rows]
-        sizes = np.array([len(x) for x in asked])
-        _, at = np.unique(np.concatenate(asked), return_inverse=True)
-        yield _batch({"home": home, "bucket": -1, "sweep": COUNTS, "values": _rising(np.split(at, np.cumsum(sizes)[:-1])), "sizes": sizes.astype("<u4").tobytes()}, TOLD | {"sizes": pa.binary()})
+    def tables(self, many: np.ndarray) -> np.ndarray:
+        out = np.minimum(self.count, 1)
+        out[self.many] = many
+        return out
 
 
-def _tells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows stand by home, the home itself first (bucket -1), then what buckets posted: tells each bucket the sums over all."""
-    for home, rows in common.grouped(batches, "home"):
-        sizes = np.frombuffer(rows[0]["sizes"], dtype="<u4").astype(np.int64)
-        at = _risen(rows[0]["values"], sizes)
-        for sweep in sorted({r["sweep"] for r in rows[1:]}):
-            own = [r for r in rows[1:] if r["sweep"] == sweep]
-            sums = np.bincount(at, weights=np.concatenate([common.unpacked(r["values"]) for r in own]))
-            for r, part in zip(own, np.split(sums[at], np.cumsum(sizes)[:-1]), strict=True):
-                yield _batch({"home": home, "bucket": r["bucket"], "sweep": sweep, "values": common.packed(part)}, TOLD)
-
-
-def seated(customers: np.ndarray, open_weight: np.ndarray, discount: float, key: np.ndarray, sweep: int) -> np.ndarray:
-    """Tables that `customers` of a dish end up at, the first always at a new one."""
-    tables = np.minimum(customers, 1).astype(np.float64)
-    live = np.flatnonzero(customers > 1)
-    j = 1
-    while len(live):
-        block = np.minimum(1 if j < EXACT else j // 8, customers[live] - j).astype(np.float64)
-        chance = open_weight[live] / (np.maximum(j - discount * tables[live], 0) + open_weight[live])
-        draw = (mix(key[live] + U64(sweep * 0x1000003) + mix(np.full(1, j, dtype=U64))) >> U64(11)) * 2.0**-53
-        tables[live] += np.floor(block * chance + draw)
-        j += 1 if j < EXACT else j // 8
-        live = live[customers[live] > j]
-    return tables
-
-
-class Model:
-    """The sums over all restaurants that a sweep is given: those of single restaurants for the contexts of one bucket."""
-
-    def __init__(self, v: int, discounts: tuple[float, float], context_counts: np.ndarray, tables: np.ndarray, customers: float, parent_tables: float):
-        self.v, self.discounts, self.context_counts = v, discounts, context_counts
-        self.tables, self.customers, self.parent_tables = tables, customers, parent_tables
-
-    def single(self, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
-        """P(w) from the parent's customers and tables of each word."""
-        d = self.discounts[0]
-        return (customers - d * tables + (STRENGTH + d * self.parent_tables) / (self.v + 1)) / (STRENGTH + self.customers)
+# --- homes ---------------------------------------------------------------------------
 
-    def after(self, context: np.ndarray, count: np.ndarray, tables: np.ndarray, single: np.ndarray) -> np.ndarray:
-        """P(w | u)."""
-        d = self.discounts[1]
-        return (count - d * tables + (STRENGTH + d * self.tables[context]) * single) / (STRENGTH + self.context_counts[context])
+#: Homes of words as contexts have even numbers, as dishes odd ones.
+ASKS = "home int, cell int, pass int, first binary, second binary, names binary"
+HOMES = "kind int, home int, cell int, pass int, first binary, second binary, customers double, tables double"
+#: kind 0: places of each asking cell's words; 1: the parent's seating; 2: what a cell is told
+BASE, SEATED, TOLD = 0, 1, 2
+START = -1
 
 
-class Bucket:
-    def __init__(self, row: dict):
-        read = lambda name, kind: np.frombuffer(row[name], dtype=kind)
-        self.words, self.counts = read("words", U64), read("counts", "<u8").astype(np.int64)
-        self.pair_word, self.pair_count = read("pair_word", "<u4").astype(np.int64), read("pair_count", "<u8").astype(np.int64)
-        # numbers of contexts, which a list may name
-        width = len(row["pair_context"]) // max(len(self.pair_word), 1) or 4
-        self.pair_context = read("pair_context", f"<u{width}").astype(np.int64)
-        self.contexts = read("contexts", U64) if "contexts" in row else np.arange(self.pair_context.max(initial=-1) + 1).astype(U64)
-        inside = np.bincount(self.pair_word, weights=self.pair_count, minlength=len(self.words)).astype(np.int64)
-        self.direct = self.counts - inside
-
-    def sweep(self, model: Model, number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """A new seating: tables of each pair, and the parent's customers and tables of each word."""
-        d0, d1 = model.discounts
-        parent = np.full(len(self.words), (STRENGTH + d0 * model.parent_tables) / (model.v + 1))
-        customers = self.direct + np.bincount(self.pair_word, weights=np.minimum(self.pair_count, 1), minlength=len(self.words)).astype(np.int64)
-        single = model.single(customers, seated(customers, parent, d0, self.words, 2 * number))
-        opens = (STRENGTH + d1 * model.tables[self.pair_context]) * single[self.pair_word]
-        tables = seated(self.pair_count, opens, d1, mix(self.words[self.pair_word] + mix(self.contexts)[self.pair_context]), 2 * number)
-        customers = self.direct + np.bincount(self.pair_word, weights=tables, minlength=len(self.words)).astype(np.int64)
-        return tables, customers, seated(customers, parent, d0, self.words, 2 * number + 1)
-
-
-def _raw(row: dict) -> dict:
-    """A row of sums as Bucket reads it."""
-    contexts = np.frombuffer(row["contexts"], dtype=U64)
-    count = common.unpacked(row["pair_count"])
-    word, context = np.divmod(_risen(row["pairs"], np.array([len(count)])), max(len(contexts), 1))
-    return {"words": row["words"], "contexts": row["contexts"], "counts": common.unpacked(row["counts"]).astype("<u8").tobytes(), "pair_word": word.astype("<u4").tobytes(), "pair_context": context.astype("<u4").tobytes(), "pair_count": count.astype("<u8").tobytes()}
-
-
-class Totals:
-    """What holds for all restaurants together."""
-
-    def __init__(self, v: int, discounts: tuple[float, float], customers: float, parent_tables: float, sweep: int | None = None):
-        self.v, self.discounts, self.customers, self.parent_tables, self.sweep = v, discounts, customers, parent_tables, sweep
-
-    def model(self, told: dict[int, np.ndarray]) -> Model:
-        """With the sums by context that a bucket was told; before the first sweep, a guess."""
-        counts = told[COUNTS]
-        return Model(self.v, self.discounts, counts, 0.5 * counts if self.sweep is None else told[self.sweep], self.customers, self.parent_tables)
-
-
-def _told(row: dict, bucket: Bucket, homes: int) -> dict[int, np.ndarray]:
-    order, _ = _by_home(bucket.contexts, homes)
-    out = {}
-    for sweep in {r["sweep"] for r in row["told"]}:
-        own = sorted((r for r in row["told"] if r["sweep"] == sweep), key=lambda r: r["home"])
-        out[sweep] = np.empty(len(order))
-        out[sweep][order] = np.concatenate([common.unpacked(r["values"]) for r in own])
+def _told_rows(cell: int, contexts: np.ndarray, words: np.ndarray, c: Cell, tables: np.ndarray, customers: np.ndarray | None, cuts: tuple[list, list], number: int) -> Iterator[tuple]:
+    """Sums of a cell for the homes of its contexts (tables, and customers if given) and words (tables)."""
+    sums = lambda which, n, x: np.bincount(which, weights=x, minlength=n).astype(np.int64)
+    for side, names, own in ((0, contexts, c.context), (1, words, c.word)):
+        first = sums(own, len(names), tables)
+        second = sums(own, len(names), customers) if customers is not None and not side else None
+        for h, (a, b) in enumerate(zip(cuts[side], cuts[side][1:], strict=False)):
+            if a < b:
+                yield 2 * h + side, cell, number, packed(first[a:b]), None if second is None else packed(second[a:b]), names[a:b].tobytes()
+
+
+def _asks(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBatch]:
+    """Rows stand by cell, pairs first: with every dish at one table, each home's sums."""
+    for cell, rows in common.grouped(batches, "cell"):
+        c = Cell(rows[0])
+        words, contexts = (np.frombuffer(rows[1][k], dtype=U64) for k in ("first", "second"))
+        found = list(_told_rows(cell, contexts, words, c, np.minimum(c.count, 1), c.count, (plan.cuts(contexts), plan.cuts(words)), START))
+        yield _table(ASKS, found)
+
+
+def _homes(batches: Iterator[pa.RecordBatch], given: Given) -> Iterator[pa.RecordBatch]:
+    """Sums over all asking cells; dishes of the parent are seated for the first time."""
+    for home, rows in common.grouped(batches, "home"):
+        names = [np.frombuffer(r["names"], dtype=U64) for r in rows]
+        _, at = np.unique(np.concatenate(names), return_inverse=True)
+        places = np.split(at, np.cumsum([len(x) for x in names])[:-1])
+        first = _total(places, [r["first"] for r in rows])
+        out = [(BASE, home, r["cell"], START, _rising(x), None, 0.0, 0.0) for r, x in zip(rows, places, strict=True)]
+        if home % 2:
+            seating = Seating.started(first).seated(given.opens, given.discounts[0], _random(home, START, 1))
+            yield _table(HOMES, out + _kept(home, START, seating) + _tell(home, START, rows, places, first, seating.tables))
+        else:
+            yield _table(HOMES, out + _tell(home, START, rows, places, first, _total(places, [r["second"] for r in rows])))
+
+
+def _total(places: list[np.ndarray], posted: list[bytes]) -> np.ndarray:
+    size = 1 + max((int(x[-1]) for x in places), default=-1)
+    out = np.zeros(size, dtype=np.int64)
+    for x, values in zip(places, posted, strict=True):
+        out[x] += unpacked(values)
     return out
 
 
-SWEPT = TOLD | {"customers": pa.float64(), "parent": pa.float64()}
+def _tell(home: int, number: int, rows: list[dict], places: list[np.ndarray], first: np.ndarray, second: np.ndarray | None) -> list[tuple]:
+    return [(TOLD, home, r["cell"], number, packed(first[x]), None if second is None else packed(second[x]), 0.0, 0.0) for r, x in zip(rows, places, strict=True)]
 
 
-def _sweeps(batches: Iterator[pa.RecordBatch], homes: int, given: Totals, numbers: list[int]) -> Iterator[pa.RecordBatch]:
-    """Tables by restaurant for its home, and the parent's customers and tables in one row of each bucket."""
-    for row in common.rows(batches):
-        bucket = Bucket(_raw(row))
-        model = given.model(_told(row, bucket, homes))
-        for k in numbers:
-            tables, customers, parent = bucket.sweep(model, k)
-            sums = [float(customers.sum()), float(parent.sum())]
-            for out in _to_homes(row["bucket"], bucket.contexts, homes, k, np.bincount(bucket.pair_context, weights=tables, minlength=len(bucket.contexts))):
-                yield _batch(out | {"customers": sums[0], "parent": sums[1]}, SWEPT)
-                sums = [0.0, 0.0]
+def _kept(home: int, number: int, seating: Seating) -> list[tuple]:
+    return [(SEATED, home, -1, number, packed(seating.tables), packed(seating.sizes), float(seating.customers.sum()), float(seating.tables[seating.customers > 0].sum()))]
 
 
-ANSWERS = {"chunk": pa.int64(), "bucket": pa.int32(), "seen": pa.binary(), "pair": pa.binary()}
+def _rehomed(batches: Iterator[pa.RecordBatch], given: Given, number: int) -> Iterator[pa.RecordBatch]:
+    """Rows stand by home and kind, then by cell: places, the parent's seating if any, and (kind 2) what cells have posted."""
+    for home, rows in common.grouped(batches, "home"):
+        base, posts = [r for r in rows if r["kind"] == BASE], [r for r in rows if r["kind"] == TOLD]
+        places = [_risen(r["first"]) for r in base]
+        first = _total(places, [r["first"] for r in posts])
+        if home % 2:
+            old = next(r for r in rows if r["kind"] == SEATED)
+            random = _random(home, number, 1)
+            before = Seating(unpacked(old["first"]), unpacked(old["second"]))
+            seating = before.with_customers(first, given.opens, given.discounts[0], random)
+            for _ in range(SWEEPS):
+                seating = seating.swept(given.opens, given.discounts[0], random, before.tables)
+            yield _table(HOMES, _kept(home, number, seating) + _tell(home, number, base, places, first, seating.tables))
+        else:
+            yield _table(HOMES, _tell(home, number, base, places, first, None))
 
 
-def _answers(batches: Iterator[pa.RecordBatch], homes: int, given: Totals, samples: list[Totals]) -> Iterator[pa.RecordBatch]:
-    """For each post: the words' training counts, the pairs' log10 P(w | u)."""
-    for row in common.rows(batches):
-        bucket = Bucket(_raw(row))
-        told = _told(row, bucket, homes)
-        pair = np.zeros(len(bucket.pair_word))
-        for sample in samples:
-            tables, customers, parent = bucket.sweep(given.model(told), sample.sweep)
-            model = sample.model(told)
-            p = model.single(customers, parent)
-            pair += model.after(bucket.pair_context, bucket.pair_count, tables, p[bucket.pair_word]) / len(samples)
-        pair = np.log10(pair).astype("<f4")
-        read = lambda name, kind: np.frombuffer(row[name], dtype=kind).astype(np.int64)  # noqa: B023, E731
-        word_sizes, pair_sizes = read("word_sizes", "<u4"), read("pair_sizes", "<u4")
-        word_at, pair_at = np.split(_risen(row["word_at"], word_sizes), np.cumsum(word_sizes)[:-1]), np.split(_risen(row["pair_at"], pair_sizes), np.cumsum(pair_sizes)[:-1])
-        for chunk, at, pairs in zip(read("chunks", np.int64).tolist(), word_at, pair_at, strict=True):
-            yield _batch({"chunk": chunk, "bucket": row["bucket"], "seen": common.packed(bucket.counts[at]), "pair": pair[pairs].tobytes()}, ANSWERS)
+# --- passes --------------------------------------------------------------------------
+
+
+def _random(place: int, number: int, kind: int) -> np.random.Generator:
+    return np.random.default_rng([0x5059, kind, place, number + 1])
+
 
+class Given:
+    """What holds for all restaurants together: V, discounts, the parent's customers and tables."""
+
+    def __init__(self, v: int, discounts: tuple[float, float], customers: float, tables: float, number: int = START):
+        self.v, self.discounts, self.customers, self.tables, self.number = v, discounts, customers, tables, number
+
+    def single(self, customers: np.ndarray, tables: np.ndarray, more: np.ndarray | int = 0) -> np.ndarray:
+        """P(w) from the parent's customers and tables of each word; `more` customers have come since."""
+        d = self.discounts[0]
+        customers = np.maximum(customers + more, 0)
+        return (np.maximum(customers - d * np.minimum(tables, customers), 0) + (STRENGTH + d * self.tables) / (self.v + 1)) / (STRENGTH + self.customers + more)
+
+    def opens(self, dishes: np.ndarray, more: np.ndarray) -> np.ndarray:
+        """The parent's weight of a new table, with `more` tables of the dish than these sums have."""
+        return (STRENGTH + self.discounts[0] * (self.tables + more)) / (self.v + 1)
+
+    def after(self, count: np.ndarray, tables: np.ndarray, context_count: np.ndarray, context_tables: np.ndarray, single: np.ndarray) -> np.ndarray:
+        """P(w | u)."""
+        d = self.discounts[1]
+        return (count - d * tables + (STRENGTH + d * context_tables) * single) / (STRENGTH + context_count)
+
+
+class Told:
+    """What a cell was told in a pass: by word the parent's customers and tables, by context tables (and customers, at the start)."""
+
+    def __init__(self, rows: list[dict], number: int):
+        own = sorted((r for r in rows if r["pass"] == number), key=lambda r: r["home"])
+        read = lambda side, k: np.concatenate([unpacked(r[k]) for r in own if r["home"] % 2 == side and r[k] is not None] or [np.empty(0, dtype=np.int64)])
+        self.customers, self.tables = read(1, "first"), read(1, "second")
+        self.context_tables, self.context_customers = read(0, "first"), read(0, "second")
+
+
+#: what a pass reads and writes of cells; kind 3: tables of the cell's dishes, 4: sums for homes
+STATE = "kind int, cell int, home int, pass int, first binary, second binary, chunk long"
+TABLES, SUMS = 3, 4
+
+
+def _passed(batches: Iterator[pa.RecordBatch], plan: Plan, given: Given, number: int) -> Iterator[pa.RecordBatch]:
+    """Rows stand by cell and kind: pairs, what homes told, the seating after the pass before. The cell's new seating and its sums by home."""
+    for cell, rows in common.grouped(batches, "cell"):
+        c, told = Cell(rows[0]), Told([r for r in rows if r["kind"] == TOLD], given.number)
+        word, context, count = c.word[c.many], c.context[c.many], c.count[c.many]
+        random = _random(cell, number, 0)
+        old = [r for r in rows if r["kind"] == TABLES]
+        seating = Seating(unpacked(old[0]["first"]), unpacked(old[0]["second"])) if old else Seating.started(count)
+        begun = seating.tables
+
+        def opens(dishes: np.ndarray, more: np.ndarray) -> np.ndarray:
+            """A dish's weight of a new table, with `more` tables of it than the pass began with."""
+            w, u = word[dishes], context[dishes]  # noqa: B023
+            return (STRENGTH + given.discounts[1] * (told.context_tables[u] + more)) * given.single(told.customers[w], told.tables[w], more)  # noqa: B023
+
+        if not old:
+            seating = seating.seated(opens, given.discounts[1], random)
+        for _ in range(SWEEPS):
+            seating = seating.swept(opens, given.discounts[1], random, begun)
+        tables = c.tables(seating.tables)
+        out = [(TABLES, cell, -1, number, packed(seating.tables), packed(seating.sizes), 0)]
+        names = [r for r in rows if r["kind"] == TOLD and r["pass"] == START]
+        for side, own in ((0, c.context), (1, c.word)):
+            homes = sorted((r["home"], len(unpacked(r["first"]))) for r in names if r["home"] % 2 == side)
+            sums = np.bincount(own, weights=tables, minlength=sum(n for _, n in homes)).astype(np.int64)
+            at = 0
+            for home, n in homes:
+                out.append((SUMS, cell, home, number, packed(sums[at : at + n]), None, 0))
+                at += n
+        yield _table(STATE, out)
+
+
+ANSWERS = "chunk long, cell int, pair binary"
+
+
+def _answers(batches: Iterator[pa.RecordBatch], samples: list[Given]) -> Iterator[pa.RecordBatch]:
+    """Rows stand by cell and kind, places of posts last: for each post its pairs' log10 P(w | u), averaged over samples."""
+    held: list[dict] = []
+    pair, now = None, None
+    for row in common.rows(batches):
+        if row["cell"] != now:
+            held, pair, now = [], None, row["cell"]
+        if row["kind"] < SUMS:
+            held.append(row)
+            continue
+        if pair is None:
+            c = Cell(held[0])
+            told = [r for r in held if r["kind"] == TOLD]
+            whole = Told(told, START).context_customers[c.context]
+            p = np.zeros(len(c.count))
+            for s in samples:
+                own = Told(told, s.number)
+                tables = c.tables(unpacked(next(r["first"] for r in held if r["kind"] == TABLES and r["pass"] == s.number)))
+                p += s.after(c.count, tables, whole, own.context_tables[c.context], s.single(own.customers, own.tables)[c.word])
+            pair, held = np.log10(p / len(samples)).astype("<f4"), []
+        yield _table(ANSWERS, [(row["chunk"], now, pair[_risen(row["first"])].tobytes())])
+
+
+# --- scores --------------------------------------------------------------------------
 
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
 
 
-def _scores(batches: Iterator[pa.RecordBatch], buckets: int, n: int, v: int) -> Iterator[pa.RecordBatch]:
-    """Rows stand by chunk, the chunk itself first (bucket -1), then the buckets' answers."""
+def _scores(batches: Iterator[pa.RecordBatch], plan: Plan, n: int, v: int) -> Iterator[pa.RecordBatch]:
+    """Rows stand by chunk: the chunk itself (kind 0), counts of its words by home (1), probabilities of its pairs by cell (2)."""
     for _, rows in common.grouped(batches, "chunk"):
-        chunk = Chunk(rows[0], buckets)
-        keys, which, _ = chunk.pairs()
-        word = keys // len(chunk.words)
-        order, pair_order = np.argsort(chunk.bucket, kind="stable"), np.argsort(chunk.bucket[word], kind="stable")
-        counts, pair = np.zeros(len(order), dtype=np.int64), np.zeros(len(keys))
-        counts[order] = np.concatenate([common.unpacked(r["seen"]) for r in rows[1:]])
-        pair[pair_order] = np.concatenate([np.frombuffer(r["pair"], dtype="<f4") for r in rows[1:]])
-        token = pair[which]
+        chunk = Chunk(rows[0])
+        word, context, which, _ = chunk.pairs()
+        counts = np.concatenate([unpacked(r["seen"]) for r in rows if r["kind"] == 1])
+        pair = np.empty(len(word), dtype="<f4")
+        pair[np.argsort(plan.cell(chunk.words, word, context), kind="stable")] = np.concatenate([np.frombuffer(r["pair"], dtype="<f4") for r in rows if r["kind"] == 2])
         begins = np.cumsum(chunk.counts) - chunk.counts
         total = lambda x: np.add.reduceat(x, begins)  # noqa: E731, B023
-        score = total(token)
+        score = total(pair.astype(np.float64)[which])
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(chunk.ids, pa.int64(), mask=chunk.nulls), pa.array(chunk.held), pa.array(chunk.counts), pa.array(total((counts > 0).astype(np.int64)[chunk.tokens])),
@@ -427,63 +444,59 @@ def scored(docs: DataFrame) -> DataFrame:
 def _scored(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     common.small_batches(spark)
-    parts, buckets = common.n_tasks(spark), 2 * common.n_buckets(spark)
+    parts = common.n_buckets(spark)
+    plan = Plan(parts)
+    together = lambda df, *keys: df.repartition(parts, keys[0]).sortWithinPartitions(*keys)
+    union = lambda tables: functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     chunks = common.staged(common.map_arrow(rows, _chunks, CHUNKS), "chunks")
-
-    dealt = common.map_arrow(chunks.select("words", "seen"), lambda b: _word_posts(b, buckets), "bucket int, words binary, seen binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
-    words = common.staged(common.map_arrow(dealt, _word_counts, "v long, n long, n1 long, n2 long"), "words")
-    v, n, n1, n2 = (int(x or 0) for x in words.agg(F.sum("v"), F.sum("n"), F.sum("n1"), F.sum("n2")).first())
-
-    posts = common.map_arrow(chunks, lambda b: _posts(b, buckets), POSTED).repartition(parts, "bucket").sortWithinPartitions("bucket", "chunk")
-    sums = _dealt(common.map_arrow(posts, _summed, SUMMED), parts)
-    m1, m2 = (int(x or 0) for x in sums.agg(F.sum("n1"), F.sum("n2")).first())
-    table = sums.select("bucket", "words", "counts", "contexts", "pairs", "pair_count")
-
-    # restaurants by home: as many homes as tasks
-    asks = common.map_arrow(table, lambda b: _asks(b, parts), TELLS + ", contexts binary")
-    dealt = asks.select("home", "bucket", "contexts").repartition(parts, "home").sortWithinPartitions("home", "bucket")
-    homes = common.staged(common.map_arrow(dealt, _homes, TELLS + ", sizes binary"), "homes")
-
-    def told(posted: DataFrame) -> DataFrame:
-        both = homes.unionByName(posted.select("home", "bucket", "sweep", "values"), allowMissingColumns=True)
-        return common.staged(common.map_arrow(both.repartition(parts, "home").sortWithinPartitions("home", "bucket"), _tells, TELLS), "told")
-
-    def with_told(buckets: DataFrame, tables: list[DataFrame]) -> DataFrame:
-        """Each bucket with what it was told, which comes to where the bucket was written."""
-        every = functools.reduce(DataFrame.unionByName, tables).repartition(parts, "bucket")
-        return buckets.join(every.groupBy("bucket").agg(F.collect_list(F.struct("home", "sweep", "values")).alias("told")).hint("merge"), "bucket")
-
-    def swept(given: Totals, tables: list[DataFrame], numbers: list[int]) -> tuple[list[Totals], DataFrame]:
-        new = common.staged(common.map_arrow(with_told(table, tables), lambda b: _sweeps(b, parts, given, numbers), TELLS + ", customers double, parent double"), "tables")
-        # a row for each sweep
-        totals = {r.sweep: r for r in new.groupBy("sweep").agg(F.sum("customers").alias("customers"), F.sum("parent").alias("parent")).collect()}
-        zero = Row(customers=0.0, parent=0.0)
-        return [Totals(v, given.discounts, totals.get(k, zero).customers, totals.get(k, zero).parent, k) for k in numbers], told(new)
-
-    given, tables = Totals(v, (_discount(n1, n2), _discount(m1, m2)), 0.6 * n, float(v)), [told(asks)]
-    for k in range(BURN_IN):
-        (given,), new = swept(given, tables, [k])
-        tables = [tables[0], new]
-    samples, new = swept(given, tables, list(range(BURN_IN, BURN_IN + SAMPLES)))
-
-    answers = common.staged(common.map_arrow(with_told(sums, [*tables, new]), lambda b: _answers(b, parts, given, samples), "chunk long, bucket int, seen binary, pair binary"), "answers")
-    common.drop_path(spark, sums._lanewise_path)
-    both = chunks.withColumn("bucket", F.lit(-1)).withColumnRenamed("seen", "own").unionByName(answers, allowMissingColumns=True)
-    both = both.withColumn("seen", F.coalesce("seen", "own")).drop("own").repartition(parts, "chunk").sortWithinPartitions("chunk", "bucket")
-    return common.map_arrow(both, lambda b: _scores(b, buckets, n, v), RESULT)
-
-
-def _dealt(df: DataFrame, parts: int) -> DataFrame:
-    """staged(), with rows by bucket kept in as many files, so that a join by bucket leaves them where they are."""
-    spark, label = df.sparkSession, f"restaurants_{uuid.uuid4().hex}"
-    path = common.new_path(spark, "restaurants")
-    df.write.bucketBy(parts, "bucket").option("path", path).option("compression", "zstd").format("parquet").saveAsTable(label)
-    common._scratch[-1].append(path)
-    out = spark.table(label)
-    out._lanewise_path = path
-    spark._jvm.System.gc()
-    return out
+    posts = common.map_arrow(chunks.select("chunk", "words", "seen"), lambda b: _word_posts(b, plan), WORD_POSTS)
+    words = common.staged(common.map_arrow(together(posts, "home", "chunk"), _word_counts, WORD_COUNTS), "words")
+    v, n = (int(x or 0) for x in words.agg(F.sum("v"), F.sum("n")).first())
+
+    posts = common.map_arrow(chunks.drop("seen"), lambda b: _pair_posts(b, plan), PAIR_POSTS)
+    cells = common.staged(common.map_arrow(together(posts, "cell", "chunk"), _summed, CELLS), "cells", by="kind")
+    pairs = cells.where(F.col("kind") == PAIRS).select("kind", "cell", "chunk", "first", "second")
+    n1, n2 = (int(x or 0) for x in cells.where(F.col("kind") == PAIRS).agg(F.sum("n1"), F.sum("n2")).first())
+
+    # the parent begins with a customer for each pair
+    both = together(cells.where(F.col("kind") <= NAMES), "cell", "kind")
+    asks = common.staged(common.map_arrow(both, lambda b: _asks(b, plan), ASKS), "asks")
+    discounts = (_discount(n1, n2),) * 2
+    given = Given(v, discounts, 0.0, float(v))
+    homes = common.staged(common.map_arrow(together(asks, "home", "cell"), lambda b: _homes(b, given), HOMES), "homes", by="kind")
+    base, told, seated = ([homes.where(F.col("kind") == k).drop("customers", "tables")] for k in (BASE, TOLD, SEATED))
+    states: list[DataFrame] = []
+
+    def totals(df: DataFrame, number: int) -> Given:
+        sums = df.where(F.col("kind") == SEATED).agg(F.sum("customers"), F.sum("tables")).first()
+        return Given(v, discounts, float(sums[0] or 0), float(sums[1] or 0), number)
+
+    given, samples = totals(homes, START), []
+    for k in range(BURN_IN + SAMPLES):
+        news = told if given.number == START else [told[0], told[-1]]
+        rows = together(union([pairs, *news, *states[-1:]]), "cell", "kind", "pass", "home")
+        new = common.staged(common.map_arrow(rows.select("kind", "cell", "home", "pass", "first", "second", "chunk"), lambda b, g=given, k=k: _passed(b, plan, g, k), STATE), "pass", by="kind")
+        states.append(new.where(F.col("kind") == TABLES))
+        sums = new.where(F.col("kind") == SUMS).withColumn("kind", F.lit(TOLD)).drop("chunk")
+        rows = together(union([*base, seated[-1], sums]), "home", "kind", "cell").select("kind", "home", "cell", "pass", "first", "second")
+        new = common.staged(common.map_arrow(rows, lambda b, g=given, k=k: _rehomed(b, g, k), HOMES), "homes", by="kind")
+        told.append(new.where(F.col("kind") == TOLD).drop("customers", "tables"))
+        seated.append(new.where(F.col("kind") == SEATED).drop("customers", "tables"))
+        given = totals(new, k)
+        if k >= BURN_IN:
+            samples.append(given)
+
+    places = cells.where(F.col("kind") == PLACES).select(F.lit(SUMS).alias("kind"), "cell", "chunk", "first")
+    rows = together(union([pairs, told[0], *told[-SAMPLES:], *states[-SAMPLES:], places]), "cell", "kind", "pass", "home", "chunk")
+    rows = rows.select("kind", "cell", "home", "pass", "first", "second", "chunk")
+    answers = common.staged(common.map_arrow(rows, lambda b: _answers(b, samples), ANSWERS), "answers")
+    common.unstage(cells)
+    kind = lambda df, k: df.withColumn("kind", F.lit(k))
+    both = union([kind(chunks.drop("seen"), 0), kind(words.select("chunk", "home", "seen"), 1), kind(answers, 2)])
+    both = together(both, "chunk", "kind", "home", "cell")
+    return common.map_arrow(both, lambda b: _scores(b, plan, n, v), RESULT)
 
 
 def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
