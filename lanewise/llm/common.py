@@ -11,7 +11,6 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
-import gc
 import hashlib
 import re
 import shutil
@@ -130,7 +129,6 @@ def map_arrow(df: DataFrame, f, schema) -> DataFrame:
 
 
 def release_memory() -> None:
-    gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)

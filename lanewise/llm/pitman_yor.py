@@ -46,7 +46,7 @@ from . import common
 from .common import U64, mix, packed, unpacked
 from .seating import Seating
 
-BURN_IN, SAMPLES, SWEEPS = 2, 2, 2
+BURN_IN, SAMPLES, SWEEPS = 1, 2, 1
 STRENGTH = 1.0
 CHUNK_BYTES = 8 << 20
 FOLDS, HELD_OUT = 7, 2
@@ -76,11 +76,12 @@ def _risen(x: bytes) -> np.ndarray:
 
 # --- chunks --------------------------------------------------------------------------
 
-CHUNKS = "chunk long, ids binary, nulls binary, held binary, counts binary, tokens binary, words binary, seen binary"
+CHUNKS = "chunk long, ids binary, nulls binary, held binary, counts binary, words binary, seen binary, pair_word binary, pair_context binary, pair_seen binary, pairs binary"
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each CHUNK_BYTES of texts: documents, tokens by number, the words' hashes (ordered) and how often each is in training texts."""
+    """A row for each CHUNK_BYTES of texts: documents, the words' hashes (ordered), distinct pairs in order of word and word before,
+    how often words and pairs are in training texts, and the number of each token's pair."""
     base, made = TaskContext.get().partitionId() << 32, 0
     held: list[tuple] = []
     size = 0
@@ -94,9 +95,18 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = counts + 1
         out = np.array([is_held_out(x) for x in ids], dtype=bool)
         words, tokens = np.unique(hashes, return_inverse=True)
-        seen = np.bincount(tokens[np.repeat(~out, counts)], minlength=len(words))
+        before = np.empty(len(tokens), dtype=np.int64)
+        before[1:] = tokens[:-1]
+        before[np.cumsum(counts) - counts] = np.searchsorted(words, U64(END))
+        keys, pairs = np.unique(tokens * len(words) + before, return_inverse=True)
+        word, context = np.divmod(keys, len(words))
+        trained = np.repeat(~out, counts)
+        seen = np.bincount(pairs[trained], minlength=len(keys))
         made += 1
-        return _table(CHUNKS, [(base + made - 1, np.array([x or 0 for x in ids], dtype=np.int64).tobytes(), np.array([x is None for x in ids]).tobytes(), out.tobytes(), packed(counts), tokens.astype("<u4").tobytes(), words.tobytes(), packed(seen))])
+        return _table(CHUNKS, [(
+            base + made - 1, np.array([x or 0 for x in ids], dtype=np.int64).tobytes(), np.array([x is None for x in ids]).tobytes(), out.tobytes(), packed(counts),
+            words.tobytes(), packed(np.bincount(word, weights=seen, minlength=len(words))), _rising(word), context.astype("<u4").tobytes(), packed(seen), pairs.astype("<u4").tobytes(),
+        )])
 
     for batch in batches:
         for ids, data, offsets in common.text_blocks(batch.column(0).to_pylist(), batch.column(1)):
@@ -110,29 +120,11 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-class Chunk:
-    def __init__(self, row: dict):
-        self.id = row["chunk"]
-        read = lambda name, kind: np.frombuffer(row[name], dtype=kind)
-        self.ids, self.nulls, self.held = read("ids", np.int64), read("nulls", bool), read("held", bool)
-        self.counts, self.tokens, self.words = unpacked(row["counts"]), read("tokens", "<u4").astype(np.int64), read("words", U64)
-
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct pairs in order of word and word before, the number that each token's pair has, and the pairs' training counts."""
-        end = int(np.searchsorted(self.words, U64(END)))
-        before = np.empty(len(self.tokens), dtype=np.int64)
-        before[1:] = self.tokens[:-1]
-        before[np.cumsum(self.counts) - self.counts] = end
-        keys, which = np.unique(self.tokens * len(self.words) + before, return_inverse=True)
-        word, context = np.divmod(keys, len(self.words))
-        return word, context, which, np.bincount(which[np.repeat(~self.held, self.counts)], minlength=len(keys))
-
-
 class Plan:
     """Where words and pairs belong: `homes` of words, a grid of `cells` for pairs. Homes are ranges of hashes."""
 
     def __init__(self, parts: int):
-        self.homes, self.rows = parts, max(1, math.isqrt(2 * parts))
+        self.homes, self.rows = -(-parts // 4), max(1, math.isqrt(2 * parts))
         self.columns = max(1, 2 * parts // self.rows)
         self.cells = self.rows * self.columns
 
@@ -141,7 +133,7 @@ class Plan:
         return np.searchsorted(words, np.array([-(-(h << 64) // self.homes) for h in range(self.homes)], dtype=U64)).tolist() + [len(words)]
 
     def cell(self, words: np.ndarray, word: np.ndarray, context: np.ndarray) -> np.ndarray:
-        row, column = ((mix(words + U64(salt)) % U64(n)).astype(np.int32) for salt, n in ((0x43, self.rows), (0x42, self.columns)))
+        row, column = ((mix(words + U64(salt)) % U64(n)).astype(np.uint16 if self.cells < 1 << 16 else np.int32) for salt, n in ((0x43, self.rows), (0x42, self.columns)))
         return row[context] * self.columns + column[word]
 
 
@@ -171,27 +163,39 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # --- cells ---------------------------------------------------------------------------
 
 PAIR_POSTS = "cell int, chunk long, words binary, contexts binary, pair_word binary, pair_context binary, pair_count binary"
-#: kind 0: a cell's pairs and counts, and (chunk) how many words stand before one; 1: its words and contexts; 2: where the pairs of a chunk's post are among the cell's
-CELLS = "kind int, cell int, chunk long, first binary, second binary, n1 long, n2 long"
-PAIRS, NAMES, PLACES = 0, 1, 2
+#: kind 0: a cell's pairs and counts, and (chunk) how many words stand before one; 1: those of them that occur more than once;
+#: 2: sums for the homes of its words; 3: where the pairs of a chunk's post are among the cell's
+CELLS = "kind int, cell int, home int, chunk long, first binary, second binary, names binary, n1 long, n2 long"
+PAIRS, MANY, ASKS, PLACES = 0, 1, 2, 3
 
 
 def _pair_posts(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBatch]:
     """What a chunk posts to a cell: the words and the words before of its pairs, pairs as numbers in those lists, training counts."""
+
+    def numbered(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        flag[own] = True
+        names = np.flatnonzero(flag)
+        flag[names] = False
+        number[names] = np.arange(len(names))
+        return names, number[own]
+
     for row in common.rows(batches):
-        chunk = Chunk(row)
-        word, context, _, counts = chunk.pairs()
-        cell = plan.cell(chunk.words, word, context)
+        words, word, context, counts = np.frombuffer(row["words"], dtype=U64), _risen(row["pair_word"]), np.frombuffer(row["pair_context"], dtype="<u4"), unpacked(row["pair_seen"])
+        flag, number = np.zeros(len(words), dtype=bool), np.empty(len(words), dtype=np.int64)
+        cell = plan.cell(words, word, context)
         order = np.argsort(cell, kind="stable")
         cuts = np.searchsorted(cell[order], np.arange(plan.cells + 1))
+        out = []
         for c in np.flatnonzero(np.diff(cuts)).tolist():
             own = order[cuts[c] : cuts[c + 1]]
-            words, w = np.unique(word[own], return_inverse=True)
-            contexts, u = np.unique(context[own], return_inverse=True)
-            yield _table(PAIR_POSTS, [(c, chunk.id, chunk.words[words].tobytes(), chunk.words[contexts].tobytes(), _rising(w), packed(u), packed(counts[own]))])
+            names, w = numbered(word[own])
+            contexts, u = numbered(context[own])
+            out.append((c, row["chunk"], words[names].tobytes(), words[contexts].tobytes(), _rising(w), packed(u), packed(counts[own])))
+        yield _table(PAIR_POSTS, out)
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _summed(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBatch]:
+    """A cell's pairs, and its sums with every dish at one table: by context tables and customers, by word tables."""
     for cell, rows in common.grouped(batches, "cell"):
         names, numbers = [], []
         for name, pair in (("words", "pair_word"), ("contexts", "pair_context")):
@@ -201,60 +205,39 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             read = _risen if name == "words" else unpacked
             numbers.append(np.concatenate([at[read(r[pair]) + a] for r, a in zip(rows, starts.tolist(), strict=False)]))
             names.append(own)
-        keys, at = np.unique(numbers[0] * len(names[1]) + numbers[1], return_inverse=True)
+        width = len(names[1])
+        keys, at = np.unique(numbers[0] * width + numbers[1], return_inverse=True)
         each = [unpacked(r["pair_count"]) for r in rows]
         counts = np.bincount(at, weights=np.concatenate(each), minlength=len(keys)).astype(np.int64)
-        yield _table(CELLS, [(PAIRS, cell, len(names[1]), _rising(keys), packed(counts), int((counts == 1).sum()), int((counts == 2).sum())), (NAMES, cell, 0, names[0].tobytes(), names[1].tobytes(), 0, 0)])
-        end = 0
-        for r, x in zip(rows, each, strict=True):
-            yield _table(CELLS, [(PLACES, cell, r["chunk"], _rising(at[end : end + len(x)]), None, 0, 0)])
-            end += len(x)
+        many, (word, context) = counts > 1, np.divmod(keys, max(width, 1))
+        out = [(PAIRS, cell, -1, width, _rising(keys), packed(counts), None, int((counts == 1).sum()), int((counts == 2).sum())), (MANY, cell, -1, width, _rising(keys[many]), packed(counts[many]), None, 0, 0)]
+        sums = lambda which, n, x: np.bincount(which, weights=x, minlength=n).astype(np.int64)
+        tables, customers, dishes = sums(context, width, counts > 0), sums(context, width, counts), sums(word, len(names[0]), counts > 0)
+        for side, own, first, second in ((0, names[1], tables, customers), (1, names[0], dishes, None)):
+            cuts = plan.cuts(own)
+            out += [(ASKS, cell, 2 * h + side, -1, packed(first[a:b]), None if second is None else packed(second[a:b]), own[a:b].tobytes(), 0, 0) for h, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b]
+        ends = np.cumsum([len(x) for x in each]).tolist()
+        out += [(PLACES, cell, -1, r["chunk"], _rising(at[e - len(x) : e]), None, None, 0, 0) for r, x, e in zip(rows, each, ends, strict=True)]
+        yield _table(CELLS, out)
 
 
 class Cell:
-    """A cell's pairs: numbers of word and word before, training counts; `many` are those with a seating to sample, as a single customer sits alone."""
+    """Pairs of a cell: numbers of word and word before, training counts."""
 
     def __init__(self, row: dict):
         self.word, self.context = np.divmod(_risen(row["first"]), max(row["chunk"], 1))
         self.count = unpacked(row["second"])
-        self.many = np.flatnonzero(self.count > 1)
-
-    def tables(self, many: np.ndarray) -> np.ndarray:
-        out = np.minimum(self.count, 1)
-        out[self.many] = many
-        return out
 
 
 # --- homes ---------------------------------------------------------------------------
 
 #: Homes of words as contexts have even numbers, as dishes odd ones.
-ASKS = "home int, cell int, pass int, first binary, second binary, names binary"
+#: kind 0: places of each asking cell's words; 1: sums with every dish at one table; 2: the parent's seating; 3: what a cell is told, or posts
 HOMES = "kind int, home int, cell int, pass int, first binary, second binary, customers double, tables double"
-#: kind 0: places of each asking cell's words; 1: the parent's seating; 2: what a cell is told
-BASE, SEATED, TOLD = 0, 1, 2
+BASE, SUMS, SEATED, TOLD = 0, 1, 2, 3
 START = -1
 
 
-def _told_rows(cell: int, contexts: np.ndarray, words: np.ndarray, c: Cell, tables: np.ndarray, customers: np.ndarray | None, cuts: tuple[list, list], number: int) -> Iterator[tuple]:
-    """Sums of a cell for the homes of its contexts (tables, and customers if given) and words (tables)."""
-    sums = lambda which, n, x: np.bincount(which, weights=x, minlength=n).astype(np.int64)
-    for side, names, own in ((0, contexts, c.context), (1, words, c.word)):
-        first = sums(own, len(names), tables)
-        second = sums(own, len(names), customers) if customers is not None and not side else None
-        for h, (a, b) in enumerate(zip(cuts[side], cuts[side][1:], strict=False)):
-            if a < b:
-                yield 2 * h + side, cell, number, packed(first[a:b]), None if second is None else packed(second[a:b]), names[a:b].tobytes()
-
-
-def _asks(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBatch]:
-    """Rows stand by cell, pairs first: with every dish at one table, each home's sums."""
-    for cell, rows in common.grouped(batches, "cell"):
-        c = Cell(rows[0])
-        words, contexts = (np.frombuffer(rows[1][k], dtype=U64) for k in ("first", "second"))
-        found = list(_told_rows(cell, contexts, words, c, np.minimum(c.count, 1), c.count, (plan.cuts(contexts), plan.cuts(words)), START))
-        yield _table(ASKS, found)
-
-
 def _homes(batches: Iterator[pa.RecordBatch], given: Given) -> Iterator[pa.RecordBatch]:
     """Sums over all asking cells; dishes of the parent are seated for the first time."""
     for home, rows in common.grouped(batches, "home"):
@@ -263,6 +246,7 @@ def _homes(batches: Iterator[pa.RecordBatch], given: Given) -> Iterator[pa.Recor
         places = np.split(at, np.cumsum([len(x) for x in names])[:-1])
         first = _total(places, [r["first"] for r in rows])
         out = [(BASE, home, r["cell"], START, _rising(x), None, 0.0, 0.0) for r, x in zip(rows, places, strict=True)]
+        out.append((SUMS, home, -1, START, packed(first), None, 0.0, 0.0))
         if home % 2:
             seating = Seating.started(first).seated(given.opens, given.discounts[0], _random(home, START, 1))
             yield _table(HOMES, out + _kept(home, START, seating) + _tell(home, START, rows, places, first, seating.tables))
@@ -283,15 +267,16 @@ def _tell(home: int, number: int, rows: list[dict], places: list[np.ndarray], fi
 
 
 def _kept(home: int, number: int, seating: Seating) -> list[tuple]:
-    return [(SEATED, home, -1, number, packed(seating.tables), packed(seating.sizes), float(seating.customers.sum()), float(seating.tables[seating.customers > 0].sum()))]
+    customers = seating.customers
+    return [(SEATED, home, -1, number, packed(seating.tables), packed(seating.sizes), float(customers.sum()), float(seating.tables[customers > 0].sum()))]
 
 
 def _rehomed(batches: Iterator[pa.RecordBatch], given: Given, number: int) -> Iterator[pa.RecordBatch]:
-    """Rows stand by home and kind, then by cell: places, the parent's seating if any, and (kind 2) what cells have posted."""
+    """Rows stand by home and kind, then by cell. Cells post how many tables more than one their dishes have."""
     for home, rows in common.grouped(batches, "home"):
         base, posts = [r for r in rows if r["kind"] == BASE], [r for r in rows if r["kind"] == TOLD]
         places = [_risen(r["first"]) for r in base]
-        first = _total(places, [r["first"] for r in posts])
+        first = unpacked(next(r["first"] for r in rows if r["kind"] == SUMS)) + _total(places, [r["first"] for r in posts])
         if home % 2:
             old = next(r for r in rows if r["kind"] == SEATED)
             random = _random(home, number, 1)
@@ -343,40 +328,37 @@ class Told:
         self.context_tables, self.context_customers = read(0, "first"), read(0, "second")
 
 
-#: what a pass reads and writes of cells; kind 3: tables of the cell's dishes, 4: sums for homes
+#: what a pass reads and writes of cells; kind 4: tables of the cell's dishes of several customers, 5: what it posts to homes
 STATE = "kind int, cell int, home int, pass int, first binary, second binary, chunk long"
-TABLES, SUMS = 3, 4
+TABLES, POSTS = 4, 5
 
 
-def _passed(batches: Iterator[pa.RecordBatch], plan: Plan, given: Given, number: int) -> Iterator[pa.RecordBatch]:
-    """Rows stand by cell and kind: pairs, what homes told, the seating after the pass before. The cell's new seating and its sums by home."""
+def _passed(batches: Iterator[pa.RecordBatch], given: Given, number: int) -> Iterator[pa.RecordBatch]:
+    """Rows stand by cell and kind: pairs, what homes told, the seating after the pass before. The cell's new seating and its posts to homes.
+    A single customer of a dish sits alone, so only dishes of several are seated."""
     for cell, rows in common.grouped(batches, "cell"):
         c, told = Cell(rows[0]), Told([r for r in rows if r["kind"] == TOLD], given.number)
-        word, context, count = c.word[c.many], c.context[c.many], c.count[c.many]
         random = _random(cell, number, 0)
         old = [r for r in rows if r["kind"] == TABLES]
-        seating = Seating(unpacked(old[0]["first"]), unpacked(old[0]["second"])) if old else Seating.started(count)
+        seating = Seating(unpacked(old[0]["first"]), unpacked(old[0]["second"])) if old else Seating.started(c.count)
         begun = seating.tables
 
         def opens(dishes: np.ndarray, more: np.ndarray) -> np.ndarray:
             """A dish's weight of a new table, with `more` tables of it than the pass began with."""
-            w, u = word[dishes], context[dishes]  # noqa: B023
+            w, u = c.word[dishes], c.context[dishes]  # noqa: B023
             return (STRENGTH + given.discounts[1] * (told.context_tables[u] + more)) * given.single(told.customers[w], told.tables[w], more)  # noqa: B023
 
         if not old:
             seating = seating.seated(opens, given.discounts[1], random)
         for _ in range(SWEEPS):
             seating = seating.swept(opens, given.discounts[1], random, begun)
-        tables = c.tables(seating.tables)
         out = [(TABLES, cell, -1, number, packed(seating.tables), packed(seating.sizes), 0)]
         names = [r for r in rows if r["kind"] == TOLD and r["pass"] == START]
         for side, own in ((0, c.context), (1, c.word)):
             homes = sorted((r["home"], len(unpacked(r["first"]))) for r in names if r["home"] % 2 == side)
-            sums = np.bincount(own, weights=tables, minlength=sum(n for _, n in homes)).astype(np.int64)
-            at = 0
-            for home, n in homes:
-                out.append((SUMS, cell, home, number, packed(sums[at : at + n]), None, 0))
-                at += n
+            more = np.bincount(own, weights=seating.tables - 1, minlength=sum(n for _, n in homes)).astype(np.int64)
+            ends = np.cumsum([n for _, n in homes]).tolist()
+            out += [(POSTS, cell, home, number, packed(more[e - n : e]), None, 0) for (home, n), e in zip(homes, ends, strict=True)]
         yield _table(STATE, out)
 
 
@@ -385,25 +367,17 @@ ANSWERS = "chunk long, cell int, pair binary"
 
 def _answers(batches: Iterator[pa.RecordBatch], samples: list[Given]) -> Iterator[pa.RecordBatch]:
     """Rows stand by cell and kind, places of posts last: for each post its pairs' log10 P(w | u), averaged over samples."""
-    held: list[dict] = []
-    pair, now = None, None
-    for row in common.rows(batches):
-        if row["cell"] != now:
-            held, pair, now = [], None, row["cell"]
-        if row["kind"] < SUMS:
-            held.append(row)
-            continue
-        if pair is None:
-            c = Cell(held[0])
-            told = [r for r in held if r["kind"] == TOLD]
-            whole = Told(told, START).context_customers[c.context]
-            p = np.zeros(len(c.count))
-            for s in samples:
-                own = Told(told, s.number)
-                tables = c.tables(unpacked(next(r["first"] for r in held if r["kind"] == TABLES and r["pass"] == s.number)))
-                p += s.after(c.count, tables, whole, own.context_tables[c.context], s.single(own.customers, own.tables)[c.word])
-            pair, held = np.log10(p / len(samples)).astype("<f4"), []
-        yield _table(ANSWERS, [(row["chunk"], now, pair[_risen(row["first"])].tobytes())])
+    for cell, rows in common.grouped(batches, "cell"):
+        c, told = Cell(rows[0]), [r for r in rows if r["kind"] == TOLD]
+        whole = Told(told, START).context_customers[c.context]
+        p, many = np.zeros(len(c.count)), c.count > 1
+        for s in samples:
+            own = Told(told, s.number)
+            tables = np.minimum(c.count, 1)
+            tables[many] = unpacked(next(r["first"] for r in rows if r["kind"] == TABLES and r["pass"] == s.number))
+            p += s.after(c.count, tables, whole, own.context_tables[c.context], s.single(own.customers, own.tables)[c.word])
+        pair = np.log10(p / len(samples)).astype("<f4")
+        yield _table(ANSWERS, [(r["chunk"], cell, pair[_risen(r["first"])].tobytes()) for r in rows if r["kind"] == POSTS])
 
 
 # --- scores --------------------------------------------------------------------------
@@ -414,18 +388,20 @@ RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 def _scores(batches: Iterator[pa.RecordBatch], plan: Plan, n: int, v: int) -> Iterator[pa.RecordBatch]:
     """Rows stand by chunk: the chunk itself (kind 0), counts of its words by home (1), probabilities of its pairs by cell (2)."""
     for _, rows in common.grouped(batches, "chunk"):
-        chunk = Chunk(rows[0])
-        word, context, which, _ = chunk.pairs()
+        own = rows[0]
+        read = lambda name, kind: np.frombuffer(own[name], dtype=kind)  # noqa: E731, B023
+        words, word, context, pairs = read("words", U64), _risen(own["pair_word"]), read("pair_context", "<u4"), read("pairs", "<u4")
         counts = np.concatenate([unpacked(r["seen"]) for r in rows if r["kind"] == 1])
-        pair = np.empty(len(word), dtype="<f4")
-        pair[np.argsort(plan.cell(chunk.words, word, context), kind="stable")] = np.concatenate([np.frombuffer(r["pair"], dtype="<f4") for r in rows if r["kind"] == 2])
-        begins = np.cumsum(chunk.counts) - chunk.counts
-        total = lambda x: np.add.reduceat(x, begins)  # noqa: E731, B023
-        score = total(pair.astype(np.float64)[which])
+        pair = np.empty(len(word))
+        pair[np.argsort(plan.cell(words, word, context), kind="stable")] = np.concatenate([np.frombuffer(r["pair"], dtype="<f4") for r in rows if r["kind"] == 2])
+        size = unpacked(own["counts"])
+        begins = np.cumsum(size) - size
+        total = lambda by_word: np.add.reduceat(by_word[word][pairs], begins)  # noqa: E731, B023
+        score = np.add.reduceat(pair[pairs], begins)
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(chunk.ids, pa.int64(), mask=chunk.nulls), pa.array(chunk.held), pa.array(chunk.counts), pa.array(total((counts > 0).astype(np.int64)[chunk.tokens])),
-                pa.array(np.full(len(begins), n)), pa.array(total(np.log10((counts + 1) / (n + v + 1))[chunk.tokens])), pa.array(score), pa.array(10.0 ** np.minimum(-score / chunk.counts, 300)),
+                pa.array(read("ids", np.int64), pa.int64(), mask=read("nulls", bool)), pa.array(read("held", bool)), pa.array(size), pa.array(total((counts > 0).astype(np.int64))),
+                pa.array(np.full(len(begins), n)), pa.array(total(np.log10((counts + 1) / (n + v + 1)))), pa.array(score), pa.array(10.0 ** np.minimum(-score / size, 300)),
             ],
             names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"],
         )
@@ -455,48 +431,45 @@ def _scored(docs: DataFrame) -> DataFrame:
     words = common.staged(common.map_arrow(together(posts, "home", "chunk"), _word_counts, WORD_COUNTS), "words")
     v, n = (int(x or 0) for x in words.agg(F.sum("v"), F.sum("n")).first())
 
-    posts = common.map_arrow(chunks.drop("seen"), lambda b: _pair_posts(b, plan), PAIR_POSTS)
-    cells = common.staged(common.map_arrow(together(posts, "cell", "chunk"), _summed, CELLS), "cells", by="kind")
-    pairs = cells.where(F.col("kind") == PAIRS).select("kind", "cell", "chunk", "first", "second")
+    posts = common.map_arrow(chunks.select("chunk", "words", "pair_word", "pair_context", "pair_seen"), lambda b: _pair_posts(b, plan), PAIR_POSTS)
+    cells = common.staged(common.map_arrow(together(posts, "cell", "chunk"), lambda b: _summed(b, plan), CELLS), "cells", by="kind")
+    of_kind = lambda df, k, *names: df.where(F.col("kind") == k).select("kind", *names)
     n1, n2 = (int(x or 0) for x in cells.where(F.col("kind") == PAIRS).agg(F.sum("n1"), F.sum("n2")).first())
 
     # the parent begins with a customer for each pair
-    both = together(cells.where(F.col("kind") <= NAMES), "cell", "kind")
-    asks = common.staged(common.map_arrow(both, lambda b: _asks(b, plan), ASKS), "asks")
     discounts = (_discount(n1, n2),) * 2
     given = Given(v, discounts, 0.0, float(v))
-    homes = common.staged(common.map_arrow(together(asks, "home", "cell"), lambda b: _homes(b, given), HOMES), "homes", by="kind")
-    base, told, seated = ([homes.where(F.col("kind") == k).drop("customers", "tables")] for k in (BASE, TOLD, SEATED))
+    asks = of_kind(cells, ASKS, "home", "cell", "first", "second", "names")
+    new = common.staged(common.map_arrow(together(asks, "home", "cell"), lambda b, g=given: _homes(b, g), HOMES), "homes", by="kind")
+    columns = ["home", "cell", "pass", "first", "second"]
+    base = [of_kind(new, BASE, *columns), of_kind(new, SUMS, *columns)]
     states: list[DataFrame] = []
 
     def totals(df: DataFrame, number: int) -> Given:
         sums = df.where(F.col("kind") == SEATED).agg(F.sum("customers"), F.sum("tables")).first()
         return Given(v, discounts, float(sums[0] or 0), float(sums[1] or 0), number)
 
-    given, samples = totals(homes, START), []
+    given, told, samples = totals(new, START), [of_kind(new, TOLD, *columns)], []
     for k in range(BURN_IN + SAMPLES):
-        news = told if given.number == START else [told[0], told[-1]]
-        rows = together(union([pairs, *news, *states[-1:]]), "cell", "kind", "pass", "home")
-        new = common.staged(common.map_arrow(rows.select("kind", "cell", "home", "pass", "first", "second", "chunk"), lambda b, g=given, k=k: _passed(b, plan, g, k), STATE), "pass", by="kind")
-        states.append(new.where(F.col("kind") == TABLES))
-        sums = new.where(F.col("kind") == SUMS).withColumn("kind", F.lit(TOLD)).drop("chunk")
-        rows = together(union([*base, seated[-1], sums]), "home", "kind", "cell").select("kind", "home", "cell", "pass", "first", "second")
+        rows = union([of_kind(cells, MANY, "cell", "chunk", "first", "second"), *told[:1], *told[1:][-1:], *states[-1:]])
+        rows = together(rows, "cell", "kind", "pass", "home").select("kind", "cell", "home", "pass", "first", "second", "chunk")
+        state = common.staged(common.map_arrow(rows, lambda b, g=given, k=k: _passed(b, g, k), STATE), "pass", by="kind")
+        states.append(of_kind(state, TABLES, *columns))
+        posts = of_kind(state, POSTS, *columns).withColumn("kind", F.lit(TOLD))
+        rows = together(union([*base, of_kind(new, SEATED, *columns), posts]), "home", "kind", "cell")
         new = common.staged(common.map_arrow(rows, lambda b, g=given, k=k: _rehomed(b, g, k), HOMES), "homes", by="kind")
-        told.append(new.where(F.col("kind") == TOLD).drop("customers", "tables"))
-        seated.append(new.where(F.col("kind") == SEATED).drop("customers", "tables"))
+        told.append(of_kind(new, TOLD, *columns))
         given = totals(new, k)
-        if k >= BURN_IN:
-            samples.append(given)
+        samples += [given] * (k >= BURN_IN)
 
-    places = cells.where(F.col("kind") == PLACES).select(F.lit(SUMS).alias("kind"), "cell", "chunk", "first")
-    rows = together(union([pairs, told[0], *told[-SAMPLES:], *states[-SAMPLES:], places]), "cell", "kind", "pass", "home", "chunk")
-    rows = rows.select("kind", "cell", "home", "pass", "first", "second", "chunk")
+    places = of_kind(cells, PLACES, "cell", "chunk", "first").withColumn("kind", F.lit(POSTS))
+    rows = union([of_kind(cells, PAIRS, "cell", "chunk", "first", "second"), told[0], *told[-SAMPLES:], *states[-SAMPLES:], places])
+    rows = together(rows, "cell", "kind", "pass", "home", "chunk").select("kind", "cell", "home", "pass", "first", "second", "chunk")
     answers = common.staged(common.map_arrow(rows, lambda b: _answers(b, samples), ANSWERS), "answers")
     common.unstage(cells)
     kind = lambda df, k: df.withColumn("kind", F.lit(k))
-    both = union([kind(chunks.drop("seen"), 0), kind(words.select("chunk", "home", "seen"), 1), kind(answers, 2)])
-    both = together(both, "chunk", "kind", "home", "cell")
-    return common.map_arrow(both, lambda b: _scores(b, plan, n, v), RESULT)
+    both = union([kind(chunks.drop("seen", "pair_seen"), 0), kind(words.select("chunk", "home", "seen"), 1), kind(answers, 2)])
+    return common.map_arrow(together(both, "chunk", "kind", "home", "cell"), lambda b: _scores(b, plan, n, v), RESULT)
 
 
 def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

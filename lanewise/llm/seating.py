@@ -1,12 +1,13 @@
 """Seatings of Chinese restaurants, many dishes at once.
 
 A dish's customers sit at tables.  One who enters opens a table with weight `opens` and joins one
-of n customers with weight n - discount.  A sweep takes ROUNDS rounds; in each a share of a dish's
-customers, drawn at random, leaves and is seated again, so that about all have moved once by the
-end.  The share is one customer for dishes of up to ROUNDS, which is the Gibbs sampler proper; of
-more customers ROUNDS shares leave one after the other, and those of one share are seated side by
-side, given the ones that stay.  A share's customers are drawn systematically: a random start and
-equal steps through the tables' weights, which for one customer is a plain draw.
+of n customers with weight n - discount.  In a round of a sweep a share of a dish's
+customers, drawn at random, leaves and is seated again; there are as many rounds as moves that a
+dish's customers have beside one that stays, ROUNDS at most.  The share is one customer for dishes
+of up to ROUNDS, which is the Gibbs sampler proper; of more customers ROUNDS shares leave one after
+the other, and those of one share are seated side by side, given the ones that stay.  A share's
+customers are drawn systematically: a random start and equal steps through the tables' weights,
+which for one customer is a plain draw.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-ROUNDS = 32
+ROUNDS = 16
 #: opens(dishes, more): the weights of a new table, with `more` tables than the pass began with.
 Opens = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
@@ -111,7 +112,7 @@ class Seating:
         """After a sweep. begun: the tables that each dish had when the sums behind `opens` were made, now if not given."""
 
         def shares(count: np.ndarray, number: int) -> np.ndarray:
-            live = int(np.searchsorted(-count, -max(number, 1), side="left")) if number < ROUNDS else 0  # a single customer stays
+            live = int(np.searchsorted(-count, -number - 1, side="left")) if number < ROUNDS else 0  # those of more than number + 1
             return (count[:live] - number + ROUNDS - 1) // ROUNDS
 
         return self._rounds(self.customers, shares, opens, self.tables if begun is None else begun, discount, random, True)
