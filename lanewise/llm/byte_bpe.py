@@ -6,8 +6,9 @@ children, with the leftmost position on ties.  The root names the next merge; a
 writes three leaves (the merged pair's, its left neighbour's, the swallowed token's), each
 in a logarithmic number of steps, so a piece of n bytes costs O(n log n) however long.
 
-Null and empty texts have no ids and decode to the empty text.  Rows are independent, so
-repeated rows, ties and extra columns change nothing; all columns but the text pass through.
+Null and empty texts have no ids and decode to the empty text; an empty table gives no rows.  Rows
+are independent, so repeated rows and ties change nothing.  All columns but the text pass through;
+the result's column replaces one of its name.
 """
 
 from __future__ import annotations
@@ -136,11 +137,11 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(read_ranks(path), pattern)
 
 
-def _each(path: str, pattern: str, text: str, make):
+def _each(path: str, pattern: str, text: str, out: str, make):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for batch in batches:
-            rest = batch.drop_columns([text])
+            rest = batch.drop_columns([n for n in batch.schema.names if n in (text, out)])
             yield make(c, rest, batch.column(text))
 
     return run
@@ -153,8 +154,8 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
         return rest.append_column(out, pa.array([c.encode_packed(x or "") for x in texts.to_pylist()], pa.binary()))
 
     common.small_batches(df.sparkSession)
-    fields = [f for f in df.schema.fields if f.name != text]
-    return common.map_arrow(df, _each(path, pattern, text, make), T.StructType([*fields, T.StructField(out, T.BinaryType())]))
+    fields = [f for f in df.schema.fields if f.name not in (text, out)]
+    return common.map_arrow(df, _each(path, pattern, text, out, make), T.StructType([*fields, T.StructField(out, T.BinaryType())]))
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -163,9 +164,11 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for batch in batches:
-            yield batch.append_column(out, pa.array([c.decode_packed(x or b"") for x in batch.column(ids).to_pylist()], pa.binary()))
+            rest = batch.drop_columns([n for n in batch.schema.names if n == out])
+            yield rest.append_column(out, pa.array([c.decode_packed(x or b"") for x in batch.column(ids).to_pylist()], pa.binary()))
 
-    return common.map_arrow(df, run, T.StructType([*df.schema.fields, T.StructField(out, T.BinaryType())]))
+    fields = [f for f in df.schema.fields if f.name != out]
+    return common.map_arrow(df, run, T.StructType([*fields, T.StructField(out, T.BinaryType())]))
 
 
 def encoded_documents(docs: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +30,7 @@ ARROW_ROWS, ARROW_BYTES = 512, 4 << 20
 
 _own_dir: list[str] = []
 _scratch: list[list[str]] = []
+_results: list[list[str]] = []
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +75,8 @@ def staged(df: DataFrame, label: str, keep: bool = False, by: str | None = None)
         df.write.partitionBy(*[by] * (by is not None)).option("compression", "zstd").parquet(path)
     if _scratch and not keep:
         _scratch[-1].append(path)
+    elif _results:
+        _results[-1].append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lanewise_path = path
     return out
@@ -109,6 +113,17 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             drop_path(spark, path)
 
 
+@contextlib.contextmanager
+def results_dropped(spark: SparkSession) -> Iterator[None]:
+    """Also the tables that operators' results read are deleted when it ends; what is wanted of those must be written by then."""
+    _results.append([])
+    try:
+        yield
+    finally:
+        for path in _results.pop():
+            drop_path(spark, path)
+
+
 def prefiltered_joins(spark: SparkSession):
     """While it holds, Spark puts a Bloom filter of a join's filtered side (of a fixed size, 8 MB at most) before the
     other side's shuffle, whatever the sizes. Beyond what the filter can tell apart it only lets more rows through."""
@@ -139,6 +154,13 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def keep(df: DataFrame) -> None:
+    """What staged() wrote outlives results_dropped()."""
+    for paths in _results:
+        if df._lanewise_path in paths:
+            paths.remove(df._lanewise_path)
+
+
 def unstage(df: DataFrame) -> None:
     """Deletes what staged() wrote, once nothing reads it any more."""
     drop_path(df.sparkSession, df._lanewise_path)
@@ -227,6 +249,53 @@ def span_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, fold: bo
     return out
 
 
+def same_spans(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, other: np.ndarray) -> bool:
+    """Whether each span of bytes equals the span numbered by `other`."""
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))
+    size, at, live = ends - begins, 0, np.arange(len(begins))
+    if (size != size[other]).any():
+        return False
+    while len(live):
+        if ((eight[begins[live] + at] ^ eight[begins[other[live]] + at]) & _FIRST[np.minimum(size[live] - at, 8)]).any():
+            return False
+        at += 8
+        live = live[size[live] > at]
+    return True
+
+
+def numbered(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.unique(hashes, return_inverse=True) by a hash table, for many of few values."""
+    number, values = pd.factorize(hashes)
+    order = np.argsort(values)
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.arange(len(order))
+    return values[order], rank[number]
+
+
+def sorting(keys: np.ndarray) -> np.ndarray:
+    """A stable argsort of numbers from 0 on; they are sorted with their places in the low bits, if both fit."""
+    n = len(keys)
+    low = n.bit_length()
+    if not n or int(keys.max()).bit_length() + low > 63:
+        return np.argsort(keys, kind="stable")
+    both = (keys.astype(np.int64) << low) | np.arange(n)
+    both.sort()
+    return both & ((1 << low) - 1)
+
+
+def numbered_keys(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.unique(keys, return_inverse=True) of numbers from 0 on."""
+    order = sorting(keys)
+    ranked = keys[order]
+    begins = np.ones(len(keys), dtype=bool)
+    begins[1:] = ranked[1:] != ranked[:-1]
+    number = np.empty(len(keys), dtype=np.int64)
+    number[order] = np.cumsum(begins) - 1
+    return ranked[begins], number
+
+
 def packed(x: np.ndarray) -> bytes:
     """Counts in as few bytes each as the largest needs, after a byte that tells how many."""
     width = 1 if (most := int(x.max(initial=0))) < 1 << 8 else 2 if most < 1 << 16 else 4 if most < 1 << 32 else 8

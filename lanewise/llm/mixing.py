@@ -15,7 +15,9 @@ choice depends on doc_id alone, so reruns agree.
 Null texts and empty tables have size 0; a null source is a source of its own, after the
 others; sources whose sizes are all 0 get target 0.  Rows that repeat a doc_id are taken or
 left alike.  Only sums by source (and bucket) are shuffled, after partial sums, so a hot source
-costs no more than another.  Columns but doc_id, source and text are not read.
+costs no more than another.  Windows over sources are in one task: their number is a plan's, not the
+documents'.  Columns but doc_id, source and text are not read; `mixed` returns all of them as they
+are, `with_copies` replaces those named source_size, target and copies.
 """
 
 from __future__ import annotations
@@ -90,14 +92,20 @@ def _mix_plan(sizes: DataFrame) -> DataFrame:
     return plan.select("source", "source_size", "target", F.col("whole").cast("long").alias("whole"), (F.col("prefix") + last).alias("limit"), "budget")
 
 
+def _planned(docs: DataFrame, plan: DataFrame) -> DataFrame:
+    """docs(doc_id, source, ..) with __mix: source_size, target and copies, how often the mix takes each."""
+    plan = plan.select(F.struct(*plan.columns).alias("__plan"))
+    rows = docs.join(plan, docs["source"].eqNullSafe(F.col("__plan.source")), "left")
+    under = F.shiftrightunsigned(F.xxhash64(docs["doc_id"]), 64 - BITS * LEVELS) < F.col("__plan.limit")
+    extra = F.when(F.col("__plan.budget") > 0, F.coalesce(under.cast("long"), F.lit(1))).otherwise(0)
+    copies = F.least(F.lit(REPEATS).cast("long"), F.col("__plan.whole") + extra)
+    return rows.withColumn("__mix", F.struct(F.col("__plan.source_size").alias("source_size"), F.col("__plan.target").alias("target"), copies.alias("copies"))).drop("__plan")
+
+
 def with_copies(docs: DataFrame, plan: DataFrame) -> DataFrame:
-    """docs(doc_id, source, ..) with source_size, target and copies, how often the mix takes each; all other columns stay."""
-    own = {c: f"__{c}" for c in plan.columns}
-    rows = docs.join(plan.withColumnsRenamed(own), F.col("source").eqNullSafe(F.col("__source")), "left")
-    under = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - BITS * LEVELS) < F.col("__limit")
-    extra = F.when(F.col("__budget") > 0, F.coalesce(under.cast("long"), F.lit(1))).otherwise(0)
-    copies = F.least(F.lit(REPEATS).cast("long"), F.col("__whole") + extra)
-    return rows.withColumns({"source_size": F.col("__source_size"), "target": F.col("__target"), "copies": copies}).drop(*own.values())
+    """docs(doc_id, source, ..) with source_size, target and copies; all other columns stay."""
+    added = ("source_size", "target", "copies")
+    return _planned(docs, plan).withColumns({c: F.col(f"__mix.{c}") for c in added}).drop("__mix")
 
 
 def sizes_of(docs: DataFrame) -> DataFrame:
@@ -106,8 +114,10 @@ def sizes_of(docs: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The documents of the mix, each as often as it is taken, in their own columns."""
-    rows = with_copies(docs, mix_plan(sizes_of(docs))).where("copies > 0")
-    return rows.withColumn("__row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*docs.columns)
+    with common.scratch(docs.sparkSession):
+        plan = mix_plan(sizes_of(docs))
+    rows = _planned(docs, plan)
+    return rows.withColumn("__row", F.explode(F.expr("if(__mix.copies > 0, sequence(1L, __mix.copies), cast(array() as array<bigint>))"))).select(*[docs[c] for c in docs.columns])
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

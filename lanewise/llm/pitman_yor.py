@@ -94,11 +94,11 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = np.insert(np.concatenate([part[1] for part in held]), np.cumsum(counts), U64(END))
         counts = counts + 1
         out = np.array([is_held_out(x) for x in ids], dtype=bool)
-        words, tokens = np.unique(hashes, return_inverse=True)
+        words, tokens = common.numbered(hashes)
         before = np.empty(len(tokens), dtype=np.int64)
         before[1:] = tokens[:-1]
         before[np.cumsum(counts) - counts] = np.searchsorted(words, U64(END))
-        keys, pairs = np.unique(tokens * len(words) + before, return_inverse=True)
+        keys, pairs = common.numbered_keys(tokens * len(words) + before)
         word, context = np.divmod(keys, len(words))
         trained = np.repeat(~out, counts)
         seen = np.bincount(pairs[trained], minlength=len(keys))
@@ -153,7 +153,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """To each post the training counts of its words over all chunks; with one of them, how many words are known and their sum."""
     for home, rows in common.grouped(batches, "home"):
         words = [np.frombuffer(r["words"], dtype=U64) for r in rows]
-        _, at = np.unique(np.concatenate(words), return_inverse=True)
+        _, at = common.numbered(np.concatenate(words))
         counts = np.bincount(at, weights=np.concatenate([unpacked(r["seen"]) for r in rows])).astype(np.int64)
         v, n = int((counts > 0).sum()), int(counts.sum())
         ends = np.cumsum([len(x) for x in words])
@@ -200,13 +200,13 @@ def _summed(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.Record
         names, numbers = [], []
         for name, pair in (("words", "pair_word"), ("contexts", "pair_context")):
             lists = [np.frombuffer(r[name], dtype=U64) for r in rows]
-            own, at = np.unique(np.concatenate(lists), return_inverse=True)
+            own, at = common.numbered(np.concatenate(lists))
             starts = np.cumsum([0, *(len(x) for x in lists)])
             read = _risen if name == "words" else unpacked
             numbers.append(np.concatenate([at[read(r[pair]) + a] for r, a in zip(rows, starts.tolist(), strict=False)]))
             names.append(own)
         width = len(names[1])
-        keys, at = np.unique(numbers[0] * width + numbers[1], return_inverse=True)
+        keys, at = common.numbered_keys(numbers[0] * width + numbers[1])
         each = [unpacked(r["pair_count"]) for r in rows]
         counts = np.bincount(at, weights=np.concatenate(each), minlength=len(keys)).astype(np.int64)
         many, (word, context) = counts > 1, np.divmod(keys, max(width, 1))
@@ -242,7 +242,7 @@ def _homes(batches: Iterator[pa.RecordBatch], given: Given) -> Iterator[pa.Recor
     """Sums over all asking cells; dishes of the parent are seated for the first time."""
     for home, rows in common.grouped(batches, "home"):
         names = [np.frombuffer(r["names"], dtype=U64) for r in rows]
-        _, at = np.unique(np.concatenate(names), return_inverse=True)
+        _, at = common.numbered(np.concatenate(names))
         places = np.split(at, np.cumsum([len(x) for x in names])[:-1])
         first = _total(places, [r["first"] for r in rows])
         out = [(BASE, home, r["cell"], START, _rising(x), None, 0.0, 0.0) for r, x in zip(rows, places, strict=True)]

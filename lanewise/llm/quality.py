@@ -4,8 +4,8 @@ Words are `[^\\x20\\x09-\\x0D]+`.  A rule bounds the ratio of two counts of a te
 compiled to one boolean expression over the counts, evaluated by Spark alone.
 
 Null texts count as empty: no words, hence rejected.  Rows are independent, so repeated rows
-and ties each get their own verdict; other columns pass through unless `keep` names fewer, and
-a count replaces a column of its own name.  An empty table gives an empty result.
+and ties each get their own verdict.  Other columns pass through; in `measured` and `judged` a count or
+verdict replaces a column of its name, in `accepted` all columns stay as they are.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -105,8 +105,9 @@ def judged(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -
 
 
 def accepted(df: DataFrame, text: str = "text") -> DataFrame:
-    """The rows that the rules keep, in their own columns. Rows are picked by a generator: a filter would be moved below the counts and repeat their expressions many times over."""
-    return judged(df, text).withColumn("__row", F.expr("explode(if(kept, array(1), cast(array() as array<int>)))")).select(*df.columns)
+    """The rows that the rules keep, all columns as they are. Rows are picked by a generator: a filter would be moved below the counts and repeat their expressions many times over."""
+    own = df.select(F.struct(*[df[c] for c in df.columns]).alias("__row"), df[text].alias("text"))
+    return judged(own).withColumn("__one", F.expr("explode(if(kept, array(1), cast(array() as array<int>)))")).select("__row.*")
 
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_shouted", "n_stop_words", "n_lines"]

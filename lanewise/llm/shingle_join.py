@@ -27,7 +27,8 @@ link at 100 * intersection >= 80 * union; the result is the components of that g
 Null and empty texts have the empty set and link with nothing; fewer than five words make one
 shingle of the whole sequence.  Repeated rows are copies; rows of one doc_id with different
 texts each get a row.  A null doc_id is kept and counts as larger than any other.  Other
-columns are not read.  Everything is written to the shared folder between steps.
+columns are not read.  Sets are told apart by their size and 128 bits of hash, shingles by 64.
+Everything is written to the shared folder between steps.
 """
 
 from __future__ import annotations
@@ -48,7 +49,6 @@ K, PERCENT = 5, 80
 SAMPLE = 3 / 8
 FREQUENT = 64
 CHUNK_HASHES = 800_000
-NULL_ID = (1 << 63) - 1
 
 
 def allowed_misses(n: np.ndarray | int, percent: int = PERCENT):
@@ -122,7 +122,9 @@ class _Dealer:
         order = np.argsort(bucket, kind="stable")
         hashes, owner, bucket = hashes[order], owner[order], bucket[order]
         cuts = np.searchsorted(bucket, np.arange(self.buckets + 1))
-        rows: list[tuple] = [(self.buckets + chunk % self.buckets, ids.tobytes(), sizes.astype("<u4").tobytes(), first.tobytes() + second.tobytes())]
+        known = np.array([x is not None for x in ids.tolist()]) if ids.dtype == object else np.ones(len(ids), dtype=bool)
+        ids = np.where(known, ids, 0).astype(np.int64)
+        rows: list[tuple] = [(self.buckets + chunk % self.buckets, ids.tobytes() + known.tobytes(), sizes.astype("<u4").tobytes(), first.tobytes() + second.tobytes())]
         for b in range(self.buckets):
             own = slice(cuts[b], cuts[b + 1])
             docs, counts = np.unique(owner[own], return_counts=True)
@@ -140,7 +142,7 @@ def _dealt(batches: Iterator[pa.RecordBatch], buckets: int, k: int) -> Iterator[
             hashes, sizes = block_sets(data, offsets, k)
             kept = hashes < limit
             each = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[kept], minlength=len(sizes))
-            yield from dealer.add(np.array(ids, dtype=np.int64), hashes[kept], each, sizes, set_keys(hashes, sizes))
+            yield from dealer.add(np.array(ids, dtype=object), hashes[kept], each, sizes, set_keys(hashes, sizes))
     if dealer.held:
         yield dealer.rows()
 
@@ -196,15 +198,17 @@ def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows stand by chunk, its own first: id, own, n, first, second of each set."""
 
     def made() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, own, sizes, keys[: len(ids)], keys[len(ids) :])], names=["id", "own", "n", "first", "second"])
+        columns = [pa.array(ids, pa.int64(), mask=~known), *[pa.array(x, pa.int64()) for x in (own, sizes, keys[: len(ids)], keys[len(ids) :])]]
+        return pa.RecordBatch.from_arrays(columns, names=["id", "own", "n", "first", "second"])
 
-    ids = own = sizes = keys = None
+    ids = known = own = sizes = keys = None
     for batch in batches:
         for bucket, docs, counts, own_keys in zip(*[batch.column(c).to_pylist() for c in ("bucket", "docs", "counts", "keys")], strict=True):
             if bucket < 0:
                 if ids is not None:
                     yield made()
-                ids, sizes, keys = np.frombuffer(docs, dtype=np.int64), np.frombuffer(counts, dtype="<u4").astype(np.int64), np.frombuffer(own_keys, dtype=np.int64)
+                sizes, keys = np.frombuffer(counts, dtype="<u4").astype(np.int64), np.frombuffer(own_keys, dtype=np.int64)
+                ids, known = np.frombuffer(docs, dtype=np.int64, count=len(sizes)), np.frombuffer(docs, dtype=bool, offset=8 * len(sizes))
                 own = np.zeros(len(ids), dtype=np.int64)
             else:
                 own[np.cumsum(common.unpacked(docs))] += common.unpacked(counts)
@@ -235,18 +239,20 @@ def _sketch(hashes: np.ndarray) -> bytes:
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """The sets of the documents that stand for their classes."""
+    """The sets of the documents that stand for their classes: rows of id, text, first, second, node."""
     for batch in batches:
-        want = np.asarray(batch.column(2))
+        want, nodes = [np.asarray(batch.column(i)) for i in (2, 3)], np.asarray(batch.column(4))
         at = 0
         for ids, data, offsets in common.text_blocks(batch.column(0).to_pylist(), batch.column(1)):
             hashes, sizes = block_sets(data, offsets, k)
-            first, _ = set_keys(hashes, sizes)
+            keys = set_keys(hashes, sizes)
             ends = np.cumsum(sizes)
-            keep = np.flatnonzero(first.view(np.int64) == want[at : at + len(ids)]).tolist()
-            at += len(ids)
+            here = slice(at, at + len(ids))
+            keep = np.flatnonzero((keys[0].view(np.int64) == want[0][here]) & (keys[1].view(np.int64) == want[1][here])).tolist()
             if keep:
-                yield pa.RecordBatch.from_pydict({"node": pa.array(first.view(np.int64)[keep], pa.int64()), "n": pa.array(sizes[keep], pa.int64()), "hashes": pa.array([hashes[ends[i] - sizes[i] : ends[i]].tobytes() for i in keep], pa.binary()), "bits": pa.array([_sketch(hashes[ends[i] - sizes[i] : ends[i]]) for i in keep], pa.binary())})
+                own = [hashes[ends[i] - sizes[i] : ends[i]] for i in keep]
+                yield pa.RecordBatch.from_pydict({"node": pa.array(nodes[here][keep], pa.int64()), "n": pa.array(sizes[keep], pa.int64()), "hashes": pa.array([x.tobytes() for x in own], pa.binary()), "bits": pa.array([_sketch(x) for x in own], pa.binary())})
+            at += len(ids)
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -389,26 +395,31 @@ def joined(docs: DataFrame, k: int = K) -> DataFrame:
     spark = docs.sparkSession
     common.small_batches(spark)
     buckets = common.n_buckets(spark)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.col("text").cast("binary").alias("text"))
-    sized = common.staged(_counted(common.map_arrow(rows, lambda b: _dealt(b, buckets, k), DEALT), buckets), "sizes")
-    classes = sized.where("n > 0").groupBy("first", "second", "n").agg(F.min("id").alias("id"), F.min("own").alias("own"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
+    sized = common.staged(_counted(common.map_arrow(rows, lambda b: _dealt(b, buckets, k), DEALT), buckets), "sizes", keep=True)
+    key = ["first", "second", "n"]
+    classes = sized.where("n > 0").groupBy(*key).agg(F.min("id").alias("id"), F.min("own").alias("own"))
     misses = F.col("n") - F.ceil(F.col("n") * PERCENT / 100).cast("long")
     with common.scratch(spark):
-        alive = common.staged(classes.where(F.col("own") <= misses).dropDuplicates(["first"]).select("id", F.col("first").alias("node"), "n", "own"), "alive")
+        # a class's number, once written, stays
+        alive = common.staged(classes.where(F.col("own") <= misses).withColumn("node", F.monotonically_increasing_id()), "alive")
+        at = lambda df: df.withColumn("at", F.coalesce("id", F.lit(-1)))  # noqa: E731  texts of -1 and of null are told apart by their sets
         with common.prefiltered_joins(spark):  # most texts need not travel
-            sets = rows.join(alive.where("n > 0").select("id", "node"), "id").select("id", "text", "node")
-            sets = common.staged(common.map_arrow(sets, lambda b: _sets(b, k), "node long, n long, hashes binary, bits binary").dropDuplicates(["node"]), "sets")
+            texts = at(rows).join(at(alive.where("n > 0")).select("at", *key[:2], "node"), "at").select("id", "text", *key[:2], "node")
+            sets = common.staged(common.map_arrow(texts, lambda b: _sets(b, k), "node long, n long, hashes binary, bits binary").dropDuplicates(["node"]), "sets")
         again = _counted(common.map_arrow(sets, lambda b: _dealt_sets(b, buckets), DEALT), buckets).select(F.col("id").alias("node"), "own")
         nodes = alive.select("node", "n").join(again, "node", "left").fillna(0, ["own"]).where(F.col("own") <= misses)
         nodes = common.staged(nodes, "nodes")
         links = _links(nodes, sets.join(nodes.select("node"), "node", "left_semi"))
-        linked = common.staged(links.select(F.col("u").alias("first"), "component"), "links", keep=True)
-
-    whole = sized.join(linked, "first", "left").withColumn("component", F.when(F.col("n") > 0, F.coalesce("component", "first")))
-    least = whole.where("n > 0").groupBy("component").agg(F.min("id").alias("component_id"))
-    out = whole.join(least, "component", "left").withColumn("component_id", F.coalesce("component_id", "id"))
-    named = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
-    return out.select(named("id").alias("doc_id"), F.col("n").alias("n_shingles"), named("component_id").alias("component_id"))
+        # the least doc_id of each component of several classes
+        linked = alive.select(*key, "node", "id").join(links.withColumnRenamed("u", "node"), "node")
+        least = linked.groupBy("component").agg(F.min("id").alias("component_id"))
+        linked = common.staged(linked.join(least, "component").select(*key, "component_id"), "links", keep=True)
+
+    alone = sized.where("n > 0").groupBy(*key).agg(F.min("id").alias("least"))
+    out = sized.join(alone, key, "left").join(linked.withColumn("linked", F.lit(True)), key, "left")
+    component = F.when(F.col("linked"), F.col("component_id")).when(F.col("n") > 0, F.col("least")).otherwise(F.col("id"))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

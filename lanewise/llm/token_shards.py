@@ -42,7 +42,7 @@ from .common import mix_int
 MAGIC, VERSION = b"LWTOKENS", 1
 TRAILER = struct.Struct("<8sIIQQQ24x")
 GOLD = 0x9E3779B97F4A7C15
-CACHE_WORDS, BLOCK_BYTES = 1_500_000, 3 << 20
+CACHE_WORDS, BLOCK_BYTES = 1_200_000, 3 << 20
 PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -60,9 +60,10 @@ class WordEncoder:
     The tokenizer lower-cases, drops white space and lets no id span it, so a text's ids are
     its words' ids in order.  Texts are cut into words, and words into what ends with an ASCII
     letter or digit and the ASCII punctuation after it, which the tokenizer's own pattern parts
-    there too; both by numpy over many texts at once.  New words go to the tokenizer, runs of
-    letters many in a call, cut where word-end ids stand; known ones are found by hash.  A text
-    that may spell a special token goes to the tokenizer whole."""
+    there too; both by numpy over many texts at once.  Equal words of a block are found by hash and
+    their bytes compared; if two that differ had one hash, the block's texts go to the tokenizer one
+    by one.  New words go to the tokenizer, runs of letters many in a call, cut where word-end ids
+    stand; ids are kept by word.  A text that may spell a special token goes to the tokenizer whole."""
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
@@ -76,7 +77,7 @@ class WordEncoder:
         for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
             self.ends_word[i] = token.endswith("</w>")
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[int, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
         self.is_punctuation, self.is_alnum = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
         self.is_punctuation[list(PUNCTUATION)] = True
         self.is_alnum[[i for i in range(128) if chr(i).isalnum()]] = True
@@ -98,15 +99,15 @@ class WordEncoder:
         at = [0, *(ends * self.width).tolist()]
         return [packed[a:b] for a, b in zip(at, at[1:], strict=False)]
 
-    def learn(self, hashes: list[int], words: list[bytes]) -> None:
+    def learn(self, words: list[bytes]) -> None:
         letters = [w.isalpha() or not w.isascii() and _whole(w.decode()) for w in words]
-        runs = [i for i, ok in enumerate(letters) if ok]
+        runs = [w for w, ok in zip(words, letters, strict=True) if ok]
         for a in range(0, len(runs), 2_000):
             part = runs[a : a + 2_000]
-            self.known.update(zip([hashes[i] for i in part], self.together([words[i] for i in part]), strict=True))
-        for i, ok in enumerate(letters):
+            self.known.update(zip(part, self.together(part), strict=True))
+        for w, ok in zip(words, letters, strict=True):
             if not ok:
-                self.known[hashes[i]] = self.alone(words[i].decode())
+                self.known[w] = self.alone(w.decode())
 
     def _units(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Where units begin and end, and how many each text has."""
@@ -130,16 +131,18 @@ class WordEncoder:
             yield from (self.end for _ in texts)
             return
         begins, ends, counts = self._units(data, offsets)
-        unique, first, at = np.unique(common.span_hashes(data, begins, ends), return_index=True, return_inverse=True)
-        hashes = unique.tolist()
+        _, first, at = np.unique(common.span_hashes(data, begins, ends), return_index=True, return_inverse=True)
+        if not common.same_spans(data, begins, ends, first[at]):
+            yield from (self.alone(x.decode()) + self.end for x in texts)
+            return
+        words = [raw[a:b] for a, b in zip(begins[first].tolist(), ends[first].tolist(), strict=True)]
         known = self.known
-        new = [i for i, h in enumerate(hashes) if h not in known]
+        new = [w for w in words if w not in known]
         if len(known) + len(new) > CACHE_WORDS and known:
             known.clear()
-            new = list(range(len(hashes)))
-        spans = zip(begins[first[new]].tolist(), ends[first[new]].tolist(), strict=True)
-        self.learn([hashes[i] for i in new], [raw[a:b] for a, b in spans])
-        values = [known[h] for h in hashes]
+            new = words
+        self.learn(new)
+        values = [known[w] for w in words]
         flat = np.frombuffer(b"".join(values), dtype=self.dtype)
         sizes = np.fromiter(map(len, values), dtype=np.int64, count=len(values)) // self.width
         starts = np.cumsum(sizes) - sizes
