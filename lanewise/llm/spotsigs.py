@@ -2,14 +2,15 @@
 
 A signature is an anchor, one of the commonest words of some languages, with up to CHAIN content
 words after it, as far as the next anchor; case and kinds of white space don't count.  A text
-without any has its words for signatures.  A document's set of signature hashes is named by its
-fingerprint: the set's length, by which sets are partitioned, and 128 bits of hash over the
-ordered set.  Likeness is the Jaccard coefficient of two sets; it is at most the ratio of their
-lengths, so sets whose lengths differ by more than the bound asked for are not intersected.
+without any has its words for signatures.  A document's fingerprint is its set of signatures: how
+many there are, by which sets are partitioned, then their 64-bit hashes in order.  Likeness, the
+Jaccard coefficient of two sets, is read from two fingerprints alone; equal fingerprints have equal
+sets.  It is at most the ratio of the lengths, so where a bound is asked for (`near_pairs`), sets
+whose lengths differ by more are not intersected.
 
 Null and empty texts have the empty set; two empty sets are alike (1), an empty and another not
 (0).  Rows are in the order of doc_id, falling, a null last, equal ids by text; the next document
-is the next row.  Other columns are not read.
+is the next row, after the last the first; an empty table gives no rows.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ from pyspark.sql import functions as F
 from . import common
 
 CHAIN = 3
-FLOOR = 0.01
 ROWS = 1_000
 
 # Common words of English, French, Spanish and German.
@@ -44,36 +44,45 @@ def with_signatures(df: DataFrame, text: str, out: str) -> DataFrame:
 
 
 def fingerprint(sigs: str) -> F.Column:
-    return F.expr(f"lower(concat(size({sigs}), '-', lpad(hex(xxhash64(sort_array({sigs}))), 16, '0'), lpad(hex(xxhash64(7, sort_array({sigs}))), 16, '0')))")
+    """The set's length in decimal, a hyphen, and 16 hex digits for each hash, rising."""
+    return F.expr(f"concat(size({sigs}), '-', lower(array_join(transform(sort_array({sigs}), x -> lpad(hex(x), 16, '0')), '')))")
 
 
-def likeness(a: str, b: str, floor: float = FLOOR) -> F.Column:
-    """Jaccard coefficient of two sets; 0 where their lengths alone bound it below `floor`."""
-    return F.expr(f"""CASE WHEN size({a}) = 0 AND size({b}) = 0 THEN 1D
-        WHEN least(size({a}), size({b})) < {floor}D * greatest(size({a}), size({b})) THEN 0D
+def signatures_of(fingerprint: str) -> F.Column:
+    """The hashes in a fingerprint."""
+    return F.expr(f"regexp_extract_all(substring_index({fingerprint}, '-', -1), '.{{16}}', 0)")
+
+
+def likeness(a: str, b: str, floor: float = 0.0) -> F.Column:
+    """Jaccard coefficient of two sets; with a floor, 0 where their lengths alone bound it below that."""
+    bound = f"WHEN least(size({a}), size({b})) < {floor}D * greatest(size({a}), size({b})) THEN 0D" if floor else ""
+    return F.expr(f"""CASE WHEN size({a}) = 0 AND size({b}) = 0 THEN 1D {bound}
         ELSE cast(size(array_intersect({a}, {b})) AS double) / size(array_union({a}, {b})) END""")
 
 
 def with_next(docs: DataFrame, rows: int = ROWS) -> DataFrame:
     """docs(doc_id, text) -> doc_id, text, next_text, sigs, next_sigs.
 
-    Rows are dealt by ranges of doc_id, about `rows` to a range, so that most neighbours meet
-    in one window; the last of a range gets the first of the next range that has rows, a row a
-    range.  Ranges come from the least, the greatest and the number of ids, nothing else."""
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    low, high = low or 0, high or 0
-    width = max(1, -(-(high - low + 1) // max(1, -(-n // rows))))
+    Rows are dealt by ranges of doc_id between quantiles, as many as rows ask for but no more than four for each
+    shuffle partition, so that most neighbours meet in one window; the last of a range gets the first of the next range
+    that has rows, a row a range.  The bounds are all that the driver gets.  Rows of one id are in one range."""
     spark = docs.sparkSession
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    dealt = dealt.withColumn("range", F.coalesce(F.floor((F.col("doc_id") - low) / width), F.lit(-1)))
-    dealt = dealt.repartition(common.n_buckets(spark), "range")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    n = docs.count()
+    ranges = max(1, min(-(-n // rows), 4 * common.n_buckets(spark)))
+    cuts = [i / ranges for i in range(1, ranges)]
+    # bounds of equal numbers of rows, null where there are no ids
+    bounds = docs.agg(F.percentile_approx("doc_id", cuts, 20 * ranges)).first()[0] if cuts else None
+    bounds = F.array(*[F.lit(x).cast("long") for x in sorted(set(bounds or []))]).cast("array<bigint>")
+    place = F.when(F.col("doc_id").isNull(), -1).otherwise(F.size(F.filter(bounds, lambda x: x <= F.col("doc_id"))))
+    dealt = docs.withColumn("range", place.cast("int")).repartition(common.n_buckets(spark), "range")
     order = Window.partitionBy("range").orderBy(F.col("doc_id").desc_nulls_last(), "text")
     own = with_signatures(dealt, "text", "sigs").withColumn("rank", F.row_number().over(order))
     own = own.withColumns({"next_text": F.lead("text").over(order), "next_sigs": F.lead("sigs").over(order)})
     first = dealt.withColumn("rank", F.row_number().over(order)).where("rank = 1")
     first = with_signatures(first.select("range", "text"), "text", "sigs")
-    # ranges with rows, each with the one before it in rising order; the first with the last
-    ranges = docs.select(F.coalesce(F.floor((F.col("doc_id").cast("long") - low) / width), F.lit(-1)).alias("range")).distinct()
+    # ranges with rows (a bounded number), each with the one before it in rising order; the first with the last
+    ranges = docs.select(place.cast("int").alias("range")).distinct()
     whole = Window.orderBy("range")
     last = F.max("range").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     ranges = ranges.select(F.col("range").alias("__of"), F.coalesce(F.lag("range").over(whole), last).alias("range"))
@@ -89,17 +98,20 @@ def near_pairs(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     partition and the next can hold a pair; within them a pair must share one of the rarest
     signatures of both, as many as a set may lack and one more, and is then compared."""
     sets = with_signatures(docs.select(F.coalesce("text", F.lit("")).alias("text")), "text", "sigs")
-    sets = sets.select(fingerprint("sigs").alias("fp"), "sigs").where(F.size("sigs") > 0).dropDuplicates(["fp"])
-    sets = common.staged(sets.withColumn("n", F.size("sigs")).withColumn("part", F.floor(F.log("n") / -F.log(F.lit(threshold)))), "spots")
+    sets = sets.where(F.size("sigs") > 0).select(fingerprint("sigs").alias("print")).distinct()
+    sets = sets.withColumns({"fp": F.monotonically_increasing_id(), "sigs": signatures_of("print")})
+    sets = common.staged(sets.withColumn("n", F.size("sigs")).withColumn("part", F.floor(F.log("n") / -F.log(F.lit(threshold)))), "spots", keep=True)
     each = sets.select("fp", "n", "part", F.explode("sigs").alias("sig"))
     rank = F.row_number().over(Window.partitionBy("fp").orderBy("df", "sig"))
-    prefix = each.join(each.groupBy("sig").agg(F.count("*").alias("df")).where("df > 1"), "sig").withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1)
+    # a signature of no other set can't be shared, but counts among those that a set may lack
+    prefix = each.join(each.groupBy("sig").agg(F.count("*").alias("df")), "sig").withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).where("df > 1")
     left = prefix.select("sig", "part", F.col("fp").alias("a"), F.col("n").alias("an"))
     right = prefix.select("sig", F.explode(F.array("part", F.col("part") - 1, F.col("part") + 1)).alias("part"), F.col("fp").alias("b"), F.col("n").alias("bn"))
     fits = (F.col("a") < F.col("b")) & (F.least("an", "bn") >= threshold * F.greatest("an", "bn"))
     pairs = left.join(right, ["sig", "part"]).where(fits).select("a", "b").distinct()
-    pairs = pairs.join(sets.select(F.col("fp").alias("a"), F.col("sigs").alias("a_sigs")), "a").join(sets.select(F.col("fp").alias("b"), F.col("sigs").alias("b_sigs")), "b")
-    return pairs.select("a", "b", likeness("a_sigs", "b_sigs", threshold).alias("likeness")).where(F.col("likeness") >= threshold)
+    side = lambda x: sets.select(F.col("fp").alias(x), F.col("sigs").alias(f"{x}_sigs"), F.col("print").alias(f"{x}_print"))
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("likeness", likeness("a_sigs", "b_sigs", threshold)).where(F.col("likeness") >= threshold)
+    return pairs.select(F.least("a_print", "b_print").alias("a"), F.greatest("a_print", "b_print").alias("b"), "likeness")
 
 
 def fingerprinted(docs: DataFrame) -> DataFrame:

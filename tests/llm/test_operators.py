@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lanewise.llm import byte_bpe, chat, common, licenses, mixing, passages, pitman_yor, quality, registry, shingle_join, spotsigs, token_shards
+from lanewise.llm.seating import Seating
 from tests.conftest import DATA
 
 from . import plain
@@ -34,7 +35,7 @@ def _sigs(text):
 def _alike(a, b):
     if not a and not b:
         return 1.0
-    return 0.0 if min(len(a), len(b)) < spotsigs.FLOOR * max(len(a), len(b)) else len(a & b) / len(a | b)
+    return len(a & b) / len(a | b)
 
 
 def test_spotsigs_against_plain(spark, sample):
@@ -60,6 +61,22 @@ def test_spotsigs_next_rows_over_small_ranges(spark, sample):
     assert all(got[a] == texts[b] for a, b in zip(ids, ids[1:] + ids[:1], strict=True))
 
 
+def test_spotsigs_of_far_ids_and_lengths(spark):
+    """Ids at both ends of long and an outlier; likeness of sets of very different lengths; likeness from fingerprints alone."""
+    long = " ".join(f"the w{i}" for i in range(301))
+    rows = [(2**63 - 1, "the w5"), (-(2**63), long), (None, "the w5 w6")] + [(i, f"the w{i} of x{i}") for i in range(200)]
+    out = spotsigs.fingerprinted(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.doc_id: r for r in out.collect()}
+    order = sorted((r[0] for r in rows if r[0] is not None), reverse=True) + [None]
+    texts = dict(rows)
+    for a, b in zip(order, order[1:] + order[:1], strict=True):
+        assert math.isclose(got[a].near_next, _alike(_sigs(texts[a]), _sigs(texts[b])))
+        p, q = (set(re.findall(".{16}", got[k].fingerprint.split("-")[1])) for k in (a, b))
+        assert math.isclose(got[a].near_next, len(p & q) / len(p | q)) and int(got[a].fingerprint.split("-")[0]) == len(p)
+    one = spotsigs.fingerprinted(spark.createDataFrame([(2, long), (1, "the w5")], "doc_id long, text string")).collect()
+    assert all(math.isclose(r.near_next, 1 / 301) for r in one)
+
+
 def test_spotsigs_pairs(spark, sample):
     docs = spark.createDataFrame(sample[["doc_id", "text"]])
     got = {frozenset((r.a, r.b)) for r in spotsigs.near_pairs(docs).collect()}
@@ -154,6 +171,13 @@ def test_join_of_documents(spark, sample):
     assert sorted(map(tuple, got)) == sorted(plain.components(list(sample.doc_id), list(sample.text)))
 
 
+def test_join_of_the_largest_id(spark):
+    rows = [(2**63 - 1, "a b c d e f"), (None, "a b c d e f"), (-1, "x y"), (None, "x y z"), (2**63 - 1, None)]
+    got = sorted(map(str, shingle_join.joined(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    most = 2**63 - 1
+    assert got == sorted(f"Row(doc_id={a}, n_shingles={n}, component_id={c})" for a, n, c in [(most, 2, most), (None, 2, most), (-1, 1, -1), (None, 1, None), (most, 0, most)])
+
+
 def test_join_edges(edge, nothing):
     rows = shingle_join.joined(edge).collect()
     got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in rows)
@@ -205,30 +229,139 @@ def test_scores_after_rare_words(spark):
     assert got[held[0]] > got[held[1]] + 1
 
 
-def test_predictive_probabilities_sum_to_one():
-    rng = np.random.default_rng(1)
-    n_words, n_contexts = 50, 4
-    words = np.unique(rng.integers(1, 1 << 60, n_words).astype(np.uint64))
-    pairs = np.array([(w, c) for w in range(len(words)) for c in range(n_contexts)])
-    counts = rng.poisson(1.5, len(pairs))
-    pairs, counts = pairs[counts > 0], counts[counts > 0]
-    totals = np.bincount(pairs[:, 0], weights=counts, minlength=len(words)).astype(np.int64) + 1
-    bucket = pitman_yor.Bucket({"words": words.tobytes(), "counts": totals.astype("<u8").tobytes(), "pair_word": pairs[:, 0].astype("<u4").tobytes(), "pair_context": pairs[:, 1].astype("<u2").tobytes(), "pair_count": counts.astype("<u8").tobytes()})
-    by_context = np.bincount(pairs[:, 1], weights=counts)
-    given = pitman_yor.Model(len(words), (0.6, 0.7), by_context, by_context / 2, float(totals.sum()), float(len(words)))
-    tables, customers, parent = bucket.sweep(given, 1)
-    assert (tables >= 1).all() and (tables <= counts).all()
-    model = pitman_yor.Model(len(words), (0.6, 0.7), by_context, np.bincount(pairs[:, 1], weights=tables), float(customers.sum()), float(parent.sum()))
-    single = model.single(customers, parent)
-    unknown = model.single(np.zeros(1), np.zeros(1))[0]
-    assert math.isclose(single.sum() + unknown, 1)
-    for c in range(n_contexts):
-        all_words, own = np.zeros(len(words)), pairs[:, 1] == c
-        count, seats = np.zeros(len(words)), np.zeros(len(words))
-        count[pairs[own, 0]], seats[pairs[own, 0]] = counts[own], tables[own]
-        all_words = model.after(np.full(len(words), c), count, seats, single)
-        rest = model.after(np.array([c]), np.zeros(1), np.zeros(1), np.array([unknown]))[0]
-        assert math.isclose(all_words.sum() + rest, 1)
+def test_seatings_follow_the_posterior():
+    """The number of tables of c customers under Gibbs sweeps, against generalised Stirling numbers."""
+    d, strength, p, others, n = 0.6, 1.0, 0.3, 2, 30_000
+    random = np.random.default_rng(1)
+    opens = lambda dishes, more: np.full(len(dishes), p) * (strength + d * (others + 1 + more))
+    for c in (2, 3, 6):
+        s = np.zeros((c + 1, c + 2))
+        s[0, 0] = 1
+        for i in range(c):
+            for t in range(i + 2):
+                s[i + 1, t] = (s[i, t - 1] if t else 0) + (i - d * t) * s[i, t]
+        want = np.array([s[c, t] * np.prod([(strength + d * (others + i)) * p for i in range(t)]) for t in range(1, c + 1)])
+        start = Seating.started(np.full(n, c))
+        now = start.seated(opens, d, random)
+        for _ in range(8):
+            now = now.swept(opens, d, random, start.tables)
+        assert (now.customers == c).all() and (now.sizes > 0).all()
+        assert np.abs(np.bincount(now.tables, minlength=c + 1)[1:] / n - want / want.sum()).max() < 0.012
+
+
+def test_seatings_keep_their_customers():
+    random = np.random.default_rng(2)
+    customers = np.concatenate([random.zipf(1.7, 500).clip(max=100_000), np.zeros(5, dtype=int)]).astype(np.int64)
+    opens = lambda dishes, more: np.maximum(2.0 + 0.5 * more, 0.1)
+    now = Seating.started(customers).seated(opens, 0.7, random).swept(opens, 0.7, random)
+    assert (now.customers == customers).all() and ((now.sizes > 0) | np.repeat(customers == 0, now.tables)).all()
+    other = np.where(customers > 0, np.maximum(customers + random.integers(-3, 4, len(customers)), 1), 0)
+    assert (now.with_customers(other, opens, 0.7, random).customers == other).all()
+
+
+def _plain_scores(texts, held, sweeps=40, seed=0):
+    """Mean predictive probability by token, from a sampler that moves one customer after the other."""
+    import random
+
+    rng = random.Random(seed)
+    tokens = [[*plain.words(t), None] for t in texts]
+    pairs = [[((own[i - 1] if i else None), w) for i, w in enumerate(own)] for own in tokens]
+    train = collections.Counter(x for own, h in zip(pairs, held, strict=True) if not h for x in own)
+    v = len({w for _, w in train})
+    once, twice = (sum(c == k for c in train.values()) for k in (1, 2))
+    d = pitman_yor._discount(once, twice)
+    strength = pitman_yor.STRENGTH
+    child = {x: [] for x in train}  # sizes of tables
+    parent = collections.defaultdict(list)
+    in_context, total = collections.Counter(), collections.Counter()  # tables by context; customers by context
+    state = {"c": 0, "t": 0}
+
+    def single(w):
+        own = parent.get(w, [])
+        return (sum(own) - d * len(own) + (strength + d * state["t"]) / (v + 1)) / (strength + state["c"])
+
+    def move(sizes, opens, by):
+        """Takes a customer out (by = -1) or in; how the number of tables changes."""
+        if by < 0:
+            k = rng.choices(range(len(sizes)), weights=sizes)[0]
+            sizes[k] -= 1
+            if not sizes[k]:
+                del sizes[k]
+                return -1
+            return 0
+        k = rng.choices(range(len(sizes) + 1), weights=[*[x - d for x in sizes], opens])[0]
+        if k == len(sizes):
+            sizes.append(1)
+            return 1
+        sizes[k] += 1
+        return 0
+
+    def step(x, by):
+        u, w = x
+        change = move(child[x], (strength + d * in_context[u]) * single(w), by)
+        in_context[u] += change
+        if change:
+            state["t"] += move(parent[w], (strength + d * state["t"]) / (v + 1), change)
+            state["c"] += change
+
+    for x, c in train.items():
+        for _ in range(c):
+            step(x, 1)
+        total[x[0]] += c
+    sums = [[0.0] * len(own) for own in pairs]
+    for k in range(sweeps):
+        for x, c in train.items():
+            for _ in range(c):
+                step(x, -1)
+                step(x, 1)
+        if k >= sweeps // 4:
+            for own, out in zip(pairs, sums, strict=True):
+                for i, x in enumerate(own):
+                    t = child.get(x, [])
+                    out[i] += (sum(t) - d * len(t) + (strength + d * in_context[x[0]]) * single(x[1])) / (strength + total[x[0]])
+    return [sum(math.log10(p / (sweeps - sweeps // 4)) for p in out) for out in sums]
+
+
+def test_scores_against_a_plain_sampler(spark):
+    import random
+
+    rng = random.Random(4)
+    words = [f"w{int(rng.paretovariate(0.8)) % 300}" for _ in range(4000)]
+    texts = [" ".join(words[i : i + 40]) for i in range(0, 4000, 40)]
+    texts[60] = texts[61]
+    held = [pitman_yor.is_held_out(i) for i in range(len(texts))]
+    want = _plain_scores(texts, held)
+    got = {r.doc_id: r.score for r in pitman_yor.scored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, w in enumerate(want):
+        assert abs(got[i] - w) < 0.04 * abs(w), (i, got[i], w)
+    whole = sum(w for w, h in zip(want, held, strict=True) if h)
+    assert abs(sum(got[i] for i, h in enumerate(held) if h) - whole) < 0.01 * abs(whole)
+
+
+def test_word_hashes_tell_patterns_apart():
+    """Thue-Morse words and their complements, and words that differ in one place of many."""
+    thue = "".join("ab"[bin(i).count("1") % 2] for i in range(4096))
+    other = thue.translate(str.maketrans("ab", "ba"))
+    words = [t[:n] for t in (thue, other) for n in (8, 9, 64, 256, 512, 513, 1024, 4096)] + [("x" * i + "y" + "x" * (40 - i)) for i in range(41)]
+    data = " ".join(words).encode()
+    hashes, counts = common.word_hashes(np.frombuffer(data, dtype=np.uint8), np.array([0, len(data)]))
+    assert counts.tolist() == [len(words)] and len(set(hashes.tolist())) == len(words)
+
+
+def test_patterns_through_the_operators(spark, monkeypatch):
+    thue = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = thue.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, thue), (2, other), (3, " ".join([thue] * 60)), (4, " ".join([other] * 60))], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in shingle_join.joined(docs).collect()} == {1: 1, 2: 2, 3: 3, 4: 4}
+    found = {r.id: [tuple(s) for s in r.later] for r in passages.repeats(docs).collect()}
+    assert found == {3: [(1, 60)], 4: [(1, 60)]}
+    enc = token_shards.WordEncoder(P.path("word_bpe_49k.json"), 2)
+    texts = [thue.encode(), other.encode()]
+    assert list(enc.documents(texts)) == [_library_ids(t.decode()).astype(enc.dtype).tobytes() for t in texts]
+    # words of one hash
+    monkeypatch.setattr(common, "span_hashes", lambda data, begins, ends, fold=True: np.zeros(len(begins), dtype=np.uint64))
+    texts = [b"one two three", b"four two"]
+    assert list(enc.documents(texts)) == [_library_ids(t.decode()).astype(enc.dtype).tobytes() for t in texts]
 
 
 # --- 6, 7
@@ -318,6 +451,29 @@ def test_mix_edges(spark, edge, nothing):
     assert out.columns == edge.columns and sorted(map(str, out.collect())) == sorted(map(str, mixing.mixed(edge.repartition(3)).collect()))
 
 
+def test_clashing_columns_keep_their_values(spark, edge):
+    """Users' columns of the names that operators add stay as they were."""
+    clash = ("n_words", "base_failed", "target", "source_size", "size", "ids", "level", "__limit")
+    text = " ".join(f"the house{i} of word{i}" for i in range(30))
+    df = edge.withColumns({c: F.lit(f"own {c}") for c in clash}).withColumn("text", F.when(F.col("doc_id") == 1, text).otherwise(F.col("text")))
+    for out in (quality.accepted(df), mixing.mixed(df)):
+        assert out.schema == df.schema
+        rows = out.collect()
+        assert rows and all(r[c] == f"own {c}" for r in rows for c in clash) and {r.kept for r in rows} <= {"x", None}
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    out = byte_bpe.decode(byte_bpe.encode(df.withColumn("decoded", F.lit("own")), path, P.PATTERN), path, P.PATTERN).collect()
+    assert len(out) == edge.count() and all(isinstance(r.ids, (bytes, bytearray)) and r.target == "own target" for r in out)
+
+
+def test_settings_of_sizes(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "64m")
+    common.small_batches(spark)
+    assert spark.conf.get(key) == str(common.ARROW_BYTES)
+    spark.conf.set(key, before)
+
+
 # --- 9
 
 
