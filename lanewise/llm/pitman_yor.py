@@ -76,12 +76,16 @@ def _risen(x: bytes) -> np.ndarray:
 
 # --- chunks --------------------------------------------------------------------------
 
-CHUNKS = "chunk long, ids binary, nulls binary, held binary, counts binary, words binary, seen binary, pair_word binary, pair_context binary, pair_seen binary, pairs binary"
+CHUNKS = "chunk long, ids binary, nulls binary, held binary, counts binary, tokens binary, words binary, seen binary"
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers of four bytes, all lowest bytes first, which compresses better."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each CHUNK_BYTES of texts: documents, the words' hashes (ordered), distinct pairs in order of word and word before,
-    how often words and pairs are in training texts, and the number of each token's pair."""
+    """A row for each CHUNK_BYTES of texts: documents, tokens by number, the words' hashes (ordered) and how often each is in training texts."""
     base, made = TaskContext.get().partitionId() << 32, 0
     held: list[tuple] = []
     size = 0
@@ -95,18 +99,9 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = counts + 1
         out = np.array([is_held_out(x) for x in ids], dtype=bool)
         words, tokens = common.numbered(hashes)
-        before = np.empty(len(tokens), dtype=np.int64)
-        before[1:] = tokens[:-1]
-        before[np.cumsum(counts) - counts] = np.searchsorted(words, U64(END))
-        keys, pairs = common.numbered_keys(tokens * len(words) + before)
-        word, context = np.divmod(keys, len(words))
-        trained = np.repeat(~out, counts)
-        seen = np.bincount(pairs[trained], minlength=len(keys))
+        seen = np.bincount(tokens[np.repeat(~out, counts)], minlength=len(words))
         made += 1
-        return _table(CHUNKS, [(
-            base + made - 1, np.array([x or 0 for x in ids], dtype=np.int64).tobytes(), np.array([x is None for x in ids]).tobytes(), out.tobytes(), packed(counts),
-            words.tobytes(), packed(np.bincount(word, weights=seen, minlength=len(words))), _rising(word), context.astype("<u4").tobytes(), packed(seen), pairs.astype("<u4").tobytes(),
-        )])
+        return _table(CHUNKS, [(base + made - 1, np.array([x or 0 for x in ids], dtype=np.int64).tobytes(), np.array([x is None for x in ids]).tobytes(), out.tobytes(), packed(counts), _planes(tokens), words.tobytes(), packed(seen))])
 
     for batch in batches:
         for ids, data, offsets in common.text_blocks(batch.column(0).to_pylist(), batch.column(1)):
@@ -120,6 +115,22 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+class Chunk:
+    def __init__(self, row: dict):
+        read = lambda name, kind: np.frombuffer(row[name], dtype=kind)
+        self.ids, self.nulls, self.held = read("ids", np.int64), read("nulls", bool), read("held", bool)
+        self.counts, self.words = unpacked(row["counts"]), read("words", U64)
+        self.tokens = np.ascontiguousarray(read("tokens", np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words and words before of distinct pairs, in this order, and the number that each token's pair has."""
+        before = np.empty(len(self.tokens), dtype=np.int64)
+        before[1:] = self.tokens[:-1]
+        before[np.cumsum(self.counts) - self.counts] = np.searchsorted(self.words, U64(END))
+        keys, which = common.numbered_keys(self.tokens * len(self.words) + before)
+        return *np.divmod(keys, len(self.words)), which
+
+
 class Plan:
     """Where words and pairs belong: `homes` of words, a grid of `cells` for pairs. Homes are ranges of hashes."""
 
@@ -180,7 +191,9 @@ def _pair_posts(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.Re
         return names, number[own]
 
     for row in common.rows(batches):
-        words, word, context, counts = np.frombuffer(row["words"], dtype=U64), _risen(row["pair_word"]), np.frombuffer(row["pair_context"], dtype="<u4"), unpacked(row["pair_seen"])
+        chunk = Chunk(row)
+        words, (word, context, which) = chunk.words, chunk.pairs()
+        counts = np.bincount(which[np.repeat(~chunk.held, chunk.counts)], minlength=len(word))
         flag, number = np.zeros(len(words), dtype=bool), np.empty(len(words), dtype=np.int64)
         cell = plan.cell(words, word, context)
         order = np.argsort(cell, kind="stable")
@@ -388,19 +401,18 @@ RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 def _scores(batches: Iterator[pa.RecordBatch], plan: Plan, n: int, v: int) -> Iterator[pa.RecordBatch]:
     """Rows stand by chunk: the chunk itself (kind 0), counts of its words by home (1), probabilities of its pairs by cell (2)."""
     for _, rows in common.grouped(batches, "chunk"):
-        own = rows[0]
-        read = lambda name, kind: np.frombuffer(own[name], dtype=kind)  # noqa: E731, B023
-        words, word, context, pairs = read("words", U64), _risen(own["pair_word"]), read("pair_context", "<u4"), read("pairs", "<u4")
+        chunk = Chunk(rows[0])
+        word, context, which = chunk.pairs()
         counts = np.concatenate([unpacked(r["seen"]) for r in rows if r["kind"] == 1])
         pair = np.empty(len(word))
-        pair[np.argsort(plan.cell(words, word, context), kind="stable")] = np.concatenate([np.frombuffer(r["pair"], dtype="<f4") for r in rows if r["kind"] == 2])
-        size = unpacked(own["counts"])
+        pair[np.argsort(plan.cell(chunk.words, word, context), kind="stable")] = np.concatenate([np.frombuffer(r["pair"], dtype="<f4") for r in rows if r["kind"] == 2])
+        size = chunk.counts
         begins = np.cumsum(size) - size
-        total = lambda by_word: np.add.reduceat(by_word[word][pairs], begins)  # noqa: E731, B023
-        score = np.add.reduceat(pair[pairs], begins)
+        total = lambda by_word: np.add.reduceat(by_word[chunk.tokens], begins)  # noqa: E731, B023
+        score = np.add.reduceat(pair[which], begins)
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(read("ids", np.int64), pa.int64(), mask=read("nulls", bool)), pa.array(read("held", bool)), pa.array(size), pa.array(total((counts > 0).astype(np.int64))),
+                pa.array(chunk.ids, pa.int64(), mask=chunk.nulls), pa.array(chunk.held), pa.array(size), pa.array(total((counts > 0).astype(np.int64))),
                 pa.array(np.full(len(begins), n)), pa.array(total(np.log10((counts + 1) / (n + v + 1)))), pa.array(score), pa.array(10.0 ** np.minimum(-score / size, 300)),
             ],
             names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"],
@@ -431,7 +443,7 @@ def _scored(docs: DataFrame) -> DataFrame:
     words = common.staged(common.map_arrow(together(posts, "home", "chunk"), _word_counts, WORD_COUNTS), "words")
     v, n = (int(x or 0) for x in words.agg(F.sum("v"), F.sum("n")).first())
 
-    posts = common.map_arrow(chunks.select("chunk", "words", "pair_word", "pair_context", "pair_seen"), lambda b: _pair_posts(b, plan), PAIR_POSTS)
+    posts = common.map_arrow(chunks.drop("seen"), lambda b: _pair_posts(b, plan), PAIR_POSTS)
     cells = common.staged(common.map_arrow(together(posts, "cell", "chunk"), lambda b: _summed(b, plan), CELLS), "cells", by="kind")
     of_kind = lambda df, k, *names: df.where(F.col("kind") == k).select("kind", *names)
     n1, n2 = (int(x or 0) for x in cells.where(F.col("kind") == PAIRS).agg(F.sum("n1"), F.sum("n2")).first())
@@ -468,7 +480,7 @@ def _scored(docs: DataFrame) -> DataFrame:
     answers = common.staged(common.map_arrow(rows, lambda b: _answers(b, samples), ANSWERS), "answers")
     common.unstage(cells)
     kind = lambda df, k: df.withColumn("kind", F.lit(k))
-    both = union([kind(chunks.drop("seen", "pair_seen"), 0), kind(words.select("chunk", "home", "seen"), 1), kind(answers, 2)])
+    both = union([kind(chunks.drop("seen"), 0), kind(words.select("chunk", "home", "seen"), 1), kind(answers, 2)])
     return common.map_arrow(together(both, "chunk", "kind", "home", "cell"), lambda b: _scores(b, plan, n, v), RESULT)
 
 
