@@ -1,4 +1,7 @@
-"""Exact column arithmetic: sums by decimal place, then one pass of carries and borrows.
+"""Exact column arithmetic: sums by place, then one pass of carries and borrows.
+
+Up to 18 digits a place is a limb of nine decimal digits and all is plain expressions in generated
+code; digits are parted only where asked for. Beyond that places are digits in arrays.
 
 A result that can't be written in 2 * dmax places without a sign is refused, with the reason:
 `operand too wide`, `negative`, `too wide`, or `no operand`.  Digits of refused rows are null."""
@@ -64,8 +67,51 @@ def _places(digits: Column) -> Column:
     return F.transform(F.split(F.reverse(digits), ""), lambda c: c.cast("bigint"))
 
 
+LIMB, LIMB_DIGITS = 10**9, 9
+
+
+def _limbs(digits: Column) -> tuple[Column, Column]:
+    """The lower and the upper nine of up to 18 digits."""
+    whole = F.lpad(digits, 2 * LIMB_DIGITS, "0")
+    return F.substring(whole, LIMB_DIGITS + 1, LIMB_DIGITS).cast("bigint"), F.substring(whole, 1, LIMB_DIGITS).cast("bigint")
+
+
+def _limb_sums(a: Column, b: Column, op: str) -> list[Column]:
+    """Sums by limb, the lowest first, no carry made yet."""
+    (a0, a1), (b0, b1) = _limbs(a), _limbs(b)
+    zero = F.lit(0).cast("bigint")
+    if op == "add":
+        return [a0 + b0, a1 + b1, zero, zero]
+    if op == "sub":
+        return [a0 - b0, a1 - b1, zero, zero]
+    return [a0 * b0, a0 * b1 + a1 * b0, a1 * b1, zero]
+
+
+def _calculated(a: Column, b: Column, op: str, dmax: int) -> Column:
+    """calculate() by limbs; nulls of operands that are refused run through."""
+    x, y = as_digits(a), as_digits(b)
+    first = F.when(x.isNull() | y.isNull(), "no operand").when((F.length(x) > dmax) | (F.length(y) > dmax), "operand too wide")
+    limb, carry, text = F.lit(LIMB).cast("bigint"), F.lit(0).cast("bigint"), []
+    for s in _limb_sums(F.when(F.length(x) <= dmax, x), F.when(F.length(y) <= dmax, y), op):
+        t = s + carry
+        text.append(F.lpad(F.pmod(t, limb).cast("string"), LIMB_DIGITS, "0"))
+        # a difference borrows one at most
+        carry = F.shiftright(t, 63) if op == "sub" else F.call_function("div", t, limb)
+    whole = F.regexp_replace(F.concat(*reversed(text)), "^0+(?=.)", "")
+    reason = F.coalesce(first, F.when(carry < 0, "negative").when((carry > 0) | (F.length(whole) > 2 * dmax), "too wide"))
+    result = F.when(reason.isNull(), whole)
+    return F.struct(result.alias("result"), _places(F.lpad(result, 2 * dmax, "0")).alias("digits"), reason.isNotNull().alias("refused"), reason.alias("reason"))
+
+
 def calculate(a: Column, b: Column, op: str, dmax: int = 16) -> Column:
     """Two integers -> struct(result string, digits, refused, reason), by place."""
+    if op not in OPS:
+        raise ValueError(f"unknown operation {op!r}; there are {', '.join(OPS)}")
+    return _calculated(a, b, op, dmax) if dmax <= 2 * LIMB_DIGITS else calculate_by_digit(a, b, op, dmax)
+
+
+def calculate_by_digit(a: Column, b: Column, op: str, dmax: int = 16) -> Column:
+    """calculate() with a place for each digit, for operands of any width."""
 
     def finished(t: Column) -> Column:
         text = F.when(t["reason"].isNull(), t["state"]["text"])

@@ -78,6 +78,16 @@ def generate(spark: SparkSession, split: str, cells: tuple[str, ...], ops: tuple
     return arithmetic(spark, split, cells, ops, per_cell, seed).unionByName(off_rows(spark, split, n_off, seed, total)).select(*COLUMNS)
 
 
+def planned(spark: SparkSession, per_cell: dict[str, int], off_share: float = 0.25, train_cells: tuple[str, ...] = C.TRAIN_CELLS, eval_cells: tuple[str, ...] = C.EVAL_CELLS, ops: tuple[str, ...] = OPS, seed: int = 0) -> DataFrame:
+    """The corpus of several splits with their name in `split`: `per_cell` problems for each operation and cell, and a share of that many off rows."""
+    out = None
+    for split, n in per_cell.items():
+        cells = train_cells if split == "train" else eval_cells
+        rows = generate(spark, split, cells, ops, n, int(off_share * n * len(cells) * len(ops)), seed).withColumn("split", F.lit(split))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def violations(problems: DataFrame) -> DataFrame:
     """Rows whose prompt's numbers don't match their roles and operands, with the reason."""
     runs = F.regexp_extract_all("prompt", F.lit("[0-9]+"), 0)
@@ -94,7 +104,7 @@ def violations(problems: DataFrame) -> DataFrame:
 def epoch(problems: DataFrame, seed: int, number: int, size: int) -> DataFrame:
     """Rows in an epoch's order with their batch; an incomplete last batch is left out.
 
-    Batches come from ranks within 1024 hash buckets and the buckets' totals, so no task orders all rows."""
+    Batches come from ranks within 4096 hash buckets and the buckets' totals, so no task orders all rows."""
     from pyspark.sql import Window
 
     key = F.md5(F.concat_ws(":", F.lit(seed), F.lit(number), "seq"))

@@ -5,7 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.lanes import lanes_lsd
+from ..functions.lanes import lanes_lsd, let
+
+
+def longest_run(text: Column, pattern: str) -> Column:
+    """struct(start, len) of the longest run of characters of a class, the earliest of equals; null where there is none. Inside the row: starts follow from the lengths of runs and of what lies between."""
+    runs, gaps = F.regexp_extract_all(text, F.lit(f"{pattern}+"), 0), F.split(text, f"{pattern}+")
+
+    def over(both: Column) -> Column:
+        none = F.expr("named_struct('at', 0, 'i', 0, 'start', -1, 'len', 0)")
+
+        def step(state: Column, run: Column) -> Column:
+            start, n = state["at"] + F.length(F.get(both["gaps"], state["i"])), F.length(run)
+            better = n > state["len"]
+            return F.struct((start + n).alias("at"), (state["i"] + 1).alias("i"), F.when(better, start).otherwise(state["start"]).alias("start"), F.greatest(n, state["len"]).alias("len"))
+
+        return F.aggregate(both["runs"], none, step, lambda s: F.when(s["len"] > 0, F.struct(s["start"].alias("start"), s["len"].alias("len"))))
+
+    return let(F.struct(runs.alias("runs"), gaps.alias("gaps")), over)
 
 
 def tagged_characters(texts: DataFrame, key: str, text: str, classes: dict[int, str]) -> DataFrame:

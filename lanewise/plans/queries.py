@@ -157,8 +157,7 @@ def digit_runs(spark, sf_dir):
 
 @query(f"SELECT doc_id, start, len FROM ({_RUNS_SQL})")
 def run_islands(spark, sf_dir):
-    tags = spans.tagged_characters(documents(spark, sf_dir), "doc_id", "text", {1: "[0-9]"})
-    return spans.islands(tags, "doc_id").select("doc_id", "start", "len")
+    return _runs(spark, sf_dir).select("doc_id", "start", "len")
 
 
 @query("SELECT doc_id, coalesce(nullif(ltrim(run, '0'), ''), '0') AS value, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+')) AS run FROM documents) GROUP BY ALL")
@@ -168,21 +167,20 @@ def run_values(spark, sf_dir):
 
 
 @query(f"""
-SELECT doc_id, start, array_to_string(list_transform(range(16), lambda k: CASE WHEN k < len THEN run[len - k] ELSE '0' END), ',') AS digits
-FROM ({_RUNS_SQL}) WHERE len <= 16""")
+SELECT doc_id, start, CASE WHEN length(v) <= 16 THEN array_to_string(list_transform(range(16), lambda k: CASE WHEN k < length(v) THEN v[length(v) - k] ELSE '0' END), ',') END AS digits, length(v) > 16 AS refused
+FROM (SELECT *, coalesce(nullif(ltrim(run, '0'), ''), '0') AS v FROM ({_RUNS_SQL}))""")
 def digits_lsd(spark, sf_dir):
-    rows = _runs(spark, sf_dir).where(F.col("len") <= 16)
-    # leading zeros are digits of a run too
-    own = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.coalesce(F.get(lanes.natural_digits(F.col("run")), k), F.lit(0).cast("bigint")).cast("string"))
-    return rows.select("doc_id", "start", F.array_join(own, ",").alias("digits"))
+    """Digits of every run; one wider than the lanes is a refused row."""
+    rows = _runs(spark, sf_dir).withColumn("own", lanes.digits_lsd(F.col("run"), 16))
+    return rows.select("doc_id", "start", F.array_join(F.col("own").cast("array<string>"), ",").alias("digits"), F.col("own").isNull().alias("refused"))
 
 
 @query(f"""
-SELECT doc_id, start, array_to_string(list_transform(range(16), lambda k: CAST(CASE WHEN k < len THEN start + len - 1 - k ELSE -1 END AS VARCHAR)), ',') AS lanes
-FROM ({_RUNS_SQL}) WHERE len <= 16""")
+SELECT doc_id, start, CASE WHEN len <= 16 THEN array_to_string(list_transform(range(16), lambda k: CAST(CASE WHEN k < len THEN start + len - 1 - k ELSE -1 END AS VARCHAR)), ',') END AS lanes, len > 16 AS refused
+FROM ({_RUNS_SQL})""")
 def lane_positions(spark, sf_dir):
     own = lanes.lanes_lsd(F.col("start"), F.col("len"), 16)
-    return _runs(spark, sf_dir).where(F.col("len") <= 16).select("doc_id", "start", F.array_join(own.cast("array<string>"), ",").alias("lanes"))
+    return _runs(spark, sf_dir).withColumn("own", own).select("doc_id", "start", F.array_join(F.col("own").cast("array<string>"), ",").alias("lanes"), F.col("own").isNull().alias("refused"))
 
 
 _CLASSES_SQL = """
@@ -198,8 +196,8 @@ GROUP BY doc_id, cls, island"""
 SELECT doc_id, CAST(cls AS INTEGER) AS cls, CAST(start AS INTEGER) AS start, CAST(len AS INTEGER) AS len FROM (
   SELECT *, row_number() OVER (PARTITION BY doc_id, cls ORDER BY len DESC, start) AS rank FROM ({_CLASSES_SQL})) WHERE rank = 1""")
 def longest_span(spark, sf_dir):
-    tags = spans.tagged_characters(documents(spark, sf_dir), "doc_id", "text", {1: "[0-9]", 2: "[A-Za-z]"})
-    return spans.longest(spans.islands(tags, "doc_id"), "doc_id")
+    each = F.array(*[F.struct(F.lit(c).alias("cls"), spans.longest_run(F.col("text"), p).alias("run")) for c, p in ((1, "[0-9]"), (2, "[A-Za-z]"))])
+    return documents(spark, sf_dir).select("doc_id", F.inline(each)).where("run IS NOT NULL").select("doc_id", "cls", "run.start", "run.len")
 
 
 @query("""
@@ -235,7 +233,12 @@ def split_counts(spark, sf_dir):
     return _split(spark, sf_dir).groupBy("op", "split").agg(F.count("*").alias("n"))
 
 
-@query("SELECT CAST(0 AS BIGINT) AS shared")
+_PROBLEM_SPLIT_SQL = _SPLIT_SQL.replace("SELECT l_orderkey,", "SELECT l_partkey, l_orderkey,", 1)
+
+
+@query(f"""
+SELECT count(*) AS shared FROM (SELECT op, l_orderkey, l_partkey FROM ({_PROBLEM_SPLIT_SQL}) WHERE split = 'train'
+  INTERSECT SELECT op, l_orderkey, l_partkey FROM ({_PROBLEM_SPLIT_SQL}) WHERE split = 'test')""")
 def split_disjoint(spark, sf_dir):
     rows = _split(spark, sf_dir).select("op", "l_orderkey", "l_partkey", "split")
     both = rows.where("split = 'train'").drop("split").intersect(rows.where("split = 'test'").drop("split"))
@@ -311,7 +314,10 @@ def corpus_union(spark, sf_dir):
     return _texts(_problems(spark))
 
 
-@query("SELECT CAST(0 AS BIGINT) AS n")
+@query(f"""
+SELECT count(*) AS n FROM (
+  SELECT u.*, regexp_extract_all(prompt, '[0-9]+') AS v, regexp_extract_all(template, '\\{{(a|b|d1|d2)\\}}', 1) AS r FROM ({_UNION_SQL}) u JOIN {_TEMPLATES_SQL} ON u.op = t.op AND u.tmpl = t.tmpl)
+WHERE len(v) <> len(r) OR (op <> 'off' AND (v[list_position(r, 'a')] <> a OR v[list_position(r, 'b')] <> b)) OR (op = 'sub' AND CAST(a AS HUGEINT) < CAST(b AS HUGEINT))""")
 def corpus_violations(spark, sf_dir):
     return problems.violations(_problems(spark)).agg(F.count("*").alias("n"))
 
@@ -358,15 +364,28 @@ def answer_lanes(spark, sf_dir):
     return batches.build(_problems(spark)).select("seq", _joined("w_pos"), _joined("w_tok"))
 
 
-_PLACED_SQL = f"SELECT *, strpos(regexp_replace(prompt, '[^0-9]', ' ', 'g') || ' ', ' ' || a || ' ') AS a_at, strpos(regexp_replace(prompt, '[^0-9]', ' ', 'g') || ' ', ' ' || b || ' ') AS b_at FROM (SELECT seq, op, a, b, ' ' || prompt AS prompt FROM ({_UNION_SQL}))"
+# the operand's number among the prompt's numbers is its slot's among the template's
+_PLACED_SQL = f"""
+SELECT seq, u.op, prompt, a, b, list_position(r, 'a') AS a_slot, list_position(r, 'b') AS b_slot, regexp_split_to_array(prompt, '[0-9]+') AS gaps, regexp_extract_all(prompt, '[0-9]+') AS v
+FROM (SELECT u.*, regexp_extract_all(template, '\\{{(a|b|d1|d2)\\}}', 1) AS r FROM ({_UNION_SQL}) u JOIN {_TEMPLATES_SQL} ON u.op = t.op AND u.tmpl = t.tmpl) u"""
+
+
+def _at_sql(slot: str) -> str:
+    return f"(list_sum(list_transform(gaps[1:{slot}], lambda x: length(x))) + coalesce(list_sum(list_transform(v[1:{slot} - 1], lambda x: length(x))), 0))"
 
 
 @query(f"""
-SELECT seq, {_list_sql("length(prompt) - 1", "CASE WHEN op = 'off' THEN -100 WHEN k + 1 >= a_at AND k + 1 < a_at + length(a) THEN 1 WHEN k + 1 >= b_at AND k + 1 < b_at + length(b) THEN 2 ELSE 0 END")} AS span_labels
-FROM ({_PLACED_SQL}) WHERE op = 'off' OR a <> b""")
+SELECT seq, {_list_sql("length(prompt)", "CASE WHEN op = 'off' THEN -100 WHEN k >= a_at AND k < a_at + length(a) THEN 1 WHEN k >= b_at AND k < b_at + length(b) THEN 2 ELSE 0 END")} AS span_labels
+FROM (SELECT *, {_at_sql("a_slot")} AS a_at, {_at_sql("b_slot")} AS b_at FROM ({_PLACED_SQL}))""")
 def span_labels(spark, sf_dir):
-    rows = _problems(spark).where("op = 'off' OR a <> b")
-    return batches.build(rows).select("seq", _joined("span_labels"))
+    return batches.build(_problems(spark)).select("seq", _joined("span_labels"))
+
+
+@query(f"""
+SELECT seq, {_list_sql("16", "CASE WHEN op <> 'off' AND k < length(a) THEN CAST(a[length(a) - k] AS INTEGER) ELSE -100 END")} AS a_dig, {_list_sql("16", "CASE WHEN op <> 'off' AND k < length(b) THEN CAST(b[length(b) - k] AS INTEGER) ELSE -100 END")} AS b_dig
+FROM ({_UNION_SQL})""")
+def digit_targets(spark, sf_dir):
+    return batches.build(_problems(spark)).select("seq", _joined("a_dig"), _joined("b_dig"))
 
 
 @query(f"""
@@ -596,3 +615,102 @@ def linear_fit(spark, sf_dir):
     model = LogisticRegression(family="multinomial", maxIter=30, regParam=0.01).fit(rows)
     weights = model.coefficientMatrix.toArray().tolist()
     return spark.createDataFrame([(i, w, float(b)) for i, (w, b) in enumerate(zip(weights, model.interceptVector.toArray().tolist(), strict=True))], "cls int, weights array<double>, bias double")
+
+
+# --- the rest of the inventory --------------------------------------------------------
+
+PLAN = {"train": 12, "val": 6, "test": 6}
+_PLAN_SQL = " UNION ALL ".join(
+    f"SELECT '{split}' AS split, op, cell, CAST({n} AS BIGINT) AS n FROM (VALUES {', '.join(f"('{o}')" for o in calc.OPS)}) AS o(op), (VALUES {', '.join(f"('{c}')" for c in (corpus.TRAIN_CELLS if split == 'train' else corpus.EVAL_CELLS))}) AS c(cell)"
+    f" UNION ALL SELECT '{split}', 'off', '', {int(0.25 * n * len(calc.OPS) * len(corpus.TRAIN_CELLS if split == 'train' else corpus.EVAL_CELLS))}"
+    for split, n in PLAN.items()
+)
+
+
+@query(_PLAN_SQL)
+def corpus_plan(spark, sf_dir):
+    """Rows of all splits that lie in their split and hold the right answer, by split, operation and cell."""
+    rows = problems.planned(spark, PLAN)
+    right = F.col("ans") == calc.by_operation(F.col("op"), {o: calc.exact_answer(F.col("a"), F.col("b"), o) for o in calc.OPS})
+    fits = (F.col("op") == "off") | (right & (corpus.split_of(F.col("op"), F.col("a"), F.col("b")) == F.col("split")))
+    return rows.where(fits).groupBy("split", "op", "cell").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, count(*) AS tokens, count(*) FILTER (regexp_full_match(t, '[0-9]')) AS digits FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]|[^0-9]+')) AS t FROM documents) GROUP BY doc_id")
+def digit_token_counts(spark, sf_dir):
+    rows = documents(spark, sf_dir).select("doc_id", F.explode(locate.digit_tokens(F.col("text"))).alias("t"))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("tokens"), F.count_if(locate.is_digit(F.col("t"))).alias("digits"))
+
+
+@query("SELECT vec_id, array_to_string(list_transform(range(3), lambda i: list_position(embedding[i * 10 + 1:i * 10 + 10], list_max(embedding[i * 10 + 1:i * 10 + 10])) - 1), ',') AS digits FROM embeddings")
+def hard_digits(spark, sf_dir):
+    rows = tables.parquet(spark, sf_dir, "embeddings")
+    own = lanes.hard_digits(F.array(*[F.slice("embedding", i * 10 + 1, 10) for i in range(3)]))
+    return rows.select("vec_id", F.array_join(own.cast("array<string>"), ",").alias("digits"))
+
+
+@query(f"SELECT l_orderkey, l_linenumber, NOT ({_mark_sql('digit', 10)}) AS matches FROM lineitem")
+def all_positions_match(spark, sf_dir):
+    """Digits of a sum against predicted digits, one place wrong in some rows."""
+    gold = lanes.digits_lsd(F.col("l_orderkey") + F.col("l_partkey"), 16)
+    wrong = corpus.hash_number(F.concat_ws(":", F.lit("digit"), *KEY), 8) % 100 < 10
+    rows = lineitem(spark, sf_dir).withColumn("gold", gold).withColumn("wrong", wrong)
+    predicted = F.transform("gold", lambda d, i: F.when(F.col("wrong") & (i == F.col("l_linenumber")), (d + 1) % 10).otherwise(d))
+    return rows.select(*KEY, reports.all_match(F.col("gold"), predicted).alias("matches"))
+
+
+@query(f"""
+SELECT op, cell, n, block, CAST(row_number() OVER (ORDER BY list_position(['add', 'sub', 'mul', 'off'], op), TRY_CAST(string_split(cell, 'x')[1] AS INTEGER) NULLS FIRST, TRY_CAST(string_split(cell, 'x')[2] AS INTEGER) NULLS FIRST) AS INTEGER) AS place
+FROM (SELECT op, cell, count(*) AS n, round(count(*) FILTER (block) / count(*), 9) AS block FROM ({_PREDICTIONS_SQL}) GROUP BY op, cell)""")
+def accuracy_in_order(spark, sf_dir):
+    report = reports.by_cell(_predictions(spark, sf_dir)).withColumn("cell", F.when(F.col("op") != "off", F.col("cell")))
+    return _rounded(reports.in_order(report, (*calc.OPS, "off")).select("op", F.coalesce("cell", F.lit("")).alias("cell"), "n", "block", "place"))
+
+
+@query(f"SELECT seq, cell, fired FROM ({_PREDICTIONS_SQL}) WHERE op = 'off' ORDER BY seq LIMIT 20")
+def off_row_sample(spark, sf_dir):
+    return reports.off_sample(_predictions(spark, sf_dir), 20).select("seq", "cell", "fired")
+
+
+@query(f"SELECT l_orderkey, bool_and(NOT {_mark_sql('host', 18)}) AS stopped FROM lineitem GROUP BY l_orderkey")
+def batches_stopped(spark, sf_dir):
+    going = corpus.hash_number(F.concat_ws(":", F.lit("host"), *KEY), 8) % 100 < 18
+    return reports.all_stopped(lineitem(spark, sf_dir), "l_orderkey", ~going)
+
+
+@query(f"""
+SELECT op, cell, count(*) AS n, CASE WHEN op <> 'off' THEN round(count(*) FILTER (host) / count(*), 9) END AS host_greedy,
+       CASE WHEN op <> 'off' THEN round(count(*) FILTER (block) / count(*), 9) END AS block_greedy, CASE WHEN op = 'off' THEN round(count(*) FILTER (fired) / count(*), 9) END AS fire_on_off
+FROM ({_PREDICTIONS_SQL}) GROUP BY op, cell""")
+def greedy_by_cell(spark, sf_dir):
+    """Answers read from decoded texts: the host's ends in a sentence, the block's in other numbers."""
+    decoded = lambda right, tail: F.concat(F.lit(" "), F.when(F.col(right), F.col("seq")).otherwise(F.col("seq") + 1).cast("string"), F.lit(tail))
+    rows = _predictions(spark, sf_dir).withColumn("answer", F.col("seq").cast("string"))
+    return _rounded(reports.greedy(rows.withColumn("host_decoded", decoded("host", ". So")).withColumn("block_decoded", decoded("block", "\n7 8"))))
+
+
+@query(f"SELECT 'head' AS layer, CAST({CLASSES * WIDTH} AS BIGINT) AS parameters UNION ALL SELECT 'gate', {WIDTH}")
+def weights_round_trip(spark, sf_dir):
+    """Weights written as a table and read back, as parameters of each layer."""
+    path = tables.scratch_path(spark, "weights")
+    tables.write_weights(spark, {"head": WEIGHTS, "gate": WEIGHTS[:1]}, path)
+    return reports.parameter_count(spark.read.parquet(path))
+
+
+@query(f"SELECT op, printf('%.4f', count(*) FILTER (block) / count(*)) AS block FROM ({_PREDICTIONS_SQL}) GROUP BY op")
+def metrics_round_trip(spark, sf_dir):
+    """A report written as JSON lines, read back, and formatted for a console."""
+    path = tables.scratch_path(spark, "metrics")
+    report = _predictions(spark, sf_dir).groupBy("op").agg((F.count_if("block") / F.count("*")).alias("block"))
+    tables.write_metrics(report, path)
+    return tables.formatted(spark.read.json(path).select("op", "block"), ["block"])
+
+
+@query(f"""
+SELECT CAST(list_position(logits[1:3], list_max(logits[1:3])) - 1 AS INTEGER) AS op_index, count(*) AS n,
+       count(*) FILTER (list_position(logits[1:4], list_max(logits[1:4])) <= 3 AND vec_id % 5 <> 0 AND vec_id % 7 <> 0) * 1000000 // count(*) AS mean_mass
+FROM ({_LOGITS_SQL}) GROUP BY op_index""")
+def mean_mass(spark, sf_dir):
+    own = heads.routed(F.slice("logits", 1, 4), 3, F.col("vec_id") % 5 == 0, F.col("vec_id") % 7 == 0)
+    rows = _logits(spark, sf_dir).withColumn("r", own)
+    return rows.groupBy("r.op_index").agg(F.count("*").alias("n"), F.floor(F.avg("r.mass") * 1000000 + 1e-6).alias("mean_mass"))

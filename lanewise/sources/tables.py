@@ -17,6 +17,8 @@ PROBLEM = "seq bigint, op string, a decimal(38,0), b decimal(38,0), ans decimal(
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder that the session names, or in a folder of this process where it names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     return f"{(named or 'file://' + _own_folder()).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 

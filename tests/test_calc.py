@@ -19,11 +19,10 @@ def cases():
     return out
 
 
-@pytest.mark.parametrize("native", [False, True])
-def test_matches_python_integers(spark, native):
+@pytest.mark.parametrize("f", [calc.calculate, calc.calculate_by_digit, calc.calculate_native])
+def test_matches_python_integers(spark, f):
     rows = [(i, op, str(a), str(b)) for i, (op, a, b) in enumerate(cases())]
     df = spark.createDataFrame(rows, "i int, op string, a string, b string")
-    f = calc.calculate_native if native else calc.calculate
     for op in calc.OPS:
         got = {r.i: r for r in df.where(F.col("op") == op).withColumn("c", f(F.col("a"), F.col("b"), op)).select("i", "c.result", "c.refused", "c.reason").collect()}
         for i, o, a, b in rows:
@@ -32,9 +31,8 @@ def test_matches_python_integers(spark, native):
                 assert (got[i].result, got[i].refused, got[i].reason) == ((None, True, "negative") if want < 0 else (str(want), False, None))
 
 
-@pytest.mark.parametrize("native", [False, True])
-def test_refusals(spark, native):
-    f = calc.calculate_native if native else calc.calculate
+@pytest.mark.parametrize("f", [calc.calculate, calc.calculate_by_digit, calc.calculate_native])
+def test_refusals(spark, f):
     df = spark.createDataFrame([("3", "10"), ("10", "3"), ("12345", "1"), (None, "1"), ("x", "1"), ("007", "1"), ("1" * 50, "1")], "a string, b string")
     got = [r[0] for r in df.select(f(F.col("a"), F.col("b"), "sub", 4)["reason"]).collect()]
     assert got == ["negative", None, "operand too wide", "no operand", "no operand", None, "operand too wide"]
@@ -59,3 +57,11 @@ def test_lanes(spark):
         lanes.hard_digits(F.array(F.array(F.lit(0.1), F.lit(0.9), F.lit(0.9)))),
     ).first()
     assert list(row) == [[2, 7, 4, 0, 0], None, None, [35, 34, 33, -1, -1], None, [1]]
+
+
+def test_digits_by_limb_and_by_digit(spark):
+    rows = [(str(a), str(b)) for _, a, b in cases()]
+    df = spark.createDataFrame(rows, "a string, b string")
+    for op in calc.OPS:
+        one, other = ([tuple(r) for r in df.select(f(F.col("a"), F.col("b"), op).alias("c")).select("c.digits", "c.reason").collect()] for f in (calc.calculate, calc.calculate_by_digit))
+        assert one == other
