@@ -1,7 +1,8 @@
 """Exact column arithmetic: sums by place, then one pass of carries and borrows.
 
-Up to 18 digits a place is a limb of nine decimal digits and all is plain expressions in generated
-code; digits are parted only where asked for. Beyond that places are digits in arrays.
+Up to 18 digits a place is a limb of nine decimal digits in a bigint; digits are parted only where
+asked for. Beyond that places are digits in arrays. What several expressions read is computed once a
+row by `let`: copies of it would grow past what the JVM compiles.
 
 A result that can't be written in 2 * dmax places without a sign is refused, with the reason:
 `operand too wide`, `negative`, `too wide`, or `no operand`.  Digits of refused rows are null."""
@@ -70,37 +71,47 @@ def _places(digits: Column) -> Column:
 LIMB, LIMB_DIGITS = 10**9, 9
 
 
-def _limbs(digits: Column) -> tuple[Column, Column]:
-    """The lower and the upper nine of up to 18 digits."""
-    whole = F.lpad(digits, 2 * LIMB_DIGITS, "0")
-    return F.substring(whole, LIMB_DIGITS + 1, LIMB_DIGITS).cast("bigint"), F.substring(whole, 1, LIMB_DIGITS).cast("bigint")
-
-
-def _limb_sums(a: Column, b: Column, op: str) -> list[Column]:
+def _limb_sums(s: Column, op: str) -> list[Column]:
     """Sums by limb, the lowest first, no carry made yet."""
-    (a0, a1), (b0, b1) = _limbs(a), _limbs(b)
-    zero = F.lit(0).cast("bigint")
+    a0, a1, b0, b1 = (s[k] for k in ("a0", "a1", "b0", "b1"))
     if op == "add":
-        return [a0 + b0, a1 + b1, zero, zero]
+        return [a0 + b0, a1 + b1]
     if op == "sub":
-        return [a0 - b0, a1 - b1, zero, zero]
-    return [a0 * b0, a0 * b1 + a1 * b0, a1 * b1, zero]
+        return [a0 - b0, a1 - b1]
+    return [a0 * b0, a0 * b1 + a1 * b0, a1 * b1, F.lit(0).cast("bigint")]
 
 
 def _calculated(a: Column, b: Column, op: str, dmax: int) -> Column:
     """calculate() by limbs; nulls of operands that are refused run through."""
-    x, y = as_digits(a), as_digits(b)
-    first = F.when(x.isNull() | y.isNull(), "no operand").when((F.length(x) > dmax) | (F.length(y) > dmax), "operand too wide")
-    limb, carry, text = F.lit(LIMB).cast("bigint"), F.lit(0).cast("bigint"), []
-    for s in _limb_sums(F.when(F.length(x) <= dmax, x), F.when(F.length(y) <= dmax, y), op):
-        t = s + carry
-        text.append(F.lpad(F.pmod(t, limb).cast("string"), LIMB_DIGITS, "0"))
-        # a difference borrows one at most
-        carry = F.shiftright(t, 63) if op == "sub" else F.call_function("div", t, limb)
-    whole = F.regexp_replace(F.concat(*reversed(text)), "^0+(?=.)", "")
-    reason = F.coalesce(first, F.when(carry < 0, "negative").when((carry > 0) | (F.length(whole) > 2 * dmax), "too wide"))
-    result = F.when(reason.isNull(), whole)
-    return F.struct(result.alias("result"), _places(F.lpad(result, 2 * dmax, "0")).alias("digits"), reason.isNotNull().alias("refused"), reason.alias("reason"))
+    limb = F.lit(LIMB).cast("bigint")
+
+    def limbs(d: Column) -> Column:
+        x, y = d["x"], d["y"]
+        wide = (F.length(x) > dmax) | (F.length(y) > dmax)
+        lower = lambda v: F.substring(v, -LIMB_DIGITS, LIMB_DIGITS).cast("bigint")
+        upper = lambda v: F.when(F.length(v) <= LIMB_DIGITS, F.lit(0).cast("bigint")).otherwise(F.left(v, F.length(v) - LIMB_DIGITS).cast("bigint"))
+        first = F.when(x.isNull() | y.isNull(), "no operand").when(wide, "operand too wide")
+        own = F.struct(lower(x).alias("a0"), upper(x).alias("a1"), lower(y).alias("b0"), upper(y).alias("b1"))
+        return F.struct(F.when(first.isNull(), own).alias("of"), first.alias("reason"))
+
+    def whole(d: Column) -> Column:
+        carry, text = F.lit(0).cast("bigint"), []
+        for s in _limb_sums(d["of"], op):
+            t = s + carry
+            text.append(F.lpad(F.pmod(t, limb).cast("string"), LIMB_DIGITS, "0"))
+            # a difference borrows one at most
+            carry = F.shiftright(t, 63) if op == "sub" else F.call_function("div", t, limb)
+        text.append(F.when(carry > 0, carry.cast("string")).otherwise(""))
+        return F.struct(F.regexp_replace(F.concat(*reversed(text)), "^0+(?=.)", "").alias("text"), carry.alias("carry"), d["reason"].alias("reason"))
+
+    def finished(d: Column) -> Column:
+        reason = F.coalesce(d["reason"], F.when(d["carry"] < 0, "negative").when(F.length(d["text"]) > 2 * dmax, "too wide"))
+        return F.struct(F.when(reason.isNull(), d["text"]).alias("result"), reason.alias("reason"))
+
+    def answer(d: Column) -> Column:
+        return F.struct(d["result"].alias("result"), _places(F.lpad(d["result"], 2 * dmax, "0")).alias("digits"), d["reason"].isNotNull().alias("refused"), d["reason"].alias("reason"))
+
+    return answer(let(let(let(F.struct(as_digits(a).alias("x"), as_digits(b).alias("y")), limbs), whole), finished))
 
 
 def calculate(a: Column, b: Column, op: str, dmax: int = 16) -> Column:
