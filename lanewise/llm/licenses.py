@@ -9,7 +9,7 @@ file without a licence of its own has that of the nearest directory above it wit
 file.  Everything is in DataFrame expressions; only notices are exploded to terms.
 
 Null and empty texts have no notices and can only inherit; a null path has no directories.
-Rows that repeat path and text give the same row each.  Of several licence files in a directory
+Rows that repeat path and text give the same row each (they are found by 128 bits of hash).  Of several licence files in a directory
 the one most alike to its template speaks, then the least path.  Other columns pass through; a
 result column replaces one of its name.  Terms of a common notice are counted by partial
 aggregates; templates are a fixed table of a few hundred terms, the only thing broadcast by hint.
@@ -114,7 +114,8 @@ def scanned(files: DataFrame, path: str = "path", text: str = "text") -> DataFra
     """files with own_license, own_score, is_license_file, license and inherited_from (a path)."""
     added = ["own_license", "own_score", "is_license_file", "license", "inherited_from"]
     files = files.drop(*added)
-    key = F.xxhash64(path, text).alias("__key")
+    both = [F.col(path), F.col(path).isNull(), F.col(text), F.col(text).isNull()]
+    key = F.concat_ws("-", F.xxhash64(F.lit(1), *both), F.xxhash64(F.lit(2), *both)).alias("__key")
     words = F.size(_terms(F.coalesce(text, F.lit(""))))
     whole = F.when(F.col(text).rlike(NOTICE), F.filter(F.array(*[F.when(_covered(F.col(text), full), F.lit(name)) for name, full in FULL]), lambda x: x.isNotNull()))
     # lines with notices only; the texts themselves are not shuffled for them
@@ -140,7 +141,7 @@ def scanned(files: DataFrame, path: str = "path", text: str = "text") -> DataFra
 
     own = own.select(F.col("__key").alias("__own"), "own_license", "own_score", "is_license_file")
     own = own.dropDuplicates(["__own"])
-    out = files.withColumn("__key", F.xxhash64(path, text)).withColumn("__folder", folder(F.col(path)))
+    out = files.withColumn("__key", key).withColumn("__folder", folder(F.col(path)))
     out = out.join(own, F.col("__key") == F.col("__own"), "left").join(nearest, "__folder", "left")
     inherits = F.col("own_license").isNull()
     return out.select(

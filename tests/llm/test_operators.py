@@ -122,6 +122,12 @@ def test_license_inheritance(spark):
     ])
 
 
+def test_license_of_null_path_or_text(spark):
+    mit = "Released under the MIT License."
+    got = {(r.path, r.text): r.own_license for r in licenses.scanned(spark.createDataFrame([(None, mit), (mit, None), (None, None)], "path string, text string")).collect()}
+    assert got == {(None, mit): "MIT", (mit, None): None, (None, None): None}
+
+
 def test_license_files_of_many_lines(spark):
     import textwrap
 
