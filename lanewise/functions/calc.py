@@ -81,7 +81,7 @@ def _limb_sums(s: Column, op: str) -> list[Column]:
     return [a0 * b0, a0 * b1 + a1 * b0, a1 * b1, F.lit(0).cast("bigint")]
 
 
-def _calculated(a: Column, b: Column, op: str, dmax: int) -> Column:
+def _calculated(a: Column, b: Column, op: str, dmax: int, digits: bool) -> Column:
     """calculate() by limbs; nulls of operands that are refused run through."""
     limb = F.lit(LIMB).cast("bigint")
 
@@ -109,16 +109,17 @@ def _calculated(a: Column, b: Column, op: str, dmax: int) -> Column:
         return F.struct(F.when(reason.isNull(), d["text"]).alias("result"), reason.alias("reason"))
 
     def answer(d: Column) -> Column:
-        return F.struct(d["result"].alias("result"), _places(F.lpad(d["result"], 2 * dmax, "0")).alias("digits"), d["reason"].isNotNull().alias("refused"), d["reason"].alias("reason"))
+        places = [_places(F.lpad(d["result"], 2 * dmax, "0")).alias("digits")] * digits
+        return F.struct(d["result"].alias("result"), *places, d["reason"].isNotNull().alias("refused"), d["reason"].alias("reason"))
 
-    return answer(let(let(let(F.struct(as_digits(a).alias("x"), as_digits(b).alias("y")), limbs), whole), finished))
+    return let(let(let(let(F.struct(as_digits(a).alias("x"), as_digits(b).alias("y")), limbs), whole), finished), answer)
 
 
-def calculate(a: Column, b: Column, op: str, dmax: int = 16) -> Column:
-    """Two integers -> struct(result string, digits, refused, reason), by place."""
+def calculate(a: Column, b: Column, op: str, dmax: int = 16, digits: bool = True) -> Column:
+    """Two integers -> struct(result string, digits, refused, reason), by place; the digits only if asked for."""
     if op not in OPS:
         raise ValueError(f"unknown operation {op!r}; there are {', '.join(OPS)}")
-    return _calculated(a, b, op, dmax) if dmax <= 2 * LIMB_DIGITS else calculate_by_digit(a, b, op, dmax)
+    return _calculated(a, b, op, dmax, digits) if dmax <= 2 * LIMB_DIGITS else calculate_by_digit(a, b, op, dmax)
 
 
 def calculate_by_digit(a: Column, b: Column, op: str, dmax: int = 16) -> Column:

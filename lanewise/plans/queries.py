@@ -39,7 +39,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _calculated(rows: DataFrame, a: str, b: str, op: str, dmax: int = DMAX, native: bool = False) -> DataFrame:
-    own = (calc.calculate_native if native else calc.calculate)(F.col(a), F.col(b), op, dmax)
+    own = calc.calculate_native(F.col(a), F.col(b), op, dmax) if native else calc.calculate(F.col(a), F.col(b), op, dmax, digits=False)
     return rows.withColumn("c", own).select(*KEY, "c.result", "c.refused", "c.reason")
 
 
