@@ -14,7 +14,7 @@ A key is a document's id with the count of equal ids before it, so repeated rows
 place each.  A lookup hashes the key to a bucket, the bucket's seed (or fixed slot) gives
 the slot, the stored fingerprint rejects keys that are not there, and the slot names the
 document: constant time.  The manifest, one line per shard, gives each shard's first key and
-the ids before it; it has as many lines as there are shards.
+the ids before it; it has as many lines as there are shards.  `Shards` finds a key's shard by it.
 
 Shards are cut by ranges of doc_id, nulls first, written under a name of the task attempt and
 renamed at the end, so a task that runs twice leaves one file.  Null and empty texts hold the
@@ -23,6 +23,7 @@ end id alone; an empty table gives no shard.  Columns but the id and the text ar
 
 from __future__ import annotations
 
+import bisect
 import json
 import struct
 import unicodedata
@@ -35,6 +36,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import common
 from .common import mix_int
@@ -43,6 +45,7 @@ MAGIC, VERSION = b"LWTOKENS", 1
 TRAILER = struct.Struct("<8sIIQQQ24x")
 GOLD = 0x9E3779B97F4A7C15
 CACHE_WORDS, BLOCK_BYTES = 1_200_000, 3 << 20
+AHEAD_IDS = 1 << 20
 PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -233,9 +236,11 @@ def _file_system(uri: str) -> tuple[pafs.FileSystem, str]:
 class Shard:
     """An open shard; `find` gives one document's ids by key."""
 
-    def __init__(self, uri: str):
+    def __init__(self, uri: str, ahead: int = 0):
+        """ahead: for documents read in order, at least so many ids are fetched at once."""
         fs, path = _file_system(uri)
         self.file = fs.open_input_file(path)
+        self.ahead, self.held_at, self.held = ahead, 0, b""
         size = self.file.size()
         magic, version, self.width, self.n, self.n_ids, buckets = TRAILER.unpack(self.file.read_at(TRAILER.size, size - TRAILER.size))
         if magic != MAGIC or version != VERSION:
@@ -252,23 +257,51 @@ class Shard:
         self.seeds, self.slots, self.prints = array("<i8", buckets), array("<u4", self.n), array("<u4", self.n)
 
     def number(self, key: int | None, nth: int = 0) -> int | None:
-        """Which document has this key."""
+        """Which document has this key; the fingerprint turns other keys away, and the stored key settles it."""
         if not self.n:
             return None
         h = key_hash(key, nth)
         seed = int(self.seeds[h % len(self.seeds)])
         slot = -1 - seed if seed < 0 else _slot(h, seed, self.n)
-        return int(self.slots[slot]) if int(self.prints[slot]) == h >> 32 else None
+        if int(self.prints[slot]) != h >> 32:
+            return None
+        i = int(self.slots[slot])
+        return i if (None if self.nulls[i] else int(self.keys[i])) == key else None
 
     def ids(self, number: int) -> np.ndarray:
-        a, b = int(self.starts[number]), int(self.starts[number + 1])
-        return np.frombuffer(self.file.read_at((b - a) * self.width, a * self.width), dtype=f"<u{self.width}").astype("<u4")
+        a, b = int(self.starts[number]) * self.width, int(self.starts[number + 1]) * self.width
+        if a < self.held_at or b > self.held_at + len(self.held):
+            size = min(max(b - a, self.ahead * self.width), self.n_ids * self.width - a)
+            self.held_at, self.held = a, self.file.read_at(size, a)
+        return np.frombuffer(self.held, dtype=f"<u{self.width}", offset=a - self.held_at, count=(b - a) // self.width).astype("<u4")
 
     def find(self, key: int | None, nth: int = 0) -> np.ndarray | None:
         number = self.number(key, nth)
         return None if number is None else self.ids(number)
 
 
+def _nulls_first(key: int | None) -> tuple[bool, int]:
+    return key is not None, key or 0
+
+
+class Shards:
+    """All shards of a folder: the manifest tells which one may hold a key, that one's index where. Opened shards stay open."""
+
+    def __init__(self, folder: str):
+        self.folder, self.lines, self.open = folder, read_manifest(folder), {}
+        self.firsts = [_nulls_first(x["first_key"]) for x in self.lines]
+
+    def find(self, key: int | None, nth: int = 0) -> np.ndarray | None:
+        """The ids of the nth document of this key; None where there is none."""
+        at = bisect.bisect_right(self.firsts, _nulls_first(key)) - 1
+        if at < 0:
+            return None
+        name = self.lines[at]["name"]
+        if name not in self.open:
+            self.open[name] = Shard(f"{self.folder}/{name}")
+        return self.open[name].find(key, nth)
+
+
 def _occurrences(keys: list) -> list[int]:
     """How many equal keys stand before each; equal keys stand together."""
     out = []
@@ -308,8 +341,6 @@ def write_shards(df: DataFrame, folder: str, path: str, end_id: int, shards: int
         fs.move(part, f"{base}/{name}")
         yield pa.RecordBatch.from_pydict({"shard": pa.array([task.partitionId()], pa.int32()), "name": [name], "first_key": pa.array([keys[0]], pa.int64()), "n_docs": pa.array([len(keys)], pa.int64()), "n_ids": pa.array([starts[-1]], pa.int64())})
 
-    from pyspark.sql import functions as F
-
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     rows = rows.repartitionByRange(shards or common.n_buckets(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     done = common.map_arrow(rows, run, "shard int, name string, first_key long, n_docs long, n_ids long").collect()
@@ -336,7 +367,7 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, before in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                shard = Shard(f"{folder}/{name}")
+                shard = Shard(f"{folder}/{name}", AHEAD_IDS)
                 keys = [None if null else key for key, null in zip(shard.keys.tolist(), shard.nulls.tolist(), strict=True)]
                 numbers = [shard.number(k, nth) for k, nth in zip(keys, _occurrences(keys), strict=True)]
                 if None in numbers:
@@ -352,6 +383,22 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
     return common.map_arrow(shards, run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def looked_up(keys: DataFrame, folder: str) -> DataFrame:
+    """keys(doc_id) -> doc_id, ids of the first document of that id; null where there is none. Keys are dealt by range, so a task opens few shards."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards = None
+        for batch in batches:
+            shards = shards or Shards(folder)
+            found = [shards.find(k) for k in batch.column(0).to_pylist()]
+            ids = pa.array([None if x is None else x.tolist() for x in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["doc_id", "ids"])
+
+    common.small_batches(keys.sparkSession)
+    rows = keys.select(F.col("doc_id").cast("long").alias("doc_id")).repartitionByRange(F.col("doc_id").asc_nulls_first())
+    return common.map_arrow(rows, run, "doc_id long, ids array<long>")
+
+
 def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 

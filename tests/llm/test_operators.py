@@ -411,6 +411,13 @@ def test_shards_against_the_library(spark, sample, edge):
     shard = token_shards.Shard(f"{folder}/{lines[0]['name']}")
     first = lines[0]["first_key"]
     assert (shard.find(first) == _library_ids(texts[first // 3])).all() and shard.find(first + 1) is None and shard.find(None) is None
+    asked = [None, -1, 1, *range(0, 3 * len(texts), 3), 3 * len(texts), 3, 3]
+    keys = spark.createDataFrame([(k,) for k in asked], "doc_id long")
+    found = token_shards.looked_up(keys, folder).collect()
+    assert len(lines) > 1 and sorted((r.doc_id is not None, r.doc_id or 0) for r in found) == sorted((k is not None, k or 0) for k in asked)
+    for r in found:
+        there = r.doc_id is not None and 0 <= r.doc_id < 3 * len(texts) and r.doc_id % 3 == 0
+        assert r.ids == (_library_ids(texts[r.doc_id // 3]).tolist() if there else None)
 
 
 def test_shard_edges(spark, edge, nothing):
@@ -419,8 +426,13 @@ def test_shard_edges(spark, edge, nothing):
     rows = sorted(token_shards.read_shards(spark, folder).collect(), key=lambda r: r.start)
     assert len(rows) == edge.count() and [r.doc_id for r in rows][:4] == [None, None, 1, 1]
     assert all(b.start == a.start + a.n_tokens for a, b in zip(rows, rows[1:], strict=False))
+    shards = token_shards.Shards(folder)
+    texts = {k: [r.text for r in edge.where(f"doc_id <=> {k or 'null'}").orderBy("text").collect()] for k in (None, 1, 8)}
+    for k, own in texts.items():
+        assert [shards.find(k, i).tolist() for i in range(len(own))] == [_library_ids(t).tolist() for t in own] and shards.find(k, len(own)) is None
     folder = common.new_path(spark, "test-tokens")
     assert token_shards.write_shards(nothing, folder, P.path("word_bpe_49k.json"), 2) == [] and token_shards.read_shards(spark, folder).count() == 0
+    assert token_shards.Shards(folder).find(1) is None and token_shards.looked_up(edge, folder).where("ids IS NULL").count() == edge.count()
 
 
 def test_perfect_hash():
