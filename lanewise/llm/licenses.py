@@ -1,24 +1,25 @@
-"""Licence scans: TF-IDF cosine of notice lines and licence files to templates, then inheritance along directories.
-
-A line that names a licence, a copyright or a permission is a notice.  Its terms, and the
-templates', are weighted by tf * idf, idf = ln((1 + n) / (1 + df)) + 1 over all notices; a file's own
-licence is that of the template most alike to one of its notices, from THRESHOLD on.  A file
-most of whose words are in such a notice, or in runs of words of its licence's whole text (FULL),
-or whose name is that of one (LICENSE, COPYING), is a licence file and speaks for its directory.  A
-file without a licence of its own has that of the nearest directory above it with a licence
-file.  Everything is in DataFrame expressions; only notices are exploded to terms.
+"""Licence scans: TF-IDF cosine of headers and licence files to templates, then inheritance along directories.
+
+Of a text that names a licence, a copyright or a permission (NOTICE), these are notices: each line
+that has such a word, each block of several lines that has one (blocks part at lines without an
+ASCII letter or digit, as comment headers and paragraphs do), and the whole text if it has several
+blocks.  Their terms, and those of the templates (notices, headers and whole licences), are weighted
+by tf * idf, idf = ln((1 + n) / (1 + df)) + 1 over all notices; a file's own licence is that of the
+template most alike to one of its notices, from THRESHOLD on; lines go before blocks in a tie.  A
+file is a licence file, and speaks for its directory, if a notice of that licence has at least half
+of its words, or its name is that of one (LICENSE, COPYING).  A file without a licence of its own
+has that of the nearest directory above it with a licence file.  Everything is in DataFrame
+expressions; only notices are exploded to terms.
 
 Null and empty texts have no notices and can only inherit; a null path has no directories.
 Rows that repeat path and text give the same row each (they are found by 128 bits of hash).  Of several licence files in a directory
 the one most alike to its template speaks, then the least path.  Other columns pass through; a
 result column replaces one of its name.  Terms of a common notice are counted by partial
-aggregates; templates are a fixed table of a few hundred terms, the only thing broadcast by hint.
+aggregates; templates are a fixed table of under two thousand terms, the only thing broadcast by hint.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +28,31 @@ from . import common
 THRESHOLD = 0.5
 NOTICE = "(?i)licen[sc]e|copyright|spdx-|all rights reserved|permission is hereby"
 
-# Short notices of common licences.
+# Notices and headers of common licences, and whole licences without their copyright lines.
+_BSD_2 = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+    "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list "
+    "of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright "
+    "notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided "
+    "with the distribution. "
+)
+_BSD_3 = (
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+    "products derived from this software without specific prior written permission. "
+)
+_BSD_END = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, "
+    "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
+    "DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+    "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR "
+    "SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, "
+    "WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE "
+    "USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE. "
+)
+_GPL = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} Public License "
+    "as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+)
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
@@ -42,46 +67,64 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "Released into the public domain under the CC0 1.0 Universal License."),
     ("Proprietary", "Copyright. All rights reserved. No license is granted."),
+    ("MIT", (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+        "documentation files (the Software), to deal in the Software without restriction, including without "
+        "limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the "
+        "Software, and to permit persons to whom the Software is furnished to do so, subject to the following "
+        "conditions: The above copyright notice and this permission notice shall be included in all copies or "
+        "substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS "
+        "OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE "
+        "AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR "
+        "OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION "
+        "WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    )),
+    ("ISC", (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        "granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE "
+        "IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED "
+        "WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, "
+        "INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER "
+        "IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR "
+        "PERFORMANCE OF THIS SOFTWARE."
+    )),
+    ("BSD-2-Clause", _BSD_2 + _BSD_END),
+    ("BSD-3-Clause", _BSD_2 + _BSD_3 + _BSD_END),
+    ("Apache-2.0", (
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance "
+        "with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless "
+        "required by applicable law or agreed to in writing, software distributed under the License is distributed on an "
+        "AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the "
+        "specific language governing permissions and limitations under the License."
+    )),
+    ("GPL-2.0", _GPL.format("General", 2)),
+    ("GPL-3.0", _GPL.format("General", 3)),
+    ("LGPL-3.0", _GPL.format("Lesser General", 3)),
+    ("AGPL-3.0", _GPL.format("Affero General", 3)),
 )
 
-# Whole texts, without their copyright lines.
-FULL = (("MIT", (
-    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
-    "documentation files (the 'Software'), to deal in the Software without restriction, including without "
-    "limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the "
-    "Software, and to permit persons to whom the Software is furnished to do so, subject to the following "
-    "conditions: The above copyright notice and this permission notice shall be included in all copies or "
-    "substantial portions of the Software. THE SOFTWARE IS PROVIDED 'AS IS', WITHOUT WARRANTY OF ANY KIND, EXPRESS "
-    "OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE "
-    "AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR "
-    "OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION "
-    "WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. "
-)),)
-
 LICENSE_NAME = r"(?i)(^|/)(licen[sc]e|copying)(\.lesser)?([-_][a-z0-9+_-]+(\.[0-9]+)*)?(\.(txt|md|rst))?$"
 TERMS = "[a-z0-9]+"
-RUN = 5
+#: What parts blocks: a line end, then lines without a letter or digit.
+PARTING = "\\n([^A-Za-z0-9\\n]*\\n)+"
+#: Blocks are numbered after all lines, a whole text after all blocks.
+BLOCKS, WHOLE = 1 << 40, 1 << 41
 
 
 def _terms(line: F.Column) -> F.Column:
     return F.regexp_extract_all(F.lower(line), F.lit(TERMS), 0)
 
 
-def _covered(text: F.Column, full: str) -> F.Column:
-    """Whether at least half of the words stand in runs of RUN words of a whole licence, however its lines are broken."""
-    words = re.findall(TERMS, full.lower())
-    runs = F.array(*[F.lit(x) for x in sorted({" ".join(words[i : i + RUN]) for i in range(len(words) - RUN + 1)})])
-    found = lambda t: F.transform(t, lambda _, i: F.array_contains(runs, F.array_join(F.slice(t, i + 1, RUN), " ")))
-    inside = lambda f: F.filter(f, lambda _, i: F.array_contains(F.slice(f, F.greatest(i - RUN + 2, F.lit(1)), F.least(i + 1, F.lit(RUN))), True))
-    # each bound to a lambda, so evaluated once a row
-    flags = F.flatten(F.transform(F.array(_terms(text)), found))
-    return F.transform(F.array(flags), lambda f: 2 * F.size(inside(f)) >= F.size(f))[0]
-
-
 def notices(files: DataFrame, key: list[str], text: str) -> DataFrame:
-    """key, line, words of it: one row for each notice."""
-    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike(NOTICE))
-    return files.select(*key, F.posexplode(lines).alias("number", "line"))
+    """key, number, line (the notice's text): one row for each notice."""
+    text = F.when(F.col(text).rlike(NOTICE), F.col(text))  # else null: nothing of it is split
+    told = lambda parts, base: F.transform(parts, lambda x, i: F.struct((i + F.lit(base)).cast("long").alias("number"), x.alias("line")))
+    blocks = F.split(text, PARTING)
+    several = F.filter(told(blocks, BLOCKS), lambda x: F.contains(x["line"], F.lit("\n")))
+    whole = F.when(F.size(blocks) > 1, told(F.array(text), WHOLE))
+    every = F.concat(told(F.split(text, "\n"), 0), several, F.coalesce(whole, F.expr("array()").cast("array<struct<number:bigint,line:string>>")))
+    found = F.filter(every, lambda x: x["line"].rlike(NOTICE))
+    return files.select(*key, F.explode(found).alias("found")).select(*key, "found.number", "found.line")
 
 
 def _weights(terms: DataFrame, key: list[str], df: DataFrame, n: F.Column) -> DataFrame:
@@ -92,7 +135,7 @@ def _weights(terms: DataFrame, key: list[str], df: DataFrame, n: F.Column) -> Da
 
 
 def classified(found: DataFrame) -> DataFrame:
-    """Distinct lines of notices -> line, license, score of the best template from THRESHOLD on.
+    """Distinct texts of notices -> line, license, score of the best template from THRESHOLD on.
 
     Each distinct line is compared once; its copies count in df."""
     spark = found.sparkSession
@@ -117,14 +160,15 @@ def scanned(files: DataFrame, path: str = "path", text: str = "text") -> DataFra
     both = [F.col(path), F.col(path).isNull(), F.col(text), F.col(text).isNull()]
     key = F.concat_ws("-", F.xxhash64(F.lit(1), *both), F.xxhash64(F.lit(2), *both)).alias("__key")
     words = F.size(_terms(F.coalesce(text, F.lit(""))))
-    whole = F.when(F.col(text).rlike(NOTICE), F.filter(F.array(*[F.when(_covered(F.col(text), full), F.lit(name)) for name, full in FULL]), lambda x: x.isNotNull()))
-    # lines with notices only; the texts themselves are not shuffled for them
+    # notices only; texts without any are not shuffled for them
     with common.scratch(files.sparkSession):
-        found = common.staged(notices(files.select(key, F.col(path).alias("path"), words.alias("words"), whole.alias("whole"), F.col(text).alias("text")), ["__key", "path", "words", "whole"], "text").dropDuplicates(["__key", "path", "number"]), "notices")
+        found = common.staged(notices(files.select(key, F.col(path).alias("path"), words.alias("words"), F.col(text).alias("text")), ["__key", "path", "words"], "text").dropDuplicates(["__key", "path", "number"]), "notices")
         kinds = common.staged(classified(found), "kinds")
-        own = found.join(kinds, "line").withColumn("most", (2 * F.size(_terms(F.col("line"))) >= F.col("words")) | F.array_contains("whole", F.col("license")) | F.coalesce(F.col("path").rlike(LICENSE_NAME), F.lit(False)))
-        rank = F.max(F.struct("score", (-F.col("number")).alias("back"), "license", "most")).alias("best")
-        own = own.groupBy("__key", "path").agg(rank).select("__key", "path", F.col("best.license").alias("own_license"), F.col("best.score").alias("own_score"), F.col("best.most").alias("is_license_file"))
+        own = found.join(kinds, "line").withColumn("most", 2 * F.size(_terms(F.col("line"))) >= F.col("words"))
+        best = F.max(F.struct("score", (-F.col("number")).alias("back"), "license")).alias("best")
+        own = own.groupBy("__key", "path").agg(best, F.collect_set(F.when(F.col("most"), F.col("license"))).alias("mostly"))
+        named = F.coalesce(F.col("path").rlike(LICENSE_NAME), F.lit(False))
+        own = own.select("__key", "path", F.col("best.license").alias("own_license"), F.col("best.score").alias("own_score"), (F.array_contains("mostly", F.col("best.license")) | named).alias("is_license_file"))
         own = common.staged(own, "own", keep=True)
 
     folder = lambda c: F.regexp_replace(c, "/?[^/]*$", "")
@@ -162,11 +206,15 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _TEMPLATE_VALUES = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(TEMPLATES))
 _NOTICE_SQL = NOTICE.replace("(?i)", "")
+_PARTING_SQL = PARTING.replace("(", "(?:")
 ORACLE_SQL = f"""
 WITH files AS (
   SELECT doc_id, concat_ws('/', coalesce(source, 'none'), coalesce(lang, 'none'), CAST(doc_id // 512 AS VARCHAR), doc_id || '.txt') AS path, coalesce(text, '') AS text FROM documents),
+told AS (SELECT doc_id, path, text, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS words, string_split(text, chr(10)) AS lines, string_split_regex(text, '{_PARTING_SQL}') AS blocks FROM files WHERE regexp_matches(text, '{_NOTICE_SQL}', 'i')),
 found AS (
-  SELECT doc_id, path, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS words, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS number FROM files),
+  SELECT doc_id, path, words, unnest(lines) AS line, generate_subscripts(lines, 1) AS number FROM told
+  UNION ALL SELECT * FROM (SELECT doc_id, path, words, unnest(blocks) AS line, {BLOCKS} + generate_subscripts(blocks, 1) AS number FROM told) WHERE contains(line, chr(10))
+  UNION ALL SELECT doc_id, path, words, text, {WHOLE} FROM told WHERE len(blocks) > 1),
 notices AS (SELECT * FROM found WHERE regexp_matches(line, '{_NOTICE_SQL}', 'i')),
 templates AS (SELECT * FROM (VALUES {_TEMPLATE_VALUES}) AS t(template, license, text)),
 lines AS (SELECT line, count(*) AS copies FROM notices GROUP BY line),
@@ -180,9 +228,11 @@ theirs AS (
   FROM (SELECT template, term, tf * (ln((1 + (SELECT count(*) FROM notices)) / (1 + coalesce(df, 0))) + 1) AS v FROM template_terms LEFT JOIN df USING (term))),
 scores AS (SELECT line, template, round(sum(w * v), 6) AS score FROM own JOIN theirs USING (term) GROUP BY line, template),
 kinds AS (SELECT line, score, license FROM (SELECT *, row_number() OVER (PARTITION BY line ORDER BY score DESC, template) AS rank FROM scores WHERE score >= {THRESHOLD}) JOIN templates USING (template) WHERE rank = 1),
+judged AS (SELECT doc_id, path, license, score, number, 2 * len(regexp_extract_all(lower(line), '[a-z0-9]+')) >= words AS most FROM notices JOIN kinds USING (line)),
+mostly AS (SELECT DISTINCT doc_id, license FROM judged WHERE most),
 best AS (
-  SELECT doc_id, path, license AS own_license, score AS own_score, 2 * len(regexp_extract_all(lower(line), '[a-z0-9]+')) >= words AS is_license_file
-  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, number) AS rank FROM notices JOIN kinds USING (line)) WHERE rank = 1),
+  SELECT r.doc_id, path, r.license AS own_license, score AS own_score, m.doc_id IS NOT NULL OR regexp_matches(path, '{LICENSE_NAME}') AS is_license_file
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, number) AS rank FROM judged) r LEFT JOIN mostly m ON r.doc_id = m.doc_id AND r.license = m.license WHERE rank = 1),
 speaks AS (
   SELECT folder, own_license AS license, path AS inherited_from
   FROM (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY own_score DESC, path) AS rank FROM (SELECT *, regexp_replace(path, '/[^/]*$', '') AS folder FROM best WHERE is_license_file)) WHERE rank = 1),

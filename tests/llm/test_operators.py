@@ -131,7 +131,7 @@ def test_license_of_null_path_or_text(spark):
 def test_license_files_of_many_lines(spark):
     import textwrap
 
-    mit = "Copyright (c) 2020 A\n\n" + textwrap.fill(licenses.FULL[0][1], 78)
+    mit = "Copyright (c) 2020 A\n\n" + textwrap.fill(max((t for n, t in licenses.TEMPLATES if n == "MIT"), key=len), 78)
     apache = "\n".join(["Licensed under the Apache License, Version 2.0."] + ["conditions of use and so on"] * 20)
     rows = [("a/terms", mit), ("a/x.py", "code"), ("b/LICENSE-Apache-2.0", apache), ("b/y.py", "code"), ("c/license_check.py", apache), ("c/z.py", "code"), ("d/t.py", mit + "\n" + "x = 1 " * 200), ("d/u.py", "code")]
     got = {r.path: (r.is_license_file, r.license, r.inherited_from) for r in licenses.scanned(spark.createDataFrame(rows, "path string, text string")).collect()}
@@ -141,6 +141,25 @@ def test_license_files_of_many_lines(spark):
     assert got["d/t.py"] == (False, "MIT", None) and got["d/u.py"] == (False, None, None)
 
 
+def test_license_files_and_headers_as_they_come(spark):
+    import textwrap
+
+    whole = lambda name: max((t for n, t in licenses.TEMPLATES if n == name), key=len)
+    rows = []
+    for name in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "AGPL-3.0"):
+        cut = textwrap.wrap(whole(name), 60)
+        paragraphs = "\n\n".join("\n".join(cut[i : i + 6]) for i in range(0, len(cut), 6))
+        rows.append((f"{name}/terms", f"Copyright (c) 2021 The Authors. All rights reserved.\n\n{paragraphs}\n"))
+        rows.append((f"{name}/src/a.py", "x = 1\n"))
+        header = "\n".join(["#!/bin/sh", "#", *["# " + x for x in textwrap.wrap(whole(name), 50)], "#", *["echo nothing of it here"] * 300])
+        rows.append((f"z{name}/b.sh", header))
+    got = {r.path: (r.own_license, r.is_license_file, r.license, r.inherited_from) for r in licenses.scanned(spark.createDataFrame(rows, "path string, text string")).collect()}
+    for path, _ in rows:
+        name, rest = path.split("/", 1)
+        want = (name, True, name, None) if rest == "terms" else (None, False, name, f"{name}/terms") if rest == "src/a.py" else (name[1:], False, name[1:], None)
+        assert got[path] == want, (path, got[path])
+
+
 def test_license_edges(edge, nothing):
     path = lambda d: d.withColumn("path", F.concat_ws("/", "source", F.col("doc_id").cast("string"))).withColumn("license", F.lit("clash"))
     assert licenses.scanned(path(edge)).count() == edge.count() and licenses.scanned(path(nothing)).count() == 0
