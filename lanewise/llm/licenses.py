@@ -12,7 +12,7 @@ has that of the nearest directory above it with a licence file.  Everything is i
 expressions; only notices are exploded to terms.
 
 Null and empty texts have no notices and can only inherit; a null path has no directories.
-Rows that repeat path and text give the same row each (they are found by 128 bits of hash).  Of several licence files in a directory
+Rows that repeat path and text give the same row each (they, and equal notices, are found by 128 bits of hash).  Of several licence files in a directory
 the one most alike to its template speaks, then the least path.  Other columns pass through; a
 result column replaces one of its name.  Terms of a common notice are counted by partial
 aggregates; templates are a fixed table of under two thousand terms, the only thing broadcast by hint.
@@ -127,30 +127,36 @@ def notices(files: DataFrame, key: list[str], text: str) -> DataFrame:
     return files.select(*key, F.explode(found).alias("found")).select(*key, "found.number", "found.line")
 
 
-def _weights(terms: DataFrame, key: list[str], df: DataFrame, n: F.Column) -> DataFrame:
-    """terms(key, term, tf) with each vector's unit weights."""
-    rows = terms.join(df, "term", "left").withColumn("w", F.col("tf") * (F.ln((1 + n) / (1 + F.coalesce("df", F.lit(0)))) + 1))
-    norm = rows.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return rows.join(norm, key).select(*key, "term", (F.col("w") / F.col("norm")).alias("w"))
-
-
 def classified(found: DataFrame) -> DataFrame:
-    """Distinct texts of notices -> line, license, score of the best template from THRESHOLD on.
+    """Notices(id, line) -> id, license, score of the best template from THRESHOLD on; id tells the texts of notices apart.
 
-    Each distinct line is compared once; its copies count in df."""
+    Each distinct notice is compared once; its copies count in df.  As no idf is below 1, a notice's
+    length has a lower bound without the df of terms that no template has; only the terms of
+    notices whose score can reach THRESHOLD by it are joined with df."""
     spark = found.sparkSession
-    lines = found.groupBy("line").agg(F.count("*").alias("copies"))
-    terms = lines.select("line", "copies", F.explode(_terms(F.col("line"))).alias("term")).groupBy("line", "copies", "term").agg(F.count("*").alias("tf"))
+    lines = found.groupBy("id").agg(F.count("*").alias("copies"), F.first("line").alias("line"))
+    terms = lines.select("id", "copies", F.explode(_terms(F.col("line"))).alias("term")).groupBy("id", "copies", "term").agg(F.count("*").alias("tf"))
+    terms = common.staged(terms, "terms")
     df = terms.groupBy("term").agg(F.sum("copies").alias("df"))
-    n = found.agg(F.count("*")).first()[0]
-    own = _weights(terms.drop("copies"), ["line"], df, F.lit(n))
+    n = found.count()
+    idf = F.ln((1 + F.lit(n)) / (1 + F.coalesce("df", F.lit(0)))) + 1
+    weight = F.col("tf") * F.col("idf")
+    length = lambda w: F.sqrt(F.sum(w * w))
+
     templates = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(TEMPLATES)], "template int, license string, text string")
-    template_terms = templates.select("template", F.explode(_terms(F.col("text"))).alias("term")).groupBy("template", "term").agg(F.count("*").alias("tf"))
-    theirs = _weights(template_terms, ["template"], df, F.lit(n)).withColumnRenamed("w", "v")
-    scores = own.join(F.broadcast(theirs), "term").groupBy("line", "template").agg(F.round(F.sum(F.col("w") * F.col("v")), 6).alias("score"))
+    theirs = templates.select("template", F.explode(_terms(F.col("text"))).alias("term")).groupBy("template", "term").agg(F.count("*").alias("tf"))
+    theirs = theirs.join(df, "term", "left").withColumn("idf", idf).select("template", "term", "idf", weight.alias("w"))
+    theirs = theirs.join(theirs.groupBy("template").agg(length(F.col("w")).alias("norm")), "template").select("template", "term", "idf", (F.col("w") / F.col("norm")).alias("v"))
+    theirs = common.staged(theirs.coalesce(1), "templates")
+
+    dots = terms.join(F.broadcast(theirs), "term").groupBy("id", "template").agg(F.sum(weight * F.col("v")).alias("dot"))
+    least = terms.join(F.broadcast(theirs.select("term", "idf").distinct()), "term", "left").groupBy("id").agg(length(F.col("tf") * F.coalesce("idf", F.lit(1.0))).alias("least"))
+    able = common.staged(dots.join(least, "id").where(F.col("dot") >= (THRESHOLD - 1e-5) * F.col("least")).drop("least"), "able")
+    norms = terms.join(able.select("id").distinct(), "id", "left_semi").join(df, "term").withColumn("idf", idf).groupBy("id").agg(length(weight).alias("norm"))
+    scores = able.join(norms, "id").select("id", "template", F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
     best = F.max(F.struct("score", (-F.col("template")).alias("rank"))).alias("best")
-    best = scores.where(F.col("score") >= THRESHOLD).groupBy("line").agg(best).select("line", "best.score", (-F.col("best.rank")).alias("template"))
-    return best.join(F.broadcast(templates.select("template", "license")), "template").select("line", "license", "score")
+    best = scores.where(F.col("score") >= THRESHOLD).groupBy("id").agg(best).select("id", "best.score", (-F.col("best.rank")).alias("template"))
+    return best.join(F.broadcast(templates.select("template", "license")), "template").select("id", "license", "score")
 
 
 def scanned(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
@@ -162,9 +168,11 @@ def scanned(files: DataFrame, path: str = "path", text: str = "text") -> DataFra
     words = F.size(_terms(F.coalesce(text, F.lit(""))))
     # notices only; texts without any are not shuffled for them
     with common.scratch(files.sparkSession):
-        found = common.staged(notices(files.select(key, F.col(path).alias("path"), words.alias("words"), F.col(text).alias("text")), ["__key", "path", "words"], "text").dropDuplicates(["__key", "path", "number"]), "notices")
+        most = (2 * F.size(_terms(F.col("line"))) >= F.col("words")).alias("most")
+        found = notices(files.select(key, F.col(path).alias("path"), words.alias("words"), F.col(text).alias("text")), ["__key", "path", "words"], "text").dropDuplicates(["__key", "path", "number"])
+        found = common.staged(found.select("__key", "path", "number", most, F.unhex(F.md5(F.col("line"))).alias("id"), "line"), "notices")
         kinds = common.staged(classified(found), "kinds")
-        own = found.join(kinds, "line").withColumn("most", 2 * F.size(_terms(F.col("line"))) >= F.col("words"))
+        own = found.drop("line").join(kinds, "id")
         best = F.max(F.struct("score", (-F.col("number")).alias("back"), "license")).alias("best")
         own = own.groupBy("__key", "path").agg(best, F.collect_set(F.when(F.col("most"), F.col("license"))).alias("mostly"))
         named = F.coalesce(F.col("path").rlike(LICENSE_NAME), F.lit(False))
