@@ -1,6 +1,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -169,8 +170,6 @@ def test_license_edges(edge, nothing):
 
 
 def _near(n=60, seed=3):
-    import random
-
     rng = random.Random(seed)
     texts = []
     for g in range(6):
@@ -196,6 +195,25 @@ def test_join_of_documents(spark, sample):
     assert sorted(map(tuple, got)) == sorted(plain.components(list(sample.doc_id), list(sample.text)))
 
 
+@pytest.mark.parametrize("members", [1024, 7])
+def test_join_of_pairs_with_one_passage(spark, monkeypatch, members):
+    """Near copies in pairs, all with one passage: what is compared grows with the documents, not their square."""
+    rng, made = random.Random(8), {}
+    staged = common.staged
+    monkeypatch.setattr(common, "staged", lambda df, label, *a, **k: made.setdefault(label, staged(df, label, *a, **k)) if label == "rest" else staged(df, label, *a, **k))
+    monkeypatch.setattr(common, "drop_path", lambda spark, path: None)
+    monkeypatch.setattr(shingle_join, "MEMBERS", members)
+    passage, texts = [f"p{i}" for i in range(130)], []
+    for i in range(100):
+        own = [f"d{i}x{rng.randrange(10**6)}" for _ in range(100)]
+        texts += [" ".join(passage + own), " ".join(passage + own[:50] + ["edited"] + own[51:])]
+    texts += [" ".join(passage[:n]) for n in range(70, 130, 4)]  # within the passage, and linked among themselves
+    ids = list(range(len(texts)))
+    got = shingle_join.joined(spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == sorted(plain.components(ids, texts))
+    assert made["rest"].count() <= 2 * len(texts)
+
+
 def test_join_of_the_largest_id(spark):
     rows = [(2**63 - 1, "a b c d e f"), (None, "a b c d e f"), (-1, "x y"), (None, "x y z"), (2**63 - 1, None)]
     got = sorted(map(str, shingle_join.joined(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
