@@ -19,10 +19,9 @@ link at 100 * intersection >= 80 * union; the result is the components of that g
 4. Verification.  In each signature's group every class is first compared with the group's
    leader, the class with the fewest shingles of its own; components are formed from the links
    found, and then only classes outside a group's largest component are compared with the rest
-   of the group.  A class of n that has fewer than 0.8 n of the leader's shingles links only with
-   those that share one beyond the leader; each class lists the e + 1 of these that the fewest
-   members have, leaving out what no other member has, and such pairs are the ones that meet in a list.  Only classes that are nearly all within the leader meet as
-   members of the group.  Counts must leave room: two classes share at most what the lesser
+   of the group.  Classes that both have 0.8 n or more of the leader's shingles meet as members of
+   the group.  Others meet by shingles: each class of such a group lists the e + 1 of its shingles that
+   the fewest such classes have, leaving out what no other has; linked ones have one in common.  Counts must leave room: two classes share at most what the lesser
    shares with the leader and what neither has to itself; then parity sketches bound what
    they share, and only pairs that pass have their sets compared.  Pairs inside a component need no
    comparison, and none across that could link is left out.  A leader's members are dealt to
@@ -272,6 +271,14 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens), pa.int64()), pa.array(np.concatenate(nodes), pa.int64())], names=["token", "node"])
 
 
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All shingles of each set."""
+    for batch in batches:
+        for node, hashes in zip(batch.column("node").to_pylist(), batch.column("hashes").to_pylist(), strict=True):
+            tokens = np.frombuffer(hashes, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.int64()), pa.array(np.full(len(tokens), node), pa.int64())], names=["token", "node"])
+
+
 def _combinations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of a set's frequent shingles within a subclass, as signatures."""
     for batch in batches:
@@ -316,29 +323,20 @@ def _compared(batches: Iterator[pa.RecordBatch], exact: bool) -> Iterator[pa.Rec
     """Rows stand by u and part, the set of u itself first (v null)."""
     now, left, n_left = None, np.empty(0, dtype=U64), 0
     for batch in batches:
-        rows, beyond = [], []
+        rows = []
         for u, v, n, data in zip(*[batch.column(c).to_pylist() for c in ("u", "v", "n", "data")], strict=True):
             right = np.frombuffer(data, dtype=U64 if exact else np.uint8)
             if v is None:
                 now, left, n_left = u, right, n
             elif u == now:
-                if exact:
-                    in_both = _shared(left, right)
-                    both = int(in_both.sum())
-                    beyond.append(right[~in_both].view(np.int64))
-                else:
-                    both = (n_left + n - _differing(left, right)) // 2
-                    beyond.append(np.empty(0, dtype=np.int64))
+                both = int(_shared(left, right).sum()) if exact else (n_left + n - _differing(left, right)) // 2
                 rows.append((u, v, both, n_left + n))
         if rows:
-            ends = np.cumsum([0] + [len(x) for x in beyond])
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(beyond), pa.int64()))
-            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], lists], names=["u", "v", "both", "sizes", "beyond"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["u", "v", "both", "sizes"])
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame, exact: bool = True) -> DataFrame:
-    """pairs(u, v) with `both`, how many shingles they share (at most, by sketches, if not exact), `sizes`, how many they
-    have, and, if exact, `beyond`, the shingles of v that u lacks.
+    """pairs(u, v) with `both`, how many shingles they share (at most, by sketches, if not exact), and `sizes`, how many they have.
     A set or sketch travels once for each u that it is compared with, and that of u once for each part of its v."""
     data = sets.select("node", "n", F.col("hashes" if exact else "bits").alias("data"))
     parts = pairs.groupBy("u").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts"))
@@ -347,7 +345,7 @@ def overlaps(pairs: DataFrame, sets: DataFrame, exact: bool = True) -> DataFrame
     part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
     own = data.withColumnRenamed("node", "u").join(parts, "u").select("u", part, F.lit(None).cast("long").alias("v"), "n", "data")
     rows = own.unionByName(members).repartition("u", "part").sortWithinPartitions("u", "part", F.col("v").asc_nulls_first())
-    return common.map_arrow(rows.drop("part"), lambda batches: _compared(batches, exact), "u long, v long, both long, sizes long, beyond array<long>")
+    return common.map_arrow(rows.drop("part"), lambda batches: _compared(batches, exact), "u long, v long, both long, sizes long")
 
 
 LINKED = f"100 * both >= {PERCENT} * (sizes - both)"
@@ -385,7 +383,7 @@ def _links(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     led = led.join(labels.withColumnRenamed("u", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     parts = led.groupBy("leader", "component").agg(F.count("*").alias("size"))
     tops = parts.groupBy("leader").agg(F.max(F.struct("size", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("leader", F.col("top.component").alias("top"))
-    with_leader = stars.select(F.col("u").alias("leader"), F.col("v").alias("node"), F.col("both").alias("with_leader"), "beyond")
+    with_leader = stars.select(F.col("u").alias("leader"), F.col("v").alias("node"), F.col("both").alias("with_leader"))
     open_ = led.join(tops, "leader").join(with_leader, ["leader", "node"], "left").withColumn("with_leader", F.when(F.col("node") == F.col("leader"), F.col("n")).otherwise(F.col("with_leader")))
     open_ = common.staged(open_.withColumn("within", F.expr(f"100 * with_leader >= {PERCENT} * n")), "open")
     side = lambda rows, x, keys: rows.select(*keys, *[F.col(c).alias(f"{x}_{c}") for c in rows.columns if c not in keys])
@@ -395,19 +393,19 @@ def _links(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     fits = (F.col("u_component") != F.col("v_component")) & ((F.col("v_component") == F.col("v_top")) | (F.col("u_node") < F.col("v_node")))
     fits &= _may_link("u_n", "u_own", "v_n", "v_own") & ((100 + PERCENT) * most >= PERCENT * (F.col("u_n") + F.col("v_n")))
 
-    def crossed(rows: DataFrame, keys: list[str], wanted: F.Column) -> DataFrame:
-        """Pairs that agree in the keys, one of them at least outside the group's largest component."""
-        outside = side(rows.where(F.col("component") != F.col("top")), "u", keys)
-        pairs = outside.join(side(rows, "v", keys), keys).where(fits & wanted)
-        return pairs.select(F.least("u_node", "v_node").alias("u"), F.greatest("u_node", "v_node").alias("v"))
-
-    met = crossed(open_.where("within").drop("beyond"), ["leader"], F.arrays_overlap("u_sigs", "v_sigs"))
-    beyond = open_.where("n - own > with_leader").select("leader", "node", "n", F.explode("beyond").alias("token"))
-    held = beyond.groupBy("leader", "token").agg(F.count("*").alias("df")).where("df > 1")
-    least = beyond.join(held, ["leader", "token"]).groupBy("leader", "node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("held"))
-    least = least.select("leader", "node", F.expr(f"slice(held.token, 1, cast(n - ceil(n * {PERCENT} / 100) as int) + 1)").alias("tokens"))
-    listed = open_.drop("sigs", "beyond").join(least, ["leader", "node"]).withColumn("token", F.explode("tokens")).drop("tokens")
-    met = met.unionByName(crossed(listed, ["leader", "token"], ~(F.col("u_within") & F.col("v_within")))).distinct()
+    within = open_.where("within")
+    outside = side(within.where(F.col("component") != F.col("top")), "u", ["leader"])
+    pair = [F.least("u_node", "v_node").alias("u"), F.greatest("u_node", "v_node").alias("v")]
+    met = outside.join(side(within, "v", ["leader"]), "leader").where(fits & F.arrays_overlap("u_sigs", "v_sigs")).select(*pair)
+    # the others, by the rarest of their shingles
+    listing = open_.groupBy("node").agg(F.first("n").alias("n"), F.first("own").alias("own"), F.first("component").alias("component"))
+    tokens = common.map_arrow(sets.join(listing.select("node"), "node", "left_semi").select("node", "hashes"), _members, "token long, node long")
+    held = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    least = tokens.join(held, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("held"))
+    least = least.join(listing, "node").withColumn("token", F.explode(F.expr(f"slice(held.token, 1, cast(n - ceil(n * {PERCENT} / 100) as int) + 1)"))).drop("held")
+    least = common.staged(least, "rarest")
+    both = side(least, "u", ["token"]).join(side(least, "v", ["token"]), "token")
+    met = met.unionByName(both.where((F.col("u_node") < F.col("v_node")) & (F.col("u_component") != F.col("v_component")) & _may_link("u_n", "u_own", "v_n", "v_own")).select(*pair)).distinct()
     tried = stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     rest = common.staged(met.join(tried, ["u", "v"], "left_anti"), "rest")
     near = common.staged(overlaps(rest, sets, exact=False).where(LINKED).select("u", "v"), "near")
