@@ -18,11 +18,13 @@ link at 100 * intersection >= 80 * union; the result is the components of that g
    for that one's G.
 4. Verification.  In each signature's group every class is first compared with the group's
    leader, the class with the fewest shingles of its own; components are formed from the links
-   found, and then only classes outside a group's largest component are compared with the rest
-   of the group.  Classes that both have 0.8 n or more of the leader's shingles meet as members of
-   the group.  Others meet by shingles: each class of such a group lists the e + 1 of its shingles that
-   the fewest such classes have, leaving out what no other has; linked ones have one in common.  Counts must leave room: two classes share at most what the lesser
-   shares with the leader and what neither has to itself; then parity sketches bound what
+   found.  Classes of groups that then hold several components go on.  Each has its shingles in
+   one order, those that the fewest such classes have first, without those that no other has.
+   Linked ones have a first shingle in common, and no more in common than either has left from
+   there on; as the shingles that it has to itself are not among those, a class with many of
+   them is met at few places or none.  Of two the shorter has eight ninths of its shingles left
+   there.  Classes meet so with the one of each place that has most left, and the components grow
+   by the links found; then all of different components meet.  Parity sketches bound what
    they share, and only pairs that pass have their sets compared.  Pairs inside a component need no
    comparison, and none across that could link is left out.  A leader's members are dealt to
    tasks in parts of about MEMBERS.
@@ -351,10 +353,51 @@ def overlaps(pairs: DataFrame, sets: DataFrame, exact: bool = True) -> DataFrame
 LINKED = f"100 * both >= {PERCENT} * (sizes - both)"
 
 
-def _may_link(n: str, own: str, m: str, m_own: str) -> F.Column:
-    """Whether sizes and the shingles that each has to itself leave room for a link."""
-    shared = F.least(F.col(n) - F.col(own), F.col(m) - F.col(m_own))
-    return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & ((100 + PERCENT) * shared >= PERCENT * (F.col(n) + F.col(m)))
+def _rarest(listing: DataFrame, sets: DataFrame) -> DataFrame:
+    """listing(node, n) -> token, node, n, left: where the first shingle that a class shares with a linked one may stand.
+
+    Each class has its shingles in one order, the rarest of the listing first and without those that no other has; `left`
+    is how many it has from this one on. Two classes share no more than either has left at the first that they share."""
+    tokens = common.map_arrow(sets.join(listing.select("node"), "node", "left_semi").select("node", "hashes"), _members, "token long, node long")
+    held = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = tokens.join(held, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("held")).join(listing, "node")
+    ranked = ranked.withColumn("count", F.size("held")).withColumn("first", F.expr(f"slice(held.token, 1, greatest(0, count - cast(ceil(n * {PERCENT} / 100) as int) + 1))"))
+    posts = ranked.select("node", "n", "count", F.posexplode("first").alias("at", "token"))
+    return posts.select("token", "node", "n", (F.col("count") - F.col("at")).alias("left"))
+
+
+#: Of two the shorter, or at one length the one of the lesser number, has so much left.
+SHORTER = f"{100 + PERCENT} * left >= {2 * PERCENT} * n"
+FITS = f"u_component <> v_component and {100 + PERCENT} * least(u_left, v_left) >= {PERCENT} * (u_n + v_n)"
+
+
+def _meeting(posts: DataFrame) -> DataFrame:
+    """posts(token, node, n, left, component) -> those that a class of another component may meet, `within` for the token's largest component."""
+    shortest = posts.where(SHORTER).groupBy("token").agg(F.min("n").alias("shortest"))
+    posts = posts.join(shortest, "token").where(f"{100 + PERCENT} * left >= {PERCENT} * (n + shortest)").drop("shortest")
+    parts = posts.groupBy("token", "component").agg(F.count("*").alias("size"))
+    several = parts.groupBy("token").agg(F.max(F.struct("size", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("token", F.col("top.component").alias("top"))
+    return posts.join(several, "token").withColumn("within", F.col("component") == F.col("top")).drop("top")
+
+
+def _side(posts: DataFrame, x: str, keys: list[str]) -> DataFrame:
+    return posts.select(*keys, *[F.col(c).alias(f"{x}_{c}") for c in ("node", "n", "component", "left")])
+
+
+def _with_centres(meeting: DataFrame) -> DataFrame:
+    """Pairs (u, v) of each class with that which has most left at the token."""
+    centres = meeting.groupBy("token").agg(F.max(F.struct("left", "node", "n", "component")).alias("c")).select("token", "c.*")
+    both = _side(centres, "u", ["token"]).join(_side(meeting, "v", ["token"]), "token").where(FITS)
+    return both.select(F.least("u_node", "v_node").alias("u"), F.greatest("u_node", "v_node").alias("v")).distinct()
+
+
+def _across(meeting: DataFrame) -> DataFrame:
+    """Pairs (u, v) of different components that may link; a token's largest component does not meet itself."""
+    keys = ["token", "with_top"]
+    longer = meeting.withColumn("with_top", F.explode(F.when(F.col("within"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))))
+    both = _side(meeting.where(SHORTER).withColumn("with_top", F.col("within")), "u", keys).join(_side(longer, "v", keys), keys)
+    both = both.where(FITS).where(F.struct("u_n", "u_node") < F.struct("v_n", "v_node"))
+    return both.select(F.least("u_node", "v_node").alias("u"), F.greatest("u_node", "v_node").alias("v")).distinct()
 
 
 def _links(nodes: DataFrame, sets: DataFrame) -> DataFrame:
@@ -378,41 +421,23 @@ def _links(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     edges = stars.where(LINKED).select("u", "v")
     labels = common.staged(components(edges), "labels")
 
-    # what is left: leaders whose groups hold several components
-    led = led.groupBy("leader", "node", "n", "own").agg(F.collect_list("sig").alias("sigs"))
-    led = led.join(labels.withColumnRenamed("u", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    parts = led.groupBy("leader", "component").agg(F.count("*").alias("size"))
-    tops = parts.groupBy("leader").agg(F.max(F.struct("size", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("leader", F.col("top.component").alias("top"))
-    with_leader = stars.select(F.col("u").alias("leader"), F.col("v").alias("node"), F.col("both").alias("with_leader"))
-    open_ = led.join(tops, "leader").join(with_leader, ["leader", "node"], "left").withColumn("with_leader", F.when(F.col("node") == F.col("leader"), F.col("n")).otherwise(F.col("with_leader")))
-    open_ = common.staged(open_.withColumn("within", F.expr(f"100 * with_leader >= {PERCENT} * n")), "open")
-    side = lambda rows, x, keys: rows.select(*keys, *[F.col(c).alias(f"{x}_{c}") for c in rows.columns if c not in keys])
-    # shared shingles are the leader's, or else neither's own
-    past = F.least(F.col("u_n") - F.col("u_own") - F.col("u_with_leader"), F.col("v_n") - F.col("v_own") - F.col("v_with_leader"))
-    most = F.least("u_with_leader", "v_with_leader") + past
-    fits = (F.col("u_component") != F.col("v_component")) & ((F.col("v_component") == F.col("v_top")) | (F.col("u_node") < F.col("v_node")))
-    fits &= _may_link("u_n", "u_own", "v_n", "v_own") & ((100 + PERCENT) * most >= PERCENT * (F.col("u_n") + F.col("v_n")))
-
-    within = open_.where("within")
-    outside = side(within.where(F.col("component") != F.col("top")), "u", ["leader"])
-    pair = [F.least("u_node", "v_node").alias("u"), F.greatest("u_node", "v_node").alias("v")]
-    met = outside.join(side(within, "v", ["leader"]), "leader").where(fits & F.arrays_overlap("u_sigs", "v_sigs")).select(*pair)
-    # the others, by the rarest of their shingles
-    listing = open_.groupBy("node").agg(F.first("n").alias("n"), F.first("own").alias("own"), F.first("component").alias("component"))
-    tokens = common.map_arrow(sets.join(listing.select("node"), "node", "left_semi").select("node", "hashes"), _members, "token long, node long")
-    held = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    least = tokens.join(held, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("held"))
-    least = least.join(listing, "node").withColumn("token", F.explode(F.expr(f"slice(held.token, 1, cast(n - ceil(n * {PERCENT} / 100) as int) + 1)"))).drop("held")
-    least = common.staged(least, "rarest")
-    both = side(least, "u", ["token"]).join(side(least, "v", ["token"]), "token")
-    met = met.unionByName(both.where((F.col("u_node") < F.col("v_node")) & (F.col("u_component") != F.col("v_component")) & _may_link("u_n", "u_own", "v_n", "v_own")).select(*pair)).distinct()
+    # what is left: classes of groups that hold several components
+    led = led.select("leader", "node", "n").distinct().join(labels.withColumnRenamed("u", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    led = common.staged(led, "members")
+    several = led.groupBy("leader").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("leader")
+    open_ = common.staged(led.join(several, "leader", "left_semi").select("node", "n").distinct(), "open")
+    posts = common.staged(_rarest(open_, sets), "rarest")
     tried = stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    rest = common.staged(met.join(tried, ["u", "v"], "left_anti"), "rest")
-    near = common.staged(overlaps(rest, sets, exact=False).where(LINKED).select("u", "v"), "near")
-    late = common.staged(overlaps(near, sets).where(LINKED).select("u", "v"), "edges")
-    if late.isEmpty():
-        return labels
-    return components(labels.select("u", F.col("component").alias("v")).unionByName(late))
+    for label, pairs_of in (("centres", _with_centres), ("rest", _across)):
+        placed = posts.join(labels.withColumnRenamed("u", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        meeting = common.staged(_meeting(placed), "meeting")
+        pairs = common.staged(pairs_of(meeting).join(tried, ["u", "v"], "left_anti"), label)
+        near = common.staged(overlaps(pairs, sets, exact=False).where(LINKED).select("u", "v"), "near")
+        late = common.staged(overlaps(near, sets).where(LINKED).select("u", "v"), "edges")
+        tried = tried.unionByName(pairs)
+        if not late.isEmpty():
+            labels = common.staged(components(labels.select("u", F.col("component").alias("v")).unionByName(late)), "labels")
+    return labels
 
 
 def joined(docs: DataFrame, k: int = K) -> DataFrame:

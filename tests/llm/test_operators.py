@@ -214,6 +214,64 @@ def test_join_of_pairs_with_one_passage(spark, monkeypatch, members):
     assert made["rest"].count() <= 2 * len(texts)
 
 
+def _edited(n, seed):
+    """Near copies of one text, half of them too far from it to link, and pairs among those that link with each other alone."""
+    rng, texts = random.Random(seed), []
+    base = [f"b{i}" for i in range(150)]
+    for i in range(n):
+        w = list(base)
+        for at in rng.sample(range(3, 147, 6), rng.choice([1, 2, 4, 5, 6])):
+            w[at] = f"e{seed}x{rng.randrange(10**9)}"
+        texts.append(" ".join(w[rng.randrange(2) : 150 - rng.randrange(3)]))
+        if i % 20 == 0:
+            texts.append(" ".join(w + ["end"]))
+    return texts
+
+
+def test_join_of_copies_too_far_from_their_group(spark, monkeypatch):
+    """What meets, each time that it meets, grows with the group, not with its square."""
+    staged, made = common.staged, []
+    monkeypatch.setattr(common, "drop_path", lambda spark, path: None)
+    monkeypatch.setattr(common, "staged", lambda df, label, *a, **k: made.append((label, staged(df, label, *a, **k))) or made[-1][1])
+    counts = []
+    for n in (150, 600):
+        texts = _edited(n, n)
+        ids = list(range(len(texts)))
+        made.clear()
+        got = shingle_join.joined(spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")).collect()
+        want = plain.components(ids, texts)
+        assert sorted(map(tuple, got)) == sorted(want)
+        assert len({c for _, _, c in want}) > n / 4
+        counts.append(dict(made)["rest"].count())
+    assert counts[1] <= 8 * max(counts[0], 50) and counts[1] <= len(texts), counts
+
+
+@pytest.mark.parametrize("n", [30, 60])
+def test_pairs_met_hold_all_links(spark, n):
+    """Sets over few shingles, in one listing: each linked pair of different components meets, and of one component none."""
+    rng = random.Random(n)
+    sets, components = [], []
+    for g in range(3):
+        base = [rng.getrandbits(63) for _ in range(40)]
+        for _ in range(n):
+            own = set(rng.sample(base, rng.randrange(30, 41))) | {rng.getrandbits(63) for _ in range(rng.choice([0, 0, 1, 3, 5]))}
+            sets.append(np.array(sorted(own), dtype=np.uint64))
+            components.append(g if rng.random() < 0.3 else 100 + len(sets))
+    rows = [(i, len(x), x.tobytes()) for i, x in enumerate(sets)]
+    listing = spark.createDataFrame([(i, len(x)) for i, x in enumerate(sets)], "node long, n long")
+    labels = spark.createDataFrame(list(enumerate(components)), "node long, component long")
+    posts = shingle_join._rarest(listing, spark.createDataFrame(rows, "node long, n long, hashes binary")).join(labels, "node")
+    got = {(r.u, r.v) for r in shingle_join._across(shingle_join._meeting(posts)).collect()}
+    links, own = set(), [set(x.tolist()) for x in sets]
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(own[i] & own[j])
+            if 100 * both >= 80 * (len(own[i]) + len(own[j]) - both) and components[i] != components[j]:
+                links.add((j, i))
+    assert len(links) > n and links <= got
+    assert all(components[u] != components[v] for u, v in got)
+
+
 def test_join_of_the_largest_id(spark):
     rows = [(2**63 - 1, "a b c d e f"), (None, "a b c d e f"), (-1, "x y"), (None, "x y z"), (2**63 - 1, None)]
     got = sorted(map(str, shingle_join.joined(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
