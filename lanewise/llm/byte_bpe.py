@@ -14,6 +14,7 @@ the result's column replaces one of its name.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Iterator
 from functools import cache
@@ -137,6 +138,12 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(read_ranks(path), pattern)
 
 
+def forget() -> None:
+    """Drops the codecs that this process keeps."""
+    codec.cache_clear()
+    gc.collect()  # a codec and its units refer to each other
+
+
 def _each(path: str, pattern: str, text: str, out: str, make):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
@@ -155,7 +162,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
 
     common.small_batches(df.sparkSession)
     fields = [f for f in df.schema.fields if f.name not in (text, out)]
-    return common.map_arrow(df, _each(path, pattern, text, out, make), T.StructType([*fields, T.StructField(out, T.BinaryType())]))
+    return common.map_arrow(df, _each(path, pattern, text, out, make), T.StructType([*fields, T.StructField(out, T.BinaryType())]), forget)
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -168,7 +175,7 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str =
             yield rest.append_column(out, pa.array([c.decode_packed(x or b"") for x in batch.column(ids).to_pylist()], pa.binary()))
 
     fields = [f for f in df.schema.fields if f.name != out]
-    return common.map_arrow(df, run, T.StructType([*fields, T.StructField(out, T.BinaryType())]))
+    return common.map_arrow(df, run, T.StructType([*fields, T.StructField(out, T.BinaryType())]), forget)
 
 
 def encoded_documents(docs: DataFrame) -> DataFrame:
@@ -189,7 +196,7 @@ def encoded_documents(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     common.small_batches(docs.sparkSession)
-    return common.map_arrow(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return common.map_arrow(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", forget)
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

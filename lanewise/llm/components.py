@@ -24,19 +24,20 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, about: int | None = None) -> DataFrame:
     """edges(u, v) of longs -> (u, component), a row per node that has an edge; component is its least node.
 
     Self-loops and repeated edges change nothing; no edges give no rows. Every step's edges are
-    written to the shared folder; steps grow with the logarithm of the longest path."""
-    now = common.staged(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
+    written to the shared folder; steps grow with the logarithm of the longest path.  `about`: how many
+    edges there may be, for the number of tasks alone."""
+    now = common.staged(common.narrow(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), about), "cc")
     last = None
     while True:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == last:
             break
-        step = common.staged(_small_star(_large_star(now)), "cc")
+        step = common.staged(common.narrow(_small_star(_large_star(now)), mark[0]), "cc")
         common.unstage(now)
         now, last = step, mark
     least = now.groupBy("u").agg(F.min("v").alias("component"))
-    return least.unionByName(now.select(F.col("v").alias("u"), F.col("v").alias("component")).distinct())
+    return common.narrow(least.unionByName(now.select(F.col("v").alias("u"), F.col("v").alias("component")).distinct()), 2 * mark[0])

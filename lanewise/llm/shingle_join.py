@@ -404,39 +404,41 @@ def _links(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     """nodes(node, n, own), sets(node, n, hashes) -> (node, component) of those classes that link."""
     spark = nodes.sparkSession
     postings = common.staged(common.map_arrow(sets, _postings, "token long, node long"), "postings")
+    about = postings.count()
     tokens = postings.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     shared = postings.join(tokens, "token")
     rare = shared.where(F.col("df") <= FREQUENT).select(F.col("token").alias("sig"), "node")
     often = shared.where(F.col("df") > FREQUENT).groupBy("node").agg(F.collect_list("token").alias("tokens")).join(nodes.select("node", "n"), "node")
     signed = rare.unionByName(common.map_arrow(often, _combinations, "sig long, node long"))
-    signed = common.staged(signed.join(nodes, "node"), "signatures")  # sig, node, n, own
+    signed = common.staged(common.narrow(signed.join(nodes, "node"), about), "signatures")  # sig, node, n, own
 
     # the leader of a group has the smallest share of shingles to itself
     rank = F.struct((F.col("own") / F.col("n")).alias("share"), F.col("node").alias("leader"))
     groups = signed.groupBy("sig").agg(F.min(rank).alias("first"), F.count("*").alias("size")).where("size > 1")
     groups = groups.select("sig", "first.leader")
-    led = common.staged(signed.join(groups.select("sig", "leader"), "sig"), "led")
+    led = common.staged(common.narrow(signed.join(groups.select("sig", "leader"), "sig"), about), "led")
     pairs = led.where(F.col("node") != F.col("leader")).select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct()
-    stars = common.staged(overlaps(pairs, sets), "stars")
+    stars = common.staged(common.narrow(overlaps(pairs, sets)), "stars")
     edges = stars.where(LINKED).select("u", "v")
-    labels = common.staged(components(edges), "labels")
+    labels = common.staged(components(edges, about), "labels")
 
     # what is left: classes of groups that hold several components
     led = led.select("leader", "node", "n").distinct().join(labels.withColumnRenamed("u", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    led = common.staged(led, "members")
+    led = common.staged(common.narrow(led, about), "members")
     several = led.groupBy("leader").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("leader")
-    open_ = common.staged(led.join(several, "leader", "left_semi").select("node", "n").distinct(), "open")
-    posts = common.staged(_rarest(open_, sets), "rarest")
+    open_ = common.staged(common.narrow(led.join(several, "leader", "left_semi").select("node", "n").distinct(), about), "open")
+    posts = common.staged(common.narrow(_rarest(open_, sets)), "rarest")
+    placed_rows = posts.count()
     tried = stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     for label, pairs_of in (("centres", _with_centres), ("rest", _across)):
         placed = posts.join(labels.withColumnRenamed("u", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        meeting = common.staged(_meeting(placed), "meeting")
-        pairs = common.staged(pairs_of(meeting).join(tried, ["u", "v"], "left_anti"), label)
-        near = common.staged(overlaps(pairs, sets, exact=False).where(LINKED).select("u", "v"), "near")
-        late = common.staged(overlaps(near, sets).where(LINKED).select("u", "v"), "edges")
+        meeting = common.staged(common.narrow(_meeting(placed), placed_rows), "meeting")
+        pairs = common.staged(common.narrow(pairs_of(meeting).join(tried, ["u", "v"], "left_anti")), label)
+        near = common.staged(common.narrow(overlaps(pairs, sets, exact=False).where(LINKED).select("u", "v")), "near")
+        late = common.staged(common.narrow(overlaps(near, sets).where(LINKED).select("u", "v")), "edges")
         tried = tried.unionByName(pairs)
         if not late.isEmpty():
-            labels = common.staged(components(labels.select("u", F.col("component").alias("v")).unionByName(late)), "labels")
+            labels = common.staged(components(labels.select("u", F.col("component").alias("v")).unionByName(late), about), "labels")
     return labels
 
 
@@ -452,19 +454,19 @@ def joined(docs: DataFrame, k: int = K) -> DataFrame:
     misses = F.col("n") - F.ceil(F.col("n") * PERCENT / 100).cast("long")
     with common.scratch(spark):
         # a class's number, once written, stays
-        alive = common.staged(classes.where(F.col("own") <= misses).withColumn("node", F.monotonically_increasing_id()), "alive")
+        alive = common.staged(common.narrow(classes.where(F.col("own") <= misses), sized.count()).withColumn("node", F.monotonically_increasing_id()), "alive")
         at = lambda df: df.withColumn("at", F.coalesce("id", F.lit(-1)))  # noqa: E731  texts of -1 and of null are told apart by their sets
         with common.prefiltered_joins(spark):  # most texts need not travel
             texts = at(rows).join(at(alive.where("n > 0")).select("at", *key[:2], "node"), "at").select("id", "text", *key[:2], "node")
-            sets = common.staged(common.map_arrow(texts, lambda b: _sets(b, k), "node long, n long, hashes binary, bits binary").dropDuplicates(["node"]), "sets")
+            sets = common.staged(common.narrow(common.map_arrow(texts, lambda b: _sets(b, k), "node long, n long, hashes binary, bits binary").dropDuplicates(["node"])), "sets")
         again = _counted(common.map_arrow(sets, lambda b: _dealt_sets(b, buckets), DEALT), buckets).select(F.col("id").alias("node"), "own")
         nodes = alive.select("node", "n").join(again, "node", "left").fillna(0, ["own"]).where(F.col("own") <= misses)
-        nodes = common.staged(nodes, "nodes")
+        nodes = common.staged(common.narrow(nodes, alive.count()), "nodes")
         links = _links(nodes, sets.join(nodes.select("node"), "node", "left_semi"))
         # the least doc_id of each component of several classes
         linked = alive.select(*key, "node", "id").join(links.withColumnRenamed("u", "node"), "node")
         least = linked.groupBy("component").agg(F.min("id").alias("component_id"))
-        linked = common.staged(linked.join(least, "component").select(*key, "component_id"), "links", keep=True)
+        linked = common.staged(common.narrow(linked.join(least, "component").select(*key, "component_id"), alive.count()), "links", keep=True)
 
     alone = sized.where("n > 0").groupBy(*key).agg(F.min("id").alias("least"))
     out = sized.join(alone, key, "left").join(linked.withColumn("linked", F.lit(True)), key, "left")

@@ -680,3 +680,41 @@ def test_components(spark):
     got = {r.u: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 198: 198, 199: 198, 200: 198}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_steps_between_are_few_files(spark, monkeypatch):
+    """With many small partitions that Spark does not join, edge tables have a file for each core at most."""
+    import pathlib
+
+    from lanewise.llm.components import components
+
+    made, staged = [], common.staged
+
+    def counted(df, label, *args, **kwargs):
+        out = staged(df, label, *args, **kwargs)
+        made.append((label, len(list(pathlib.Path(out._lanewise_path.removeprefix("file://")).rglob("part-*")))))
+        return out
+
+    monkeypatch.setattr(common, "staged", counted)
+    cores = spark.sparkContext.defaultParallelism
+    edges = [(10 * i, 10 * i + j) for i in range(100) for j in range(1, 6)]
+    docs = [(i, " ".join(f"w{i // 3}x{j}" for j in range(60)) + f" e{i}") for i in range(90)]
+    with common.own_settings(spark, {"spark.sql.shuffle.partitions": "48", "spark.sql.adaptive.coalescePartitions.enabled": "false"}):
+        got = {r.u: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+        steps = made[1:]  # of the first step's table the rows are not known
+        assert got == {u: u - u % 10 for e in edges for u in e} and steps and max(n for _, n in steps) <= cores
+        made.clear()
+        got = shingle_join.joined(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+        assert sorted((r.doc_id, r.component_id) for r in got) == [(i, i - i % 3) for i in range(90)]
+    # scans and what they deal out apart, a third of the buckets
+    assert max(n for label, n in made if label not in ("sizes", "sets", "postings")) <= 16
+
+
+def test_a_codec_goes_when_a_worker_turns_to_other_work():
+    byte_bpe.forget()
+    byte_bpe.codec(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    common.begin_task(byte_bpe.forget)
+    common.begin_task(byte_bpe.forget)
+    assert byte_bpe.codec.cache_info().currsize == 1
+    common.begin_task(None)
+    assert byte_bpe.codec.cache_info().currsize == 0
